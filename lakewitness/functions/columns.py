@@ -74,32 +74,29 @@ def logical_dtype(base: Column, missing: Column) -> Column:
     )
 
 
-def fifteen_digits(number: Column) -> Column:
-    """A double rounded to 15 significant digits.
+def number_text(field: T.StructField) -> Column:
+    """Text of a number at 15 significant digits, the same for whole and fractional columns.
 
-    A shortest decimal form of at most 16 characters already has no more digits than that; only
-    the longer ones pay for formatting.
+    A shortest decimal form of at most 16 characters has no more digits than that; only the longer
+    ones pay for formatting.
     """
-    return F.when(number.isNull() | (F.length(number.cast("string")) <= 16), number).otherwise(
-        F.format_string("%.14e", number).cast("double")
-    )
-
-
-def row_token(field: T.StructField) -> Column:
-    """Unambiguous text of one cell: a missing marker, or length, colon, value."""
-    if is_numeric(field.dataType):
-        text = fifteen_digits(present(field).cast("double")).cast("string")
-    else:
-        text = as_text(field)
-    return F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), text))
+    number = present(field).cast("double")
+    text = number.cast("string")
+    if isinstance(field.dataType, INTEGRAL):
+        return text
+    rounded = F.format_string("%.14e", number).cast("double").cast("string")
+    return F.when(F.length(text) <= 16, text).when(number.isNotNull(), rounded)
 
 
 def row_digest(df: DataFrame, names: list[str]) -> Column:
-    """32 byte digest of the named cells, equal exactly when the normalised cells are equal."""
+    """32 byte digest of the named cells, equal exactly when the normalised cells are equal.
+
+    A JSON array keeps missing cells apart from text and escapes quotes, so no two different rows
+    share one text.
+    """
     fields = {f.name: f for f in df.schema.fields}
-    if not names:
-        return F.unhex(F.sha2(F.lit(""), 256))
-    return F.unhex(F.sha2(F.concat(*[row_token(fields[n]) for n in names]), 256))
+    cells = [number_text(fields[n]) if is_numeric(fields[n].dataType) else as_text(fields[n]) for n in names]
+    return F.unhex(F.sha2(F.to_json(F.array(*cells)), 256))
 
 
 def safe_div(top: Column, bottom: Column) -> Column:

@@ -550,7 +550,7 @@ def inferred_transformations(versions: DataFrame, facts: DataFrame) -> DataFrame
     text = F.concat_ws(" ", method, F.lower(F.coalesce("version_notes", F.lit(""))))
     labels = F.array_compact(
         F.array(
-            F.when((method != "") & (method != "manual"), F.initcap(F.replace(method, F.lit("_"), F.lit(" ")))),
+            F.when((method != "") & (method != "manual"), F.replace(method, F.lit("_"), F.lit(" "))),
             F.when(text.contains("duplicate") | (F.col("duplicates_delta") < 0), F.lit("Duplicate Removal")),
             F.when(text.rlike("missing|imput") | (F.col("missing_changes") > 0), F.lit("Missing Value Handling")),
             F.when(F.col("columns_removed") > 0, F.lit("Feature Reduction")),
