@@ -288,7 +288,7 @@ def findings(facts: DataFrame, columns: DataFrame, clusters: DataFrame, leakage:
         "SCALING": (F.when((c("task_type") == "clustering") & c("scaling_required"), "high"), none, c("spread_ratio")),
         "TARGET_LEAKAGE": (
             F.when((c("lrs_score") >= 30) | (c("direct_count") > 0), F.when(c("lrs_score") >= 55, "critical").otherwise("high")),
-            F.array_compact(F.array_union(F.coalesce(c("leak_columns"), none), F.array(c("target_column")))),
+            F.array_sort(F.array_compact(F.array_union(F.coalesce(c("leak_columns"), none), F.array(c("target_column"))))),
             c("lrs_score"),
         ),
     }

@@ -17,7 +17,7 @@ COLUMNS = {
     6: "customer_key int, customer_name str, nation_name str, region_name str, account_balance num, segment str",
     7: "customer_key int, nation_name str, region_name str, account_balance num, final_account_balance num, segment str",
     8: "event_id int, user_id int, outcome_class str, amount num, event_kind str",
-    9: "event_id int, user_id int, outcome_class str, amount num, event_kind str, amount_double num",
+    9: "event_id int, user_id int, outcome_class str, amount num, event_kind str, amount_double num, channel str",
     10: "doc_id int, body str, lang str, source str, n_chars int, quality str",
     11: "doc_id int, body str, lang str, source str, n_chars int, quality str",
 }

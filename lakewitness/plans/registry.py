@@ -22,13 +22,14 @@ def part(name: str, sql: str) -> None:
 def compose(sql: str) -> str:
     """Put the named parts a statement mentions, and those they mention, in front of it."""
     order: list[str] = []
+    seen: set[str] = set()
 
     def visit(text: str) -> None:
         for name in re.findall(r"\b[a-z]\w*\b", text):
-            if name in PARTS and name not in order:
+            if name in PARTS and name not in seen:
+                seen.add(name)
                 visit(PARTS[name])
-                if name not in order:
-                    order.append(name)
+                order.append(name)
 
     visit(sql)
     if not order:

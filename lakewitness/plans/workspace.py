@@ -77,7 +77,7 @@ VERSION_SQL = {
     "v9": """
         SELECT event_id, user_id, CASE WHEN event_kind = 'error' AND amount > 60 THEN 'error' ELSE 'ok' END AS outcome_class,
                CASE WHEN amount > 200 THEN 200.0e0 ELSE amount END AS amount, event_kind,
-               amount * 2 AS amount_double
+               amount * 2 AS amount_double, 'web' AS channel
         FROM {v8}""",
     "v10": """
         SELECT d.doc_id AS doc_id, text AS body, lang AS lang, source AS source, n_chars AS n_chars,
