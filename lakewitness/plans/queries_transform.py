@@ -114,17 +114,33 @@ def _(ws):
     return rounded(t.clip_outliers(ws.frames[4], ctx(4)))
 
 
-@query("I10_smote")
-def _(ws):
-    return resample.smote(ws.frames[9], ctx(9)).groupBy("outcome_class").agg(
-        F.count(F.lit(1)).alias("row_count"), F.round(F.min("amount"), 6).alias("low"), F.round(F.max("amount"), 6).alias("high")
+def inside(made, ws, v: int):
+    """Rows per class next to whether every value stays inside the range its class has in the source."""
+    label = TARGET[v]
+    span = lambda df, side: df.groupBy(label).agg(
+        F.count(F.lit(1)).alias(f"{side}_rows"),
+        *[f(c).cast("double").alias(f"{side}_{n}_{c}") for c in numeric(v) for n, f in (("min", F.min), ("max", F.max))],
     )
+    both = span(ws.frames[v], "old").join(span(made, "new"), label)
+    fits = F.lit(True)
+    for c in numeric(v):
+        fits = fits & (F.col(f"new_min_{c}") >= F.col(f"old_min_{c}")) & (F.col(f"new_max_{c}") <= F.col(f"old_max_{c}"))
+    return both.withColumn("inside_range", fits)
+
+
+@query("I10_smote", """
+SELECT outcome_class, (SELECT max(n) FROM (SELECT count(*) AS n FROM v9 GROUP BY outcome_class)) AS row_count, true AS inside_range FROM v9 GROUP BY outcome_class""")
+def _(ws):
+    made = resample.smote(ws.frames[9], ctx(9))
+    return inside(made, ws, 9).select("outcome_class", F.col("new_rows").alias("row_count"), "inside_range")
 
 
-@query("I11_adasyn")
+@query("I11_adasyn", """
+SELECT outcome_class, count(*) AS source_rows, count(*) < (SELECT max(n) FROM (SELECT count(*) AS n FROM v9 GROUP BY outcome_class)) AS grew, true AS inside_range FROM v9 GROUP BY outcome_class""")
 def _(ws):
-    return resample.adasyn(ws.frames[9], ctx(9)).groupBy("outcome_class").agg(
-        F.count(F.lit(1)).alias("row_count"), F.round(F.min("amount"), 6).alias("low"), F.round(F.max("amount"), 6).alias("high")
+    made = resample.adasyn(ws.frames[9], ctx(9))
+    return inside(made, ws, 9).select(
+        "outcome_class", F.col("old_rows").alias("source_rows"), (F.col("new_rows") > F.col("old_rows")).alias("grew"), "inside_range"
     )
 
 
