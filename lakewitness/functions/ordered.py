@@ -112,3 +112,44 @@ def running_totals(df: DataFrame, keys: list[str], value: str, sums: list[str],
         *[(F.col(f"{s}_before") + F.sum(s).over(upto)).alias(f"{s}_upto") for s in sums],
         F.coalesce(F.lead(value).over(w), F.col("next_bucket_value")).alias("next_value"),
     )
+
+
+def numbered_rows(df: DataFrame, keys: list[str], order: str, tie: str, carry: list[str], buckets: int = 1) -> DataFrame:
+    """``rank`` from 1 within each key by (order, tie), and ``previous_c`` / ``next_c`` for carried columns.
+
+    With several buckets a key that holds a large part of all rows is ordered range by range; ranks
+    and neighbours are continued across ranges from one summary row per range.
+    """
+    spread = with_bucket(df, keys, order, buckets)
+    w = Window.partitionBy(*keys, "bucket").orderBy(order, tie)
+    local = spread.select(
+        *df.columns,
+        "bucket",
+        F.row_number().over(w).alias("rank"),
+        *[F.lag(c).over(w).alias(f"previous_{c}") for c in carry],
+        *[F.lead(c).over(w).alias(f"next_{c}") for c in carry],
+    )
+    if buckets <= 1:
+        return local.drop("bucket")
+    place = F.struct(order, tie)
+    ends = spread.groupBy(*keys, "bucket").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.min_by(c, place).alias(f"first_{c}") for c in carry],
+        *[F.max_by(c, place).alias(f"last_{c}") for c in carry],
+    )
+    across = Window.partitionBy(*keys).orderBy("bucket")
+    edges = ends.select(
+        *keys,
+        "bucket",
+        "n",
+        F.coalesce(F.sum("n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+        *[F.lag(f"last_{c}").over(across).alias(f"edge_previous_{c}") for c in carry],
+        *[F.lead(f"first_{c}").over(across).alias(f"edge_next_{c}") for c in carry],
+    )
+    first, last = F.col("rank") == 1, F.col("rank") == F.col("n")
+    return local.join(edges, [*keys, "bucket"]).select(
+        *df.columns,
+        (F.col("before") + F.col("rank")).alias("rank"),
+        *[F.when(first, F.col(f"edge_previous_{c}")).otherwise(F.col(f"previous_{c}")).alias(f"previous_{c}") for c in carry],
+        *[F.when(last, F.col(f"edge_next_{c}")).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in carry],
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewitness.plans import queries_profile, queries_risk, queries_transform, queries_variant  # noqa: F401
+from lakewitness.plans import queries_profile, queries_risk, queries_store, queries_transform, queries_variant  # noqa: F401
 from lakewitness.plans.registry import ORACLES, QUERIES
 from lakewitness.plans.workspace import workspace
 

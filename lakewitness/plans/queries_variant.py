@@ -60,7 +60,7 @@ def needs(ws):
 
 
 def chosen(ws):
-    return rec.candidates(requests(ws), rec.applicable(needs(ws)))
+    return ws.once("candidates", lambda: rec.candidates(requests(ws), rec.applicable(needs(ws))))
 
 
 WORD = "coalesce(CASE {} WHEN 'medium' THEN 'moderate' WHEN 'high' THEN 'severe' WHEN 'critical' THEN 'severe' END, 'none')"
@@ -160,7 +160,11 @@ def variants(ws):
 
 
 def records(ws):
-    return ev.evaluate(variants(ws), ws.risks, ev.variant_risks(ws.facts, ws.leakage), ws.tables, ev.class_balances(ws.vc, ws.registry))
+    def build():
+        own = ev.variant_risks(ws.facts, ws.leakage)
+        return ev.evaluate(variants(ws), ws.risks, own, ws.tables, ev.class_balances(ws.vc, ws.registry))
+
+    return ws.once("variant_records", build)
 
 
 @query("J1_variant_rediagnosis", "SELECT version_id, mlrs AS mlrs_score, lrs AS lrs_score FROM alone")

@@ -121,6 +121,13 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self._kept: dict[str, DataFrame] = {}
+
+    def once(self, name: str, build) -> DataFrame:
+        """A relation several queries share, written on first use."""
+        if name not in self._kept:
+            self._kept[name] = cut(build())
+        return self._kept[name]
 
     def table(self, name: str) -> DataFrame:
         return load(self.spark, self.sf_dir, name)
