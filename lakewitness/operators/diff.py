@@ -279,14 +279,18 @@ def numeric_summary(paired: DataFrame) -> DataFrame:
     """Summary of both sides and the movement of each figure."""
     r = lambda c: F.round(c, 6)
     zero = F.lit(0.0)
+
+    def moved(m: str) -> Column:
+        # Sums over the same values in another order differ in the last bits; that is no movement.
+        old, new = F.coalesce(F.col(f"previous_{m}"), zero), F.coalesce(F.col(f"current_{m}"), zero)
+        noise = F.abs(new - old) <= 1e-12 * F.greatest(F.abs(old), F.abs(new))
+        return F.when(noise, 0.0).otherwise(r(r(new) - r(old)))
+
     return paired.where((F.col("status") == "common") & F.col("numeric_pair")).select(
         *PAIR_COLUMN,
         "is_target",
         *[r(F.col(f"{s}_{m}")).alias(f"{s}_{m}") for s in SIDES for m in SUMMARY],
-        *[
-            r(F.coalesce(r(F.col(f"current_{m}")), zero) - F.coalesce(r(F.col(f"previous_{m}")), zero)).alias(f"delta_{m}")
-            for m in SUMMARY
-        ],
+        *[moved(m).alias(f"delta_{m}") for m in SUMMARY],
     )
 
 

