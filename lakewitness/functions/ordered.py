@@ -45,8 +45,7 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
     """Exact linear-interpolation quantiles as columns ``q0``, ``q1``, ... per key."""
     df = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
     if buckets <= 1:
-        stats = df.groupBy(*keys).agg(F.percentile(value, probs, F.col(weight)).alias("qs"))
-        return stats.select(*keys, *[F.col("qs")[i].alias(f"q{i}") for i in range(len(probs))])
+        return _quantiles_in_order(df, keys, value, weight, probs)
 
     spread = with_bucket(df.select(*keys, value, weight), keys, value, buckets)
     offsets = bucket_offsets(spread, keys, value, [weight])
@@ -95,6 +94,26 @@ def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str,
     )
 
 
+def _quantiles_in_order(df: DataFrame, keys: list[str], value: str, weight: str, probs: list[float]) -> DataFrame:
+    """One ordered pass per key. The sort can spill, unlike the built-in aggregate's map of values."""
+    sizes = df.groupBy(*keys).agg(F.sum(weight).alias("n"))
+    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = df.select(*keys, value, weight, F.sum(weight).over(w).alias("upto")).join(sizes, keys)
+
+    def at(position):
+        inside = (position < F.col("upto")) & (position >= F.col("upto") - F.col(weight))
+        return F.max(F.when(inside, F.col(value)))
+
+    place = [F.lit(p) * (F.col("n") - 1) for p in probs]
+    ends = placed.groupBy(*keys, "n").agg(
+        *[at(F.floor(x)).alias(f"low{i}") for i, x in enumerate(place)], *[at(F.ceil(x)).alias(f"high{i}") for i, x in enumerate(place)]
+    )
+    return ends.select(
+        *keys,
+        *[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (x - F.floor(x))).alias(f"q{i}") for i, x in enumerate(place)],
+    )
+
+
 def running_totals(df: DataFrame, keys: list[str], value: str, sums: list[str], buckets: int = 1) -> DataFrame:
     """Running sums in value order plus the next larger value of the key, one row per input row."""
     spread = with_bucket(df, keys, value, buckets)

@@ -249,8 +249,15 @@ def risk_components(facts: DataFrame, leakage: DataFrame, conflicts: DataFrame |
 
 
 def risk_scores(components: DataFrame) -> DataFrame:
-    """capped sums, two decimals."""
-    total = lambda f: F.round(cap(F.sum(F.when(F.col("family") == f, F.col("score"))), 100.0), 2)
+    """capped sums, two decimals.
+
+    The thirteen components of a version are added in their fixed order, so that the last bits, and
+    with them ties of the rounding, do not depend on the order of rows.
+    """
+    def total(family: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("family") == family, F.struct("ordinal", "score"))))
+        return F.bround(cap(F.aggregate(rows, F.lit(0.0), lambda done, r: done + r["score"]), 100.0), 2)
+
     return components.groupBy(V).agg(total("mlrs").alias("mlrs_score"), total("lrs").alias("lrs_score"))
 
 

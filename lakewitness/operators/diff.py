@@ -297,12 +297,11 @@ def numeric_summary(paired: DataFrame) -> DataFrame:
 def numeric_shifts(paired: DataFrame, counts: DataFrame, buckets: int = 1) -> DataFrame:
     """Wasserstein distance between both sides over the combined spread, at most 1."""
     wanted = paired.where((F.col("status") == "common") & F.col("numeric_pair")).select(*PAIR_COLUMN, "is_target")
+    # Whole numbers beyond the range of doubles may share a value; a gap of zero adds nothing.
     values = (
         counts.where(F.col("num").isNotNull())
         .join(wanted.select(*PAIR_COLUMN), PAIR_COLUMN)
-        .groupBy(*PAIR_COLUMN, "num")
-        .agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
-        .withColumn("both", F.col("old") + F.col("new"))
+        .select(*PAIR_COLUMN, "num", "old", "new", (F.col("old") + F.col("new")).alias("both"))
     )
     sizes = values.groupBy(*PAIR_COLUMN).agg(
         F.sum("old").alias("n_old"),
@@ -313,10 +312,11 @@ def numeric_shifts(paired: DataFrame, counts: DataFrame, buckets: int = 1) -> Da
         (F.sum(F.col("num") * F.col("both")) / F.sum("both")).alias("mean"),
     )
     quartiles = weighted_quantiles(values, PAIR_COLUMN, "num", "both", [0.25, 0.75], buckets)
+    figures = sizes.join(quartiles, PAIR_COLUMN)
     deviation = F.col("num") - F.col("mean")
-    walk = running_totals(values, PAIR_COLUMN, "num", ["old", "new"], buckets).join(sizes, PAIR_COLUMN)
+    walk = running_totals(values, PAIR_COLUMN, "num", ["old", "new"], buckets).join(figures, PAIR_COLUMN)
     gap = F.abs(F.col("old_upto") / F.col("n_old") - F.col("new_upto") / F.col("n_new")) * (F.col("next_value") - F.col("num"))
-    sums = walk.groupBy(*PAIR_COLUMN).agg(
+    sums = walk.groupBy(*figures.columns).agg(
         F.coalesce(F.sum(gap), F.lit(0.0)).alias("distance"), F.sum(deviation * deviation * F.col("both")).alias("m2")
     )
     iqr = F.col("q1") - F.col("q0")
@@ -325,7 +325,7 @@ def numeric_shifts(paired: DataFrame, counts: DataFrame, buckets: int = 1) -> Da
     shift = F.when((F.col("n_old") == 0) | (F.col("n_new") == 0), 0.0).otherwise(
         F.least(F.lit(1.0), F.col("distance") / F.greatest(scale, F.lit(1e-9)))
     )
-    found = sizes.join(quartiles, PAIR_COLUMN).join(sums, PAIR_COLUMN).select(*PAIR_COLUMN, shift.alias("shift"))
+    found = sums.select(*PAIR_COLUMN, shift.alias("shift"))
     return wanted.join(found, PAIR_COLUMN, "left").select(
         *PAIR_COLUMN, "is_target", F.coalesce("shift", F.lit(0.0)).alias("shift")
     )

@@ -18,6 +18,22 @@ def clean(df: DataFrame) -> dict:
     return {f.name: present(f).cast("double") for f in df.schema.fields}
 
 
+def missing(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Missing cells per column, one pass."""
+    fields = [f for f in df.schema.fields if f.name in columns]
+    if not fields:
+        return {}
+    row = df.agg(*[F.count_if(present(f).isNull()).alias(f"c{i}") for i, f in enumerate(fields)]).first()
+    return {f.name: row[i] for i, f in enumerate(fields)}
+
+
+def medians_where_missing(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
+    """Medians of the columns that have missing cells. A full column needs no fill, and its values
+    need not be ordered."""
+    gaps = [c for c, n in missing(df, columns).items() if n]
+    return {c: v[0] for c, v in quantiles(df, gaps, [0.5]).items()}
+
+
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
     """Exact quantiles. Tables above ``SMALL_ROWS`` go through value counts split into ranges, because
     the built-in aggregate keeps every distinct value of a column in one task."""
@@ -42,11 +58,14 @@ def moments(df: DataFrame, columns: list[str], *names: str) -> dict[str, dict[st
     return {c: {n: row[f"{n}{i}"] for n in names} for i, c in enumerate(columns)}
 
 
-def filled_moments(df: DataFrame, fills: dict[str, float | None], *names: str) -> dict[str, dict[str, float | None]]:
-    """Moments after missing values took the given fill."""
+def filled(df: DataFrame, columns: list[str], fills: dict[str, float | None]) -> dict:
+    """The columns as doubles with missing cells filled where there is a fill."""
     values = clean(df)
-    filled = df.select(*[F.coalesce(values[c], F.lit(v)).alias(c) if v is not None else values[c].alias(c) for c, v in fills.items()])
-    return moments(filled, list(fills), *names)
+    return {c: F.coalesce(values[c], F.lit(float(fills[c]))) if fills.get(c) is not None else values[c] for c in columns}
+
+
+def modes_where_missing(df: DataFrame, columns: list[str]) -> dict[str, str | None]:
+    return modes(df, [c for c, n in missing(df, columns).items() if n])
 
 
 def modes(df: DataFrame, columns: list[str]) -> dict[str, str | None]:

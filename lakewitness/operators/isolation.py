@@ -71,9 +71,8 @@ def isolation_forest(df: DataFrame, ctx, contamination: str = "auto", random_sta
     names, rows = ctx.numeric(df), df.count()
     if not names or rows <= 10:
         return df
-    fills = {c: v[0] for c, v in fits.quantiles(df, names, [0.5]).items()}
-    values = fits.clean(df)
-    filled = [F.coalesce(values[c], F.lit(float(fills[c]) if fills[c] is not None else 0.0)) for c in names]
+    values = fits.filled(df, names, fits.medians_where_missing(df, names))
+    filled = [F.coalesce(values[c], F.lit(0.0)) for c in names]  # an all-missing column tells nothing
     per_tree = min(SAMPLE, rows)
     # rand, not a content hash: copies of one row must spread over the trees like other rows.
     drawn = df.select(F.array(*filled).alias("vec"), F.rand(random_state).alias("draw"))

@@ -19,8 +19,9 @@ from lakewitness.lookups import (
 
 GROUP = ["version_id", "column"]
 STATISTICS = ["min", "q25", "median", "q75", "max", "mean", "std", "skewness"]
-# Above this many columns the pairwise aggregate expressions would outgrow one generated method.
-WIDE_CORRELATION = 20
+# A correlation keeps six sums. Beyond 100 fields Spark no longer compiles an aggregation, so with more
+# pairs than this the sums come from one matrix product per Arrow batch.
+PAIR_EXPRESSIONS = 16
 
 
 def skewness(n: Column, m2: Column, m3: Column) -> Column:
@@ -31,29 +32,37 @@ def skewness(n: Column, m2: Column, m3: Column) -> Column:
     )
 
 
-def numeric_statistics(vc: DataFrame, buckets: int = 1) -> DataFrame:
-    """Moments, quartiles and fence outliers of every numeric column."""
-    values = vc.where(F.col("num").isNotNull())
-    first = values.groupBy(*GROUP).agg(
-        F.sum("cnt").alias("n"),
+def column_counts(vc: DataFrame) -> DataFrame:
+    """Row, missing and distinct counts of every column, and the first moments of the numeric ones."""
+    return vc.groupBy(*GROUP).agg(
+        F.sum("cnt").alias("row_count"),
+        F.sum(F.when(is_missing(), F.col("cnt")).otherwise(0)).alias("missing_count"),
+        F.sum(F.when(is_missing(), 0).otherwise(1)).alias("unique_count"),
+        F.sum(F.when(F.col("num").isNotNull(), F.col("cnt"))).alias("n"),
         F.min("num").alias("min"),
         F.max("num").alias("max"),
-        (F.sum(F.col("num") * F.col("cnt")) / F.sum("cnt")).alias("mean"),
-    )
+        F.sum(F.col("num") * F.col("cnt")).alias("total"),
+    ).withColumn("mean", F.col("total") / F.col("n")).drop("total")
+
+
+def numeric_statistics(vc: DataFrame, counts: DataFrame, buckets: int = 1) -> DataFrame:
+    """Moments, quartiles and fence outliers of every numeric column."""
+    values = vc.where(F.col("num").isNotNull())
     quartiles = weighted_quantiles(values, GROUP, "num", "cnt", [0.25, 0.5, 0.75], buckets).select(
         *GROUP, F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75")
     )
-    base = first.join(quartiles, GROUP)
+    base = counts.select(*GROUP, "n", "min", "max", "mean").join(quartiles, GROUP)
     iqr = F.col("q75") - F.col("q25")
     outside = (F.col("num") < F.col("q25") - OUTLIER_FENCE * iqr) | (F.col("num") > F.col("q75") + OUTLIER_FENCE * iqr)
     deviation = F.col("num") - F.col("mean")
-    second = values.join(base.select(*GROUP, "mean", "q25", "q75"), GROUP).groupBy(*GROUP).agg(
+    # The figures found so far travel with the group, so that their plan runs once.
+    second = values.join(base, GROUP).groupBy(*base.columns).agg(
         F.sum(deviation * deviation * F.col("cnt")).alias("m2"),
         F.sum(deviation * deviation * deviation * F.col("cnt")).alias("m3"),
         F.sum(F.when((iqr != 0) & outside, F.col("cnt")).otherwise(0)).alias("outlier_count"),
     )
     m2 = F.when(F.col("min") == F.col("max"), F.lit(0.0)).otherwise(F.col("m2"))
-    return base.join(second, GROUP).select(
+    return second.select(
         *GROUP,
         "min",
         "q25",
@@ -69,18 +78,14 @@ def numeric_statistics(vc: DataFrame, buckets: int = 1) -> DataFrame:
 
 def column_profile(vc: DataFrame, catalog: DataFrame, configurations: DataFrame, buckets: int = 1) -> DataFrame:
     """One row per (version, column): D1-D4 and D6."""
-    counts = vc.groupBy(*GROUP).agg(
-        F.sum("cnt").alias("row_count"),
-        F.sum(F.when(is_missing(), F.col("cnt")).otherwise(0)).alias("missing_count"),
-        F.sum(F.when(is_missing(), 0).otherwise(1)).alias("unique_count"),
-    )
+    counts = column_counts(vc)
     numeric = F.col("base_type").isin("int64", "float64")
     targets = configurations.select("version_id", "target_column")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     rows = (
         catalog.join(targets, "version_id", "left")
-        .join(counts, GROUP, "left")
-        .join(numeric_statistics(vc, buckets), GROUP, "left")
+        .join(counts.select(*GROUP, "row_count", "missing_count", "unique_count"), GROUP, "left")
+        .join(numeric_statistics(vc, counts, buckets), GROUP, "left")
         .withColumns({c: zero(c) for c in ("row_count", "missing_count", "unique_count")})
     )
     return rows.select(
@@ -191,7 +196,8 @@ def correlations(df: DataFrame, version_id: int, names: list[str] | None = None)
     names = numeric_columns(df) if names is None else names
     if len(names) < 2:
         return None
-    return (_pair_expressions if len(names) <= WIDE_CORRELATION else _pair_sums)(df, version_id, names)
+    few = len(names) * (len(names) - 1) // 2 <= PAIR_EXPRESSIONS
+    return (_pair_expressions if few else _pair_sums)(df, version_id, names)
 
 
 def high_correlations(versions: dict[int, DataFrame], threshold: float = HIGH_CORRELATION) -> DataFrame | None:
@@ -283,7 +289,7 @@ def target_as_number(vc: DataFrame, configurations: DataFrame) -> DataFrame:
 def regression_profile(vc: DataFrame, configurations: DataFrame, buckets: int = 1) -> DataFrame:
     """Shape of a regression target."""
     rows = target_as_number(vc, configurations)
-    stats = numeric_statistics(rows, buckets).drop("column")
+    stats = numeric_statistics(rows, column_counts(rows), buckets).drop("column")
     sizes = rows.groupBy("version_id").agg(
         F.sum("cnt").alias("target_rows"),
         F.sum(F.when(F.col("num").isNull(), F.col("cnt")).otherwise(0)).alias("target_missing"),

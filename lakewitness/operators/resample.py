@@ -205,9 +205,8 @@ def neighbours(points: DataFrame, k: int, blocks: int) -> DataFrame:
 def _distinct_rows(df: DataFrame, ctx, label: Column) -> DataFrame:
     """Distinct rows with their number of copies, digest and median-filled feature vector."""
     names = ctx.numeric(df)
-    fills = {c: v[0] for c, v in fits.quantiles(df, names, [0.5]).items()}
-    values = fits.clean(df)
-    vec = F.array(*[F.coalesce(values[c], F.lit(float(fills[c]) if fills[c] is not None else 0.0)) for c in names])
+    values = fits.filled(df, names, fits.medians_where_missing(df, names))
+    vec = F.array(*[F.coalesce(values[c], F.lit(0.0)) for c in names])  # an all-missing column tells nothing
     digest = row_digest(df, df.columns)
     return (
         df.select(*[q(c) for c in df.columns], vec.alias("vec"), label.alias("label"), digest.alias("digest"))

@@ -51,18 +51,16 @@ def drop_duplicates(df: DataFrame, ctx: Context, keep: str = "first") -> DataFra
 
 
 def _impute(df: DataFrame, ctx: Context, fills: dict[str, float | None]) -> DataFrame:
-    values = fits.clean(df)
-    modes = fits.modes(df, ctx.text(df))
-    new = {c: F.coalesce(values[c], F.lit(float(v))) for c, v in fills.items() if v is not None}
+    new = fits.filled(df, ctx.numeric(df), fills)
     fields = {f.name: f for f in df.schema.fields}
+    modes = fits.modes_where_missing(df, ctx.text(df))
     new |= {c: F.coalesce(as_text(fields[c]), F.lit(v)) for c, v in modes.items() if v is not None}
     return replace_columns(df, new)
 
 
 def median_imputation(df: DataFrame, ctx: Context, strategy: str = "median") -> DataFrame:
     """Medians for numbers, the most frequent value for text. An all-missing column stays as it is."""
-    medians = fits.quantiles(df, ctx.numeric(df), [0.5])
-    return _impute(df, ctx, {c: v[0] for c, v in medians.items()})
+    return _impute(df, ctx, fits.medians_where_missing(df, ctx.numeric(df)))
 
 
 def mean_imputation(df: DataFrame, ctx: Context, strategy: str = "mean") -> DataFrame:
@@ -217,42 +215,40 @@ def mutual_information(df: DataFrame, ctx: Context, k: int = 20, random_state: i
 
 # ---------------------------------------------------------------- scaling
 
-def _scale(df: DataFrame, names: list[str], centre: dict, spread: dict, fills: dict) -> DataFrame:
-    values = fits.clean(df)
-    new = {
-        c: (F.coalesce(values[c], F.lit(fills[c])) - F.lit(float(centre[c]))) / F.lit(float(spread[c]) if spread[c] else 1.0)
-        for c in names
-        if fills[c] is not None
-    }
-    return replace_columns(df, new)
+def _filled(df: DataFrame, ctx: Context) -> DataFrame:
+    """Numeric features with missing cells at the median."""
+    names = ctx.numeric(df)
+    return replace_columns(df, fits.filled(df, names, fits.medians_where_missing(df, names)))
+
+
+def _scale(df: DataFrame, centre: dict, spread: dict) -> DataFrame:
+    """(value - centre) / spread; a spread of zero counts as one, an all-missing column stays as it is."""
+    return replace_columns(
+        df, {c: (q(c) - F.lit(float(m))) / F.lit(float(spread[c]) if spread[c] else 1.0) for c, m in centre.items() if m is not None}
+    )
 
 
 def standard_scaler(df: DataFrame, ctx: Context) -> DataFrame:
     """Mean and population deviation of the median-filled column."""
-    names = ctx.numeric(df)
-    fills = {c: v[0] for c, v in fits.quantiles(df, names, [0.5]).items()}
-    m = fits.filled_moments(df, fills, "avg", "stddev_pop")
-    return _scale(df, names, {c: m[c]["avg"] for c in names}, {c: m[c]["stddev_pop"] for c in names}, fills)
+    full = _filled(df, ctx)
+    m = fits.moments(full, ctx.numeric(full), "avg", "stddev_pop")
+    return _scale(full, {c: v["avg"] for c, v in m.items()}, {c: v["stddev_pop"] for c, v in m.items()})
 
 
 def robust_scaler(df: DataFrame, ctx: Context) -> DataFrame:
     """Median and interquartile range of the median-filled column."""
-    names = ctx.numeric(df)
-    fills = {c: v[0] for c, v in fits.quantiles(df, names, [0.5]).items()}
-    values = fits.clean(df)
-    filled = replace_columns(df, {c: F.coalesce(values[c], F.lit(v)) for c, v in fills.items() if v is not None})
-    quartiles = fits.quantiles(filled, names, [0.25, 0.5, 0.75])
-    spread = {c: (v[2] - v[0]) if v[0] is not None else None for c, v in quartiles.items()}
-    return _scale(df, names, {c: v[1] for c, v in quartiles.items()}, spread, fills)
+    full = _filled(df, ctx)
+    parts = fits.quantiles(full, ctx.numeric(full), [0.25, 0.5, 0.75])
+    spread = {c: (v[2] - v[0]) if v[0] is not None else None for c, v in parts.items()}
+    return _scale(full, {c: v[1] for c, v in parts.items()}, spread)
 
 
 def minmax_scaler(df: DataFrame, ctx: Context) -> DataFrame:
     """Smallest value and range."""
-    names = ctx.numeric(df)
-    fills = {c: v[0] for c, v in fits.quantiles(df, names, [0.5]).items()}
-    m = fits.moments(df, names, "min", "max")
-    spread = {c: (m[c]["max"] - m[c]["min"]) if m[c]["min"] is not None else None for c in names}
-    return _scale(df, names, {c: m[c]["min"] for c in names}, spread, fills)
+    full = _filled(df, ctx)
+    m = fits.moments(full, ctx.numeric(full), "min", "max")
+    spread = {c: (v["max"] - v["min"]) if v["min"] is not None else None for c, v in m.items()}
+    return _scale(full, {c: v["min"] for c, v in m.items()}, spread)
 
 
 # ---------------------------------------------------------------- chains

@@ -74,7 +74,7 @@ part("rc", "\nUNION ALL ".join(
     for i, ((f, k), sql) in enumerate(COMPONENT_SQL.items())
 ))
 part("rs", """
-SELECT version_id, round(least(100, sum(score) FILTER (family = 'mlrs')), 2)::DOUBLE AS mlrs_score, round(least(100, sum(score) FILTER (family = 'lrs')), 2)::DOUBLE AS lrs_score FROM rc GROUP BY 1""")
+SELECT version_id, round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'mlrs')), 2)::DOUBLE AS mlrs_score, round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'lrs')), 2)::DOUBLE AS lrs_score FROM rc GROUP BY 1""")
 part("fnd0", """
 SELECT fx.version_id, 1 AS ordinal, 'MISSINGNESS' AS code, CASE WHEN missing_ratio >= 0.4 THEN 'critical' WHEN missing_ratio >= 0.2 THEN 'high' WHEN missing_ratio >= 0.05 THEN 'medium' END AS severity, []::VARCHAR[] AS cols, missing_ratio::DOUBLE AS measure FROM fx
 UNION ALL SELECT version_id, 2, 'DUPLICATES', CASE WHEN duplicate_ratio >= 0.1 THEN 'high' WHEN duplicate_ratio >= 0.01 THEN 'medium' END, [], duplicate_ratio FROM fx

@@ -97,7 +97,10 @@ class Evidence:
 
     @cached_property
     def regression(self) -> DataFrame:
-        return cut(profile.regression_profile(self.vc, self.configurations, self.buckets))
+        found = profile.regression_profile(self.vc, self.configurations, self.buckets)
+        # Without a regression among the configurations there is nothing to read.
+        wanted = not self.configurations.where("task_type = 'regression'").isEmpty()
+        return cut(found) if wanted else self.spark.createDataFrame([], found.schema)
 
     @cached_property
     def clustering(self) -> DataFrame:

@@ -128,7 +128,7 @@ part("var", """
 SELECT request_id AS job_id, goal, prev AS source_version_id, cur AS version_id, estimated_cost, steps FROM (SELECT prev, cur, row_number() OVER (PARTITION BY prev ORDER BY cur) - 1 AS nth FROM ap) a
 JOIN ccost ON ccost.version_id = a.prev AND candidate = nth""")
 part("alone", """
-SELECT version_id, round(least(100, sum(score) FILTER (family = 'mlrs' AND component <> 'evolution_readiness')), 2)::DOUBLE AS mlrs, round(least(100, sum(score) FILTER (family = 'lrs')), 2)::DOUBLE AS lrs FROM rc GROUP BY 1""")
+SELECT version_id, round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'mlrs' AND component <> 'evolution_readiness')), 2)::DOUBLE AS mlrs, round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'lrs')), 2)::DOUBLE AS lrs FROM rc GROUP BY 1""")
 part("bal", """
 SELECT reg.version_id, coalesce(b, 1.0)::DOUBLE AS balance FROM reg LEFT JOIN (
   SELECT vc.version_id, CASE WHEN count(*) < 2 THEN 1.0 ELSE round(greatest(0, 1 - abs(max(cnt)::DOUBLE / sum(cnt) - 1.0::DOUBLE / count(*)) / (1 - 1.0::DOUBLE / count(*))), 6) END AS b
