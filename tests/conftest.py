@@ -13,7 +13,7 @@ SMOKE = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 8)
+    session = build_session("local[8]", 4)
     yield session
     session.stop()
 
