@@ -303,8 +303,9 @@ def table_figures(df: DataFrame, target: str | None) -> DataFrame:
         F.lit(width).alias("column_count"),
         F.when(F.col("row_count") == 0, 0.0).otherwise(F.round(F.col("cells") / (F.col("row_count") * width) * 100, 6)).alias("missing_pct"),
     )
-    # Two one-row relations side by side.
-    return figures.join(class_balance(df, target), F.lit(True))
+    # Two one-row relations merged into one.
+    both = figures.unionByName(class_balance(df, target), allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def build_metrics(before: DataFrame, after: DataFrame, target: str | None) -> DataFrame:
