@@ -209,21 +209,21 @@ def _distinct_rows(df: DataFrame, ctx, label: Column) -> DataFrame:
     vec = F.array(*[F.coalesce(values[c], F.lit(0.0)) for c in names])  # an all-missing column tells nothing
     digest = row_digest(df, df.columns)
     return (
-        df.select(*[q(c) for c in df.columns], vec.alias("vec"), label.alias("label"), digest.alias("digest"))
-        .groupBy("digest", "label")
-        .agg(F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"), *[F.first(q(c)).alias(c) for c in df.columns])
+        df.select(*[q(c) for c in df.columns], vec.alias("_vec"), label.alias("_label"), digest.alias("_digest"))
+        .groupBy("_digest", "_label")
+        .agg(F.count(F.lit(1)).alias("_n"), F.first("_vec").alias("_vec"), *[F.first(q(c)).alias(c) for c in df.columns])
     )
 
 
 def _points(rows: DataFrame, k: int, group: Column, ask: Column, line: int) -> DataFrame:
     """Distinct rows as points. More than k + 1 copies of a row cannot change any k nearest points."""
-    return rows.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(k + 1)).cast("int")))).select(
+    return rows.withColumn("_ordinal", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(k + 1)).cast("int")))).select(
         group.alias("grp"),
-        F.xxhash64("digest", "ordinal").alias("pid"),
-        "vec",
-        F.col("label").alias("payload"),
-        F.col("vec")[line].alias("line"),
-        ((F.col("ordinal") == 1) & ask).alias("ask"),
+        F.xxhash64("_digest", "_ordinal").alias("pid"),
+        F.col("_vec").alias("vec"),
+        F.col("_label").alias("payload"),
+        F.col("_vec")[line].alias("line"),
+        ((F.col("_ordinal") == 1) & ask).alias("ask"),
     )
 
 
@@ -242,30 +242,30 @@ def uniform(*parts: Column) -> Column:
 def _even_quota(rows: DataFrame, missing: dict[str, int], sizes: dict[str, int]) -> DataFrame:
     """Spread ``missing[c]`` synthetic rows over the rows of the class: an equal share for each copy,
     the remainder to the copies that come first in hash order (counted through hash ranges)."""
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit("quota"), F.col("digest"))).withColumn("_b", F.pmod("_h", F.lit(1 << HASH_BITS)))
-    counts = hashed.groupBy("label", "_b").agg(F.sum("n").alias("m"))
-    earlier = Window.partitionBy("label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("label", "_b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("label", "_b").orderBy("_h", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    label = F.col("label")
+    hashed = rows.withColumn("_h", F.xxhash64(F.lit("quota"), F.col("_digest"))).withColumn("_b", F.pmod("_h", F.lit(1 << HASH_BITS)))
+    counts = hashed.groupBy("_label", "_b").agg(F.sum("_n").alias("m"))
+    earlier = Window.partitionBy("_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_label", "_b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_label", "_b").orderBy("_h", "_digest").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    label = F.col("_label")
     share = _by_class(label, {c: missing[c] // sizes[c] for c in missing})
     rest = _by_class(label, {c: missing[c] % sizes[c] for c in missing})
-    ranked = hashed.join(offsets, ["label", "_b"]).withColumn("before", before)
-    extra = F.least(F.greatest(rest - F.col("before"), F.lit(0)), F.col("n"))
-    return ranked.withColumn("quota", share * F.col("n") + extra).where(F.col("quota") > 0).drop("_h", "_b", "offset", "before")
+    ranked = hashed.join(offsets, ["_label", "_b"]).withColumn("_before", before)
+    extra = F.least(F.greatest(rest - F.col("_before"), F.lit(0)), F.col("_n"))
+    return ranked.withColumn("_quota", share * F.col("_n") + extra).where(F.col("_quota") > 0).drop("_h", "_b", "_offset", "_before")
 
 
 def _between(df: DataFrame, ctx, base: DataFrame, near: DataFrame, seed: int) -> DataFrame:
     """``quota`` new rows per base row, each on the line to one of its k neighbours."""
     names = ctx.numeric(df)
-    spots = near.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "vec"))).alias("near"))  # k entries per row
-    keyed = base.withColumn("qid", F.xxhash64("digest", F.lit(1))).join(spots, "qid")
-    asked = expand(keyed, F.col("quota")).withColumnRenamed("_copy", "slot")
-    pick = F.floor(uniform(F.lit(seed), F.col("qid"), F.col("slot"), F.lit("pick")) * F.size("near")).cast("int")
-    gap = uniform(F.lit(seed), F.col("qid"), F.col("slot"), F.lit("gap"))
-    made = asked.withColumn("made", F.zip_with("vec", F.col("near")[pick]["vec"], lambda a, b: a + (b - a) * gap))
-    return made.select(*[F.col("made")[names.index(c)].alias(c) if c in names else q(c) for c in df.columns])
+    spots = near.withColumnRenamed("qid", "_qid").groupBy("_qid").agg(F.sort_array(F.collect_list(F.struct("rank", "vec"))).alias("_near"))  # k entries per row
+    keyed = base.withColumn("_qid", F.xxhash64("_digest", F.lit(1))).join(spots, "_qid")
+    asked = expand(keyed, F.col("_quota"))
+    pick = F.floor(uniform(F.lit(seed), F.col("_qid"), F.col("_copy"), F.lit("pick")) * F.size("_near")).cast("int")
+    gap = uniform(F.lit(seed), F.col("_qid"), F.col("_copy"), F.lit("gap"))
+    made = asked.withColumn("_made", F.zip_with("_vec", F.col("_near")[pick]["vec"], lambda a, b: a + (b - a) * gap))
+    return made.select(*[F.col("_made")[names.index(c)].alias(c) if c in names else q(c) for c in df.columns])
 
 
 def _as_doubles(df: DataFrame, ctx) -> DataFrame:
@@ -294,10 +294,10 @@ def _synthesise(df: DataFrame, ctx, k: int, seed: int, quotas) -> DataFrame:
         return random_oversampling(df, ctx, seed)
     known, line = df.where(label.isNotNull()), _widest(df, ctx)
     rows = cut(_distinct_rows(known, ctx, label))
-    minority = rows.where(F.col("label").isin(*missing))
+    minority = rows.where(F.col("_label").isin(*missing))
     base = quotas(rows, minority, missing, sizes, k, line)
     biggest = max(sizes[c] for c in missing)
-    near = neighbours(_points(minority, k, F.col("label"), F.lit(True), line), k, _blocks(biggest))
+    near = neighbours(_points(minority, k, F.col("_label"), F.lit(True), line), k, _blocks(biggest))
     return _as_doubles(known, ctx).unionByName(_as_doubles(_between(df, ctx, base, near, seed), ctx))
 
 
@@ -311,19 +311,19 @@ def smote(df: DataFrame, ctx, k_neighbors: int = 5, random_state: int = 42) -> D
 
 def _hard_quota(rows, minority, missing, sizes, k, line) -> DataFrame:
     """Quotas in proportion to the share of other classes among the k nearest rows of any class."""
-    label = F.col("label")
+    label = F.col("_label")
     asks = label.isin(*missing)
     around = neighbours(_points(rows, k, F.lit("all"), asks, line), k, _blocks(sum(sizes.values())))
-    keyed = minority.withColumn("qid", F.xxhash64("digest", F.lit(1)))
-    mixed = around.select("qid", "payload").join(keyed.select("qid", "label"), "qid")
-    share = cut(mixed.groupBy("qid").agg(F.avg((F.col("payload") != label).cast("double")).alias("share")))
-    weighted = keyed.join(share, "qid")
-    totals = {r["label"]: r["s"] for r in weighted.groupBy("label").agg(F.sum(F.col("share") * F.col("n")).alias("s")).collect()}
+    keyed = minority.withColumn("_qid", F.xxhash64("_digest", F.lit(1)))
+    mixed = around.select(F.col("qid").alias("_qid"), "payload").join(keyed.select("_qid", "_label"), "_qid")
+    share = cut(mixed.groupBy("_qid").agg(F.avg((F.col("payload") != label).cast("double")).alias("_share")))
+    weighted = keyed.join(share, "_qid")
+    totals = {r["_label"]: r["s"] for r in weighted.groupBy("_label").agg(F.sum(F.col("_share") * F.col("_n")).alias("s")).collect()}
     even = [c for c in missing if not totals.get(c)]
     want = _by_class(label, missing)
     total = F.create_map(*[F.lit(x) for c in missing for x in (c, float(totals.get(c) or 1.0))])[label]
-    hard = weighted.where(~label.isin(*even)).withColumn("quota", F.round(F.col("share") * F.col("n") / total * want).cast("long"))
-    hard = hard.where(F.col("quota") > 0).drop("qid", "share")
+    hard = weighted.where(~label.isin(*even)).withColumn("_quota", F.round(F.col("_share") * F.col("_n") / total * want).cast("long"))
+    hard = hard.where(F.col("_quota") > 0).drop("_qid", "_share")
     if not even:
         return hard
     # A class without a single foreign neighbour gets equal shares.

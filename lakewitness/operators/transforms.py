@@ -99,9 +99,10 @@ def label_encoding(df: DataFrame, ctx: Context) -> DataFrame:
     order, fields = df.columns, {f.name: f for f in df.schema.fields}
     for name in ctx.text(df):
         text = replace_columns(df, {name: as_text(fields[name])})
-        codes = ranks(text.select(q(name).alias("label")).where(F.col("label").isNotNull()).distinct(), "label")
-        coded = text.join(codes, q(name) == F.col("label"), "left")
-        df = coded.select(*[F.col("code").alias(c) if c == name else q(c) for c in order])
+        codes = ranks(text.select(q(name).alias("_label")).where(F.col("_label").isNotNull()).distinct(), "_label")
+        codes = codes.withColumnRenamed("code", "_code")
+        coded = text.join(codes, q(name) == F.col("_label"), "left")
+        df = coded.select(*[F.col("_code").alias(c) if c == name else q(c) for c in order])
     return df
 
 
