@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewitness.llm import chat, link_graph, mixing, quality, secret_scan, sharding
+from lakewitness.llm import chat, link_graph, mixing, near_copies, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -10,9 +10,11 @@ QUERIES = {
         link_graph.op1_link_graph_filter,
         secret_scan.op2_secret_ownership,
         chat.op3_chat_round_trip,
+        near_copies.op4_dart_minhash,
         mixing.op5_poisson_mixture,
         quality.op6_quality_fences,
         sharding.op8_hash_tree_shards,
+        toxicity.op9_ftrl_toxicity,
     )
 }
 ORACLES = {
