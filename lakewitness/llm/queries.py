@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewitness.llm import chat, link_graph, mixing, near_copies, quality, secret_scan, sharding, toxicity
+from lakewitness.llm import chat, decontaminate, link_graph, mixing, near_copies, quality, secret_scan, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -13,6 +13,7 @@ QUERIES = {
         near_copies.op4_dart_minhash,
         mixing.op5_poisson_mixture,
         quality.op6_quality_fences,
+        decontaminate.op7_template_windows,
         sharding.op8_hash_tree_shards,
         toxicity.op9_ftrl_toxicity,
     )
