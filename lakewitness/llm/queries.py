@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewitness.llm import chat, decontaminate, link_graph, mixing, near_copies, quality, secret_scan, sharding, toxicity
+from lakewitness.llm import chat, decontaminate, link_graph, mixing, near_copies, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         decontaminate.op7_template_windows,
         sharding.op8_hash_tree_shards,
         toxicity.op9_ftrl_toxicity,
+        repeats.op10_prefix_doubling,
     )
 }
 ORACLES = {
