@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewitness.session import ship_package
+
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -35,3 +41,27 @@ def unit_draw(*parts: Column) -> Column:
     """A number in (0, 1) that depends on the parts only: 52 bits of an MD5 of the parts joined by colons."""
     digits = F.substring(F.md5(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])), 1, 13)
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
+
+
+# Bytes of results a task holds before it passes them on.
+HELD_BYTES = 1 << 22
+
+
+def with_numbers(df: DataFrame, fn: Callable[[str], np.ndarray | None], name: str) -> DataFrame:
+    """The ``text`` column replaced by the 64-bit numbers ``fn`` makes of it, in Arrow pieces of bounded size."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, others = batch.column("text"), batch.drop_columns(["text"])
+            held, size, start = [], 0, 0
+            for k in range(batch.num_rows):
+                held.append(fn(texts[k].as_py()))
+                size += 0 if held[-1] is None else held[-1].nbytes
+                if size > HELD_BYTES or k == batch.num_rows - 1:
+                    columns = others.slice(start, k + 1 - start).columns
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(held, pa.list_(pa.int64()))], [*others.schema.names, name])
+                    held, size, start = [], 0, k + 1
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != "text")
+    return df.mapInArrow(run, f"{schema}, `{name}` array<bigint>")

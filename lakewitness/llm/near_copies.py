@@ -21,13 +21,12 @@ gives an empty result; other columns pass through.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewitness.llm.common import packed, table, text_digest, whole_text
+from lakewitness.llm.common import packed, table, text_digest, whole_text, with_numbers
 from lakewitness.llm.hashing import C, mix, ngrams, signed, word_hashes
-from lakewitness.session import cut, ship_package
+from lakewitness.session import cut
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -94,12 +93,8 @@ def band_hashes(text: str) -> np.ndarray | None:
     return signed(mix((grid * C[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * C[44]))
 
 
-def _bands(texts: pd.Series) -> pd.Series:
-    return pd.Series([band_hashes(t) for t in texts])
-
-
-def _elements(texts: pd.Series) -> pd.Series:
-    return pd.Series([signed(elements(t)) for t in texts])
+def _units(text: str) -> np.ndarray:
+    return signed(elements(text))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -107,11 +102,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def memberships(rows: DataFrame) -> DataFrame:
-    """band, node: the members of every bucket that holds different texts."""
-    bands = rows.select("node", F.explode(F.pandas_udf(_bands, "array<bigint>")("text")).alias("band"))
-    # equal texts meet in the partial aggregation, before the shuffle
-    ends = bands.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("band")
-    return bands.join(ends, "band").distinct()
+    """band, node: the members of every bucket that holds different texts.
+
+    Signatures are made once per document, kept as one short array per different text, and read twice.
+    """
+    signed_ = with_numbers(rows.select("node", "text"), band_hashes, "bands")
+    once = cut(signed_.groupBy("node").agg(F.first("bands").alias("bands")))
+    bands = once.select("node", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    return bands.join(shared, "band")
 
 
 def unit_arrays(rows: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -119,7 +118,7 @@ def unit_arrays(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     first = rows.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("_doc"))
     wanted = first.join(nodes, "node").withColumnRenamed("node", "_node")
     held = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    found = held.select("node", F.pandas_udf(_elements, "array<bigint>")("text").alias("units"))
+    found = with_numbers(held.select("node", "text"), _units, "units")
     return found.groupBy("node").agg(F.first("units").alias("units"))
 
 
@@ -186,7 +185,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """node, class_id, keep_doc, keep_node: per different text, its class and the one row of it that stays."""
-    ship_package(docs.sparkSession)
     rows = keyed(docs)
     roots = components(links(rows))
     texts = rows.groupBy("node").agg(F.min("doc_id").alias("doc"))
