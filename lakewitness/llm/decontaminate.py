@@ -5,7 +5,7 @@ placeholders, other words lose case and outer punctuation; tokens without a lett
 template words are hashed and joined with the windows of the benchmark. A window in which placeholders outnumber the
 words says too little as a template and is hashed with its values instead. Along one alignment of a document with an
 item, the same value of the item must always stand for the same value of the document: then the match is a
-verbatim or re-parameterised question. A document is contaminated if consistent windows cover COVER words of an item
+verbatim or re-parameterised question; otherwise only its verbatim windows count. A document is contaminated if consistent windows cover COVER words of an item
 (all words of a shorter one).
 
 Defined results: a null text has no words; an item with fewer than SHORTEST words can't be told from ordinary text and matches
@@ -155,16 +155,18 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     length = wanted.groupBy("item").agg((F.max("at") + F.max("size")).alias("length"))
     right = wanted.join(length, "item").select("item", "window", "size", "length", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     pairs = found.join(right, ["window", "size"]).where(F.size("slots") == F.size("item_slots"))
+    own_words = F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)
     one = pairs.groupBy("doc_key", "item", "length", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)))).alias("words"),
+        F.array_distinct(F.flatten(F.collect_set(own_words))).alias("words"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("slots") == F.col("item_slots"), own_words)))).alias("verbatim"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))))).alias("values"),
     )
-    own = F.array_distinct(F.transform("values", lambda v: v["i"]))
-    consistent = one.where(F.size("values") == F.size(own))
-    long_enough = F.size("words") >= F.least(F.lit(COVER), F.col("length"))
-    return consistent.where(long_enough).select(
-        "doc_key", "item", F.size("words").alias("covered"), F.exists("values", lambda v: v["i"] != v["d"]).alias("reworded")
-    )
+    consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda v: v["i"])))
+    # where values contradict each other, only what is verbatim counts
+    covered = F.when(consistent, F.size("words")).otherwise(F.size("verbatim"))
+    reworded = consistent & F.exists("values", lambda v: v["i"] != v["d"])
+    judged = one.select("doc_key", "item", "length", covered.alias("covered"), reworded.alias("reworded"))
+    return judged.where(F.col("covered") >= F.least(F.lit(COVER), F.col("length"))).drop("length")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
