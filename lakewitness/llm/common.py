@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewitness.session import ship_package
+from lakewitness.session import cut, ship_package
 
 EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
@@ -65,3 +66,11 @@ def with_numbers(df: DataFrame, fn: Callable[[str], np.ndarray | None], name: st
 
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != "text")
     return df.mapInArrow(run, f"{schema}, `{name}` array<bigint>")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``cut``, after which the shuffle files behind ``df`` may go: Spark deletes them when the driver collects its garbage."""
+    out = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -8,10 +8,12 @@ and the others are ranked again at a longer offset:
    anchor. Equal strings have equal anchors, so a start can only repeat if its anchor's gram does. Consecutive
    starts with one anchor form a run, about one for 76 bytes.
 2. Rank of the whole stretch that the strings of a run cover: where it repeats, all its starts do.
-3. Rank at LENGTH bytes, place by place, only in runs that repeat in step 1 and not in step 2 (and once for each repeated
-   stretch beside them).
+3. In the other runs with a repeated gram, blocks of BLOCK starts, counted from the anchor, are ranked by what all
+   their strings share (no repeat: none of them repeats) and by what they cover together (a repeat: all do).
+4. Rank at LENGTH bytes, start by start, only in blocks that are still open, and in known ones that share
+   their middle with an open one. Runs whose gram occurs more than once in a run of its group skip step 3.
 
-Only fingerprints and places are shuffled in steps 1 and 3; texts move once, and only those with repeated grams are kept.
+Only fingerprints and places are shuffled; texts move once, and only those with repeated grams are kept.
 Work per document is one task's, memory about 60 bytes for each byte of the longest text.
 
 Defined results: a null text has no bytes and the digest of the empty string; texts under LENGTH bytes lose nothing;
@@ -30,14 +32,17 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewitness.llm.common import table, text_digest, whole_text
-from lakewitness.llm.hashing import Stretches, signed
-from lakewitness.session import cut, ship_package
+from lakewitness.llm.common import settled, table, text_digest, whole_text
+from lakewitness.llm.hashing import C, Stretches, mix, signed
+from lakewitness.session import ship_package
 
 LENGTH, GRAM = 200, 50
 GRAMS = LENGTH - GRAM + 1
 # Of a run: surely repeated; so, but its strings are compared with other runs'; to be found out.
 SURE, SHARED, OPEN = 1, 2, 3
+# Added to the status where the gram occurs more than once in a run of its group.
+LOOPS, STATUS_BITS = 4, 3
+BLOCK = 8
 
 
 def _least(h: np.ndarray, size: int) -> np.ndarray:
@@ -81,25 +86,58 @@ class Runs:
             out[a : a + 4096][again | (e - s > GRAMS)] = 2
         return out
 
-    def judged(self, run: np.ndarray, status: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Surely repeated starts (a mask); fingerprints to count twice; open fingerprints and their starts."""
-        sure = np.zeros(self.places + 1, np.int32)
-        known = run[status != OPEN]
-        np.add.at(sure, self.starts[known], 1)
-        np.add.at(sure, self.ends[known], -1)
-        sure = np.cumsum(sure[:-1]) > 0
-        looked = np.sort(run[status != SURE])
-        sizes = self.ends[looked] - self.starts[looked]
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[looked], sizes)
-        prints = self.stretches.hashes(at, at + LENGTH)
-        _, first, inverse, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-        twice = counts[inverse] > 1
+    def blocks(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of the given runs, none of which loops: run, first start, rank of the shared middle, rank of the whole, is whole."""
+        views = sliding_window_view(self.h, GRAMS)
+        anchor = np.zeros(len(run), np.int64)
+        for a in range(0, len(run), 4096):
+            s = self.starts[run[a : a + 4096]]
+            anchor[a : a + 4096] = s + (views[s] == self.gram[run[a : a + 4096], None]).argmax(axis=1)
+        low = (self.starts[run] - anchor) // BLOCK
+        size = (self.ends[run] - 1 - anchor) // BLOCK - low + 1
+        owner = np.repeat(np.arange(len(run)), size)
+        first = anchor[owner] + BLOCK * (low[owner] + np.arange(len(owner)) - (np.cumsum(size) - size)[owner])
+        gram = self.gram[run[owner]]
+        middle = mix(self.stretches.hashes(first + BLOCK - 1, first + LENGTH) + gram * C[10])
+        fits = (first >= 0) & (first + BLOCK - 1 < self.places)
+        at = np.where(fits, first, 0)
+        whole = mix(self.stretches.hashes(at, np.where(fits, at + BLOCK - 1 + LENGTH, 0)) + gram * C[11])
+        return run[owner], first, middle, whole, fits
+
+    def judged(self, flags: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Surely repeated starts (a mask); ranks to count twice; open ranks and their starts."""
+        run, status, loops = flags >> STATUS_BITS, flags & 3, (flags & LOOPS) > 0
+        sure, shared = self._spread(self.starts[run], self.ends[run], status != OPEN), self._spread(self.starts[run], self.ends[run], loops & (status == SHARED))
+        open_ = self._spread(self.starts[run], self.ends[run], loops & (status == OPEN))
+        plain = ~loops & (status != SURE)
+        state = np.zeros(len(self.starts), np.int64)
+        state[run] = status
+        owner, first, _, _, _ = self.blocks(run[plain])
+        known = dict(zip(codes.tolist(), counts.tolist()))
+        middle = np.array([known.get(c, 1) for c in ((first + BLOCK) * 2).tolist()], np.int64)
+        whole = np.array([known.get(c, 0) for c in ((first + BLOCK) * 2 + 1).tolist()], np.int64)
+        low, high = np.maximum(first, self.starts[owner]), np.minimum(first + BLOCK, self.ends[owner])
+        sure |= self._spread(low, high, whole > 1)
+        settled = (state[owner] == SHARED) | (whole > 1)
+        shared |= self._spread(low, high, settled & (middle > whole))
+        open_ |= self._spread(low, high, ~settled & (middle > 1))
+        at = np.flatnonzero(shared | open_)
+        ranks = self.stretches.hashes(at, at + LENGTH)
+        _, where, inverse, n = np.unique(ranks, return_index=True, return_inverse=True, return_counts=True)
+        twice = n[inverse] > 1
+        once = np.zeros(len(at), bool)
+        once[where[n > 1]] = True
         sure[at[twice]] = True
-        shared = np.zeros(len(at), bool)
-        shared[first[counts > 1]] = True
-        shared |= sure[at] & ~twice
-        open_ = ~sure[at]
-        return sure, prints[shared], prints[open_], at[open_]
+        counted = once | (shared[at] & ~twice)
+        asked = open_[at] & ~sure[at]
+        return sure, ranks[counted], ranks[asked], at[asked]
+
+    def _spread(self, low: np.ndarray, high: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Mask of the starts within the chosen ranges."""
+        edge = np.zeros(self.places + 1, np.int32)
+        np.add.at(edge, low[chosen], 1)
+        np.add.at(edge, high[chosen], -1)
+        return np.cumsum(edge[:-1]) > 0
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,30 +160,60 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts, counts, held, done = [], [], 0, k + 1
 
 
-def _print_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """print, weight, node, place (-1: only counts) for the texts with flagged runs."""
+def _batch(node: pa.Array, ranks: np.ndarray, weight: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    nodes = node.take(pa.array(np.zeros(len(ranks), np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(signed(ranks)), pa.array(weight.astype(np.int32)), nodes, pa.array(place.astype(np.int32))], ["rank", "weight", "node", "place"])
+
+
+def _flags(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    return batch.column("flags")[k].values.to_numpy()
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rank, weight, node, place (first start + BLOCK, times two, plus 1 for the whole) of the blocks to look at."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            flags = _flags(batch, k)
+            flags = flags[((flags & LOOPS) == 0) & ((flags & 3) != SURE)]
+            if not len(flags):
+                continue
+            r = Runs(batch.column("data")[k].as_py())
+            owner, first, middle, whole, fits = r.blocks(flags >> STATUS_BITS)
+            state = np.zeros(len(r.starts), np.int64)
+            state[flags >> STATUS_BITS] = flags & 3
+            place = np.concatenate([(first + BLOCK) * 2, (first[fits] + BLOCK) * 2 + 1])
+            ranks = np.concatenate([middle, whole[fits]])
+            weight = np.where(state[np.concatenate([owner, owner[fits]])] == SHARED, 2, 1)
+            # a block that two runs with one gram reach is one place
+            order = np.lexsort((-weight, ranks, place))
+            place, ranks, weight = place[order], ranks[order], weight[order]
+            new = np.append(True, (place[1:] != place[:-1]) | (ranks[1:] != ranks[:-1]))
+            yield _batch(batch.column("node").slice(k, 1), ranks[new], weight[new], place[new])
+
+
+def _known(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of a text's blocks."""
+    found = batch.column("blocks")[k]
+    if not found.is_valid:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return found.values.field("place").to_numpy().astype(np.int64), found.values.field("all").to_numpy()
+
+
+def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rank, weight, node, place (-1: only counts) of the starts still open and of those they are compared with."""
     for batch in batches:
         for k in range(batch.num_rows):
             r = Runs(batch.column("data")[k].as_py())
-            flags = np.array(batch.column("flags")[k].as_py(), np.int64)
-            _, shared, open_, at = r.judged(flags >> 2, flags & 3)
-            n, m = len(shared), len(open_)
-            if n + m:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(signed(np.concatenate([shared, open_]))),
-                        pa.array(np.repeat(np.array([2, 1], np.int32), [n, m])),
-                        batch.column("node").slice(k, 1).take(pa.array(np.zeros(n + m, np.int64))),
-                        pa.array(np.concatenate([np.full(n, -1), at]).astype(np.int32)),
-                    ],
-                    ["print", "weight", "node", "place"],
-                )
-
-
-def removed(data: bytes, flags: np.ndarray, places: np.ndarray) -> tuple[int, int, str]:
+            _, counted, asked, at = r.judged(_flags(batch, k), *_known(batch, k))
+            if len(counted) + len(asked):
+                weight = np.repeat([2, 1], [len(counted), len(asked)])
+                yield _batch(batch.column("node").slice(k, 1), np.concatenate([counted, asked]), weight, np.concatenate([np.full(len(counted), -1), at]))
+
+
+def removed(data: bytes, flags: np.ndarray, codes: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[int, int, str]:
     """Removed bytes, removed spans and the digest of the rest."""
     r = Runs(data)
-    starts = r.judged(flags >> 2, flags & 3)[0]
+    starts = r.judged(flags, codes, counts)[0]
     starts[places] = True
     at = np.flatnonzero(starts)
     edge = np.zeros(r.n + 1, np.int32)
@@ -159,7 +227,7 @@ def removed(data: bytes, flags: np.ndarray, places: np.ndarray) -> tuple[int, in
 def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = [
-            removed(batch.column("data")[k].as_py(), np.array(batch.column("flags")[k].as_py(), np.int64), np.array(batch.column("places")[k].as_py() or [], np.int64))
+            removed(batch.column("data")[k].as_py(), _flags(batch, k), *_known(batch, k), np.array(batch.column("places")[k].as_py() or [], np.int64))
             for k in range(batch.num_rows)
         ]
         if out:
@@ -170,38 +238,48 @@ def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def flagged_runs(rows: DataFrame) -> DataFrame:
-    """node, flags: run * 4 + status for every run that may hold repeated strings."""
+    """node, flags: run << STATUS_BITS | status for every run that may hold repeated strings."""
     runs = rows.select("node", F.col("text").cast("binary").alias("data")).mapInArrow(_run_rows, "node binary, run int, gram bigint, stretch bigint, weight int")
-    again = runs.groupBy("gram").agg(F.sum("weight").alias("all")).where(F.col("all") > 1).select("gram")
-    runs = cut(runs.join(again, "gram"))
+    again = runs.groupBy("gram").agg(F.sum("weight").alias("all"), F.max("weight").alias("most")).where(F.col("all") > 1).select("gram", "most")
+    runs = settled(runs.drop("weight").join(again, "gram"))
     stretches = runs.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("node", "run")).alias("first"))
     mixed = stretches.groupBy("gram").agg(F.max(F.col("n") == 1).alias("mixed"))
     judged = stretches.join(mixed, "gram").select("gram", "stretch", "n", "mixed", "first")
     first = F.col("first") == F.struct("node", "run")
     status = F.when(F.col("n") == 1, OPEN).when(F.col("mixed") & first, SHARED).otherwise(SURE)
-    flag = F.col("run").cast("long") * 4 + status
+    flag = F.shiftleft(F.col("run").cast("long"), STATUS_BITS) + status + F.when(F.col("most") > 1, LOOPS).otherwise(0)
     return runs.join(judged, ["gram", "stretch"]).select("node", flag.alias("flag")).groupBy("node").agg(F.collect_set("flag").alias("flags"))
 
 
+def _ranked(texts: DataFrame, make) -> DataFrame:
+    """node, place, all: how often each place's rank occurs, where it does more than once."""
+    ranks = settled(texts.mapInArrow(make, "rank bigint, weight int, node binary, place int"))
+    again = ranks.groupBy("rank").agg(F.sum("weight").alias("all")).where(F.col("all") > 1)
+    return ranks.where("place >= 0").select("rank", "node", "place").join(again, "rank").select("node", "place", "all")
+
+
 def repeated_parts(rows: DataFrame) -> DataFrame:
     """node, n_removed, n_spans, kept_sha256 of every different text that may lose something. rows: doc_id, node, text."""
     ship_package(rows.sparkSession)
-    flags = cut(flagged_runs(rows))
+    flags = settled(flagged_runs(rows))
     first = rows.select("node", "doc_id").groupBy("node").agg(F.min("doc_id").alias("_doc"))
     wanted = first.join(flags, "node").withColumnRenamed("node", "_node")
     held = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
-    texts = cut(held.groupBy("node").agg(F.first(F.struct(F.col("text").cast("binary").alias("data"), "flags")).alias("x")).select("node", "x.*"))
-    prints = cut(texts.mapInArrow(_print_rows, "print bigint, weight int, node binary, place int"))
-    again = prints.groupBy("print").agg(F.sum("weight").alias("all")).where(F.col("all") > 1).select("print")
-    places = prints.where("place >= 0").join(again, "print").groupBy("node").agg(F.collect_set("place").alias("places"))
-    whole = texts.join(places, "node", "left").select("node", "data", "flags", "places")
+    # of equal rows one
+    one = held.groupBy("node").agg(F.first(F.struct(F.col("text").cast("binary").alias("data"), "flags")).alias("x"))
+    texts = settled(one.select("node", "x.*"))
+    blocks = _ranked(texts, _block_rows).groupBy("node").agg(F.collect_set(F.struct("place", "all")).alias("blocks"))
+    blocks = settled(blocks)
+    judged = texts.join(blocks, "node", "left").select("node", "data", "flags", "blocks")
+    places = settled(_ranked(judged, _start_rows).groupBy("node").agg(F.collect_set("place").alias("places")))
+    whole = judged.join(places, "node", "left").select("node", "data", "flags", "blocks", "places")
     return whole.mapInArrow(_removed_rows, "node binary, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def op10_prefix_doubling(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     text = whole_text()
-    parts = cut(repeated_parts(docs.select("doc_id", text_digest(text).alias("node"), text.alias("text"))))
+    parts = settled(repeated_parts(docs.select("doc_id", text_digest(text).alias("node"), text.alias("text"))))
     own = docs.select("doc_id", text_digest(text).alias("node"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("digest"))
     return own.join(parts, "node", "left").select(
         "doc_id",
