@@ -7,11 +7,12 @@ earliest dart. Strips of growing rank are thrown until every coordinate has one,
 k log k darts, not k times the number of shingles. Two signatures agree in a coordinate with the probability of the
 weighted Jaccard similarity.
 
-Bands of ROWS coordinates give candidates: 1 - (1 - 0.8**5)**32 = 0.999997 of the pairs at similarity 0.8, more above.
-An exact check of the weighted Jaccard similarity of the shingles (64-bit hashes) follows. In a bucket, all members
-are compared with one pivot first. Only where some are unlike it does the bucket go on, with those and with the
-members so far from the pivot that the triangle inequality allows a link to one of them; then all links between
-them are tried, pivots in growing blocks. Links give classes by connected components.
+Bands of ROWS coordinates give candidates: 1 - (1 - 0.8**6)**40 = 0.999995 of the pairs at similarity 0.8, more above.
+An exact check of the weighted Jaccard similarity of the shingles (64-bit hashes) follows. Only classes are wanted, so a
+bucket whose members are already connected is closed. A few rounds compare all members of the open buckets with one
+pivot each, another one every round; that connects groups of copies of any size with work in proportion to the
+buckets. In the buckets left open, every member outside the largest class is compared with all members of other
+classes there, in growing blocks, until no candidate link is untried. Links give classes by connected components.
 
 Defined results: a null text is empty; texts without words are a class for each equal text; equal texts are one
 class; class_id is the smallest doc_id of the class, null if it has none; of equal rows one stays; an empty table
@@ -24,15 +25,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewitness.llm.common import packed, table, text_digest, whole_text, with_numbers
+from lakewitness.llm.common import packed, settled, table, text_digest, whole_text, with_numbers
 from lakewitness.llm.hashing import C, mix, ngrams, signed, word_hashes
 from lakewitness.session import cut
 
 WORDS, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 # Strips double from the first width up to the last, which they then keep.
 FIRST_STRIP, LAST_STRIP = 0.25, 256.0
+PIVOT_ROUNDS, FIRST_BLOCK = 4, 8
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 _IS_WORD = np.ones(256, np.int8)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = 0
@@ -107,7 +109,7 @@ def memberships(rows: DataFrame) -> DataFrame:
     Signatures are made once per document, kept as one short array per different text, and read twice.
     """
     signed_ = with_numbers(rows.select("node", "text"), band_hashes, "bands")
-    once = cut(signed_.groupBy("node").agg(F.first("bands").alias("bands")))
+    once = settled(signed_.groupBy("node").agg(F.first("bands").alias("bands")))
     bands = once.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     return bands.join(shared, "band")
@@ -131,36 +133,45 @@ def similarities(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("_a") + F.size("_b") - shared)).alias("similarity"))
 
 
-def links(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b: links between different texts, enough to connect all that similar pairs among the candidates connect."""
-    members = cut(memberships(rows))
-    units = cut(unit_arrays(rows, members.select("node").distinct()))
-    pivots = members.groupBy("band").agg(F.min("node").alias("a"))
-    pairs = members.join(pivots, "band").where(F.col("node") != F.col("a")).select("band", "a", F.col("node").alias("b"))
-    known = cut(similarities(pairs.select("a", "b").distinct(), units))
-    found = known.where(F.col("similarity") >= similarity).select("a", "b")
-    # distance is a metric: a member can only be linked to one unlike the pivot if their distances from it differ by no more than a link's
-    reach = 1 - similarity + 1e-9
-    seen = pairs.join(known, ["a", "b"]).select("band", "b", (1 - F.col("similarity")).alias("far"))
-    unlike = seen.where(F.col("far") > reach).groupBy("band").agg(F.min("far").alias("least"))
-    left = seen.join(unlike, "band").where(F.col("far") >= F.col("least") - reach).select("band", F.col("b").alias("node"), (F.col("far") > reach).alias("unlike"))
-    left, block = cut(left), 8
-    while True:
-        open_ = left.where("unlike")
-        if not open_.limit(1).count():
-            return found
-        chosen = cut(_some(open_, block))
-        tried = left.join(chosen, "band").where(F.col("node") != F.col("a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        tried = cut(similarities(tried, units))
-        found = found.union(tried.where(F.col("similarity") >= similarity).select("a", "b"))
-        left = cut(left.join(chosen.withColumnRenamed("a", "node"), ["band", "node"], "left_anti"))
+def still_open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """band, node, root: the members of the buckets that hold more than one class so far."""
+    known = members.select("band", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = known.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    return cut(known.join(ends, "band").select("band", "node", "root"))
+
+
+def rooted_nodes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """node, root: the class of every text that is linked to a different one."""
+    members = settled(memberships(rows))
+    units = settled(unit_arrays(rows, members.select("node").distinct()))
+    roots = members.limit(0).select("node", F.col("node").alias("root"))
+
+    def tried(open_: DataFrame, chosen: DataFrame) -> DataFrame:
+        """The classes, after the chosen members (band, a, root) were compared with those of other classes in their bucket."""
+        pairs = open_.join(chosen.withColumnRenamed("root", "own"), "band").where(F.col("root") != F.col("own"))
+        pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
+        found = cut(similarities(pairs, units).where(F.col("similarity") >= similarity).select("a", "b"))
+        return roots if found.isEmpty() else components(found.union(roots.select("node", "root")))
+
+    for k in range(PIVOT_ROUNDS):
+        open_ = still_open(members, roots)
+        if open_.isEmpty():
+            return roots
+        # one order for all buckets, so that the same pairs come up in many of them
+        pivot = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), F.col("node").alias("a"), "root")).alias("p")
+        roots = tried(open_, open_.groupBy("band").agg(pivot).select("band", "p.a", "p.root"))
+    left, block = still_open(members, roots), FIRST_BLOCK
+    while not left.isEmpty():
+        sizes = left.groupBy("band", "root").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m")).select("band", F.col("m.root").alias("most"))
+        outside = left.join(largest, "band").where(F.col("root") != F.col("most"))
+        # up to a block of them in each bucket, one from each part of a hash, so that no bucket is gathered
+        part = F.pmod(F.xxhash64("node"), F.lit(block))
+        chosen = cut(outside.groupBy("band", part.alias("part")).agg(F.min(F.struct("node", "root")).alias("c")).select("band", F.col("c.node").alias("a"), "c.root"))
+        roots = tried(left, chosen)
+        left = still_open(left.join(chosen.select("band", F.col("a").alias("node")), ["band", "node"], "left_anti"), roots)
         block *= 4
-
-
-def _some(open_: DataFrame, most: int) -> DataFrame:
-    """band, a: up to ``most`` nodes of each bucket, one from each part of a hash, so that no bucket is gathered."""
-    parts = open_.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(most)).alias("part")).agg(F.min("node").alias("a"))
-    return parts.select("band", "a")
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,7 +197,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """node, class_id, keep_doc, keep_node: per different text, its class and the one row of it that stays."""
     rows = keyed(docs)
-    roots = components(links(rows))
+    roots = rooted_nodes(rows)
     texts = rows.groupBy("node").agg(F.min("doc_id").alias("doc"))
     rooted = cut(texts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     # nulls come last
