@@ -9,11 +9,6 @@ from pyspark.sql import types as T
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
-# Labels longer than this are stored as a digest, so that value counts over free text shuffle
-# 71 characters per distinct text and not the text itself.
-LONG_LABEL = 256
-DIGEST_PREFIX = "sha256:"
-
 # Largest magnitude at which every whole number is exact in a double.
 EXACT_INTEGER = 2**53
 
@@ -60,11 +55,6 @@ def as_text(field: T.StructField) -> Column:
     return present(field).cast("string")
 
 
-def stored_label(text: Column) -> Column:
-    """Short labels as they are, long ones as a digest."""
-    return F.when(F.length(text) > LONG_LABEL, F.concat(F.lit(DIGEST_PREFIX), F.sha2(text, 256))).otherwise(text)
-
-
 def logical_dtype(base: Column, missing: Column) -> Column:
     """Whole numbers and booleans change their label once a value is missing."""
     return (
@@ -74,28 +64,45 @@ def logical_dtype(base: Column, missing: Column) -> Column:
     )
 
 
-def number_text(field: T.StructField) -> Column:
-    """Text of a number at 15 significant digits, the same for whole and fractional columns.
+def exact_text(field: T.StructField) -> Column:
+    """Text of a cell, equal for two cells of a type family exactly when their values are equal.
+
+    A number that a double holds exactly is written as one, so whole and fractional columns compare; 0.0 and -0.0
+    are one value. Larger whole numbers and longer decimals keep their digits.
+    """
+    if not is_numeric(field.dataType):
+        return as_text(field)
+    value = present(field)
+    text = (value.cast("double") + F.lit(0.0)).cast("string")
+    if isinstance(field.dataType, T.LongType):
+        return F.when(F.abs(value) > EXACT_INTEGER, value.cast("string")).otherwise(text)
+    if isinstance(field.dataType, T.DecimalType):
+        same = value.cast("double").cast(field.dataType) == value
+        return F.when(same, text).when(value.isNotNull(), value.cast("string"))
+    return text
+
+
+def rounded_text(field: T.StructField) -> Column:
+    """``exact_text`` with fractional numbers at 15 significant digits.
 
     A shortest decimal form of at most 16 characters has no more digits than that; only the longer
     ones pay for formatting.
     """
-    number = present(field).cast("double")
-    text = number.cast("string")
-    if isinstance(field.dataType, INTEGRAL):
+    text = exact_text(field)
+    if not isinstance(field.dataType, FRACTIONAL):
         return text
-    rounded = F.format_string("%.14e", number).cast("double").cast("string")
-    return F.when(F.length(text) <= 16, text).when(number.isNotNull(), rounded)
+    number = present(field).cast("double") + F.lit(0.0)
+    return F.when(F.length(text) <= 16, text).when(number.isNotNull(), F.format_string("%.14e", number).cast("double").cast("string"))
 
 
-def row_digest(df: DataFrame, names: list[str]) -> Column:
-    """32 byte digest of the named cells, equal exactly when the normalised cells are equal.
+def row_digest(df: DataFrame, names: list[str], exact: list[str] | None = None) -> Column:
+    """32 byte digest of the named cells, equal exactly when the cells are equal.
 
     A JSON array keeps missing cells apart from text and escapes quotes, so no two different rows
-    share one text.
+    share one text. With ``exact``, the cells of all other columns are rounded first.
     """
     fields = {f.name: f for f in df.schema.fields}
-    cells = [number_text(fields[n]) if is_numeric(fields[n].dataType) else as_text(fields[n]) for n in names]
+    cells = [(exact_text if exact is None or n in exact else rounded_text)(fields[n]) for n in names]
     return F.unhex(F.sha2(F.to_json(F.array(*cells)), 256))
 
 

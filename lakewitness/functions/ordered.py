@@ -3,7 +3,7 @@
 A plain window over ``(version, column)`` would sort every distinct value of a near-unique column
 in one task. Here each group is first split at approximate quantiles into ``BUCKETS`` ranges of
 about equal size. Bucket totals are a small relation; their running sums give each bucket its
-offset, and the exact work happens inside one bucket. Small inputs use a single bucket.
+offset, and the exact work happens inside one bucket.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-SMALL_ROWS = 2_000_000
 
 
 def with_bucket(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFrame:

@@ -452,9 +452,9 @@ def target_associations(df: DataFrame, version_id: int, target: str) -> DataFram
     by_name = {f.name: f for f in df.schema.fields}
 
     def text(field) -> Column:
-        from lakewitness.functions.columns import present, stored_label
+        from lakewitness.functions.columns import exact_text
 
-        return present(field).cast("double").cast("string") if is_numeric(field.dataType) else stored_label(as_text(field))
+        return exact_text(field)
 
     cells = df.where(text(by_name[target]).isNotNull()).select(
         text(by_name[target]).alias("t"),

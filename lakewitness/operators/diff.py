@@ -23,6 +23,8 @@ from lakewitness.lookups import (
 from lakewitness.operators.value_counts import is_missing, union_all
 
 PAIR_COLUMN = ["pair_id", "column"]
+# Pair numbers are previous * PAIR_BASE + current.
+PAIR_BASE = 2**32
 SIDES = {"previous": "previous_version_id", "current": "current_version_id"}
 SUMMARY = ["mean", "median", "std", "min", "max"]
 
@@ -38,6 +40,12 @@ def parent_pairs(versions: DataFrame, configurations: DataFrame) -> DataFrame:
     )
 
 
+def pair_number(previous: Column, current: Column) -> Column:
+    """One number for two version ids of up to 31 bits; larger ones are refused, as two pairs could share a number."""
+    fits = (previous >= 0) & (previous < PAIR_BASE // 2) & (current >= 0) & (current < PAIR_BASE)
+    return F.when(fits, previous * PAIR_BASE + current).otherwise(F.raise_error(F.lit("version ids must be below 2^31")).cast("long"))
+
+
 def any_pairs(versions: DataFrame, configurations: DataFrame) -> DataFrame:
     """Every ordered pair of versions of one dataset; the later one's target counts."""
     v = versions.select("dataset_id", "version_id", "version_number")
@@ -46,7 +54,7 @@ def any_pairs(versions: DataFrame, configurations: DataFrame) -> DataFrame:
     joined = earlier.join(later, "dataset_id").where(F.col("pn") < F.col("cn"))
     targets = configurations.select(F.col("version_id").alias("current_version_id"), "target_column")
     return joined.join(targets, "current_version_id").select(
-        (F.col("previous_version_id") * 1000000 + F.col("current_version_id")).alias("pair_id"),
+        pair_number(F.col("previous_version_id"), F.col("current_version_id")).alias("pair_id"),
         "previous_version_id",
         "current_version_id",
         "target_column",
@@ -206,7 +214,7 @@ def keyed_row_diff(pair_id: int, previous: DataFrame, current: DataFrame, keys:
     common = sorted(set(previous.columns) & set(current.columns))
 
     def side(df: DataFrame, old: bool) -> DataFrame:
-        row, none = row_digest(df, common), F.lit(None).cast("binary")
+        row, none = row_digest(df, common, exact=keys), F.lit(None).cast("binary")
         return df.select(
             row_digest(df, keys).alias("key"), (row if old else none).alias("old"), (none if old else row).alias("new")
         )
@@ -231,7 +239,7 @@ def multiset_row_diff(pair_id: int, previous: DataFrame, current: DataFrame) ->
     common = sorted(set(previous.columns) & set(current.columns))
 
     def side(df: DataFrame, old: int) -> DataFrame:
-        return df.select(row_digest(df, common).alias("row"), F.lit(old).alias("old"), F.lit(1 - old).alias("new"))
+        return df.select(row_digest(df, common, exact=[]).alias("row"), F.lit(old).alias("old"), F.lit(1 - old).alias("new"))
 
     counted = side(previous, 1).unionByName(side(current, 0)).groupBy("row").agg(
         F.sum("old").alias("old"), F.sum("new").alias("new")
@@ -458,15 +466,22 @@ def structure_scores(categories: DataFrame) -> DataFrame:
 
 def dsi_components(pairs: DataFrame, all_shifts: DataFrame) -> DataFrame:
     """Drift score over the features; the target is left out."""
-    s = F.col("shift_score")
+    # shift scores have three decimals: in whole thousandths, sums don't depend on their order and ties round one way
+    s = F.round(F.col("shift_score") * 1000).cast("long")
     parts = all_shifts.where(~F.col("is_target")).groupBy("pair_id").agg(
-        F.avg(s / 100).alias("mean_feature_shift"),
-        F.max(s / 100).alias("max_feature_shift"),
-        (F.count_if(s >= DRIFTED_FEATURE_SHIFT) / F.count(F.lit(1))).alias("drifted_feature_ratio"),
+        F.sum(s).alias("total"), F.max(s).alias("most"), F.count_if(s >= DRIFTED_FEATURE_SHIFT * 1000).alias("drifted"), F.count(s).alias("n")
+    )
+    filled = pairs.select("pair_id").join(parts, "pair_id", "left").fillna(0, ["total", "most", "drifted"]).fillna(1, ["n"])
+    hundredths = {k: round(w * 100) for k, w in DSI_WEIGHTS.items()}
+    top = hundredths["mean_feature_shift"] * F.col("total") + F.col("n") * hundredths["max_feature_shift"] * F.col("most") + hundredths["drifted_feature_ratio"] * 100_000 * F.col("drifted")
+    thousandths = F.expr("(2 * top + 100 * n) div (200 * n)")
+    return filled.withColumn("top", top).select(
+        "pair_id",
+        (F.col("total") / (F.col("n") * 100_000)).alias("mean_feature_shift"),
+        (F.col("most") / 100_000).alias("max_feature_shift"),
+        (F.col("drifted") / F.col("n")).alias("drifted_feature_ratio"),
+        (F.least(F.greatest(thousandths, F.lit(0)), F.lit(100_000)) / 1000).alias("dsi_score"),
     )
-    filled = pairs.select("pair_id").join(parts, "pair_id", "left").fillna(0.0, list(DSI_WEIGHTS))
-    total = sum((F.col(k) * w for k, w in DSI_WEIGHTS.items()), F.lit(0.0))
-    return filled.withColumn("dsi_score", F.round(F.least(F.greatest(100 * total, F.lit(0.0)), F.lit(100.0)), 3))
 
 
 def diff_scores(pairs: DataFrame, schema: DataFrame, rows: DataFrame | None, missing: DataFrame, structure: DataFrame, dsi: DataFrame) -> DataFrame:

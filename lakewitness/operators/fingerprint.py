@@ -13,9 +13,9 @@ V = "version_id"
 
 
 def text(value: Column) -> Column:
-    """A JSON string, quotes and backslashes escaped; null stays null."""
-    escaped = F.regexp_replace(value, r'(["\\])', r"\\$1")
-    return F.when(value.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), escaped, F.lit('"')))
+    """A JSON string with quotes, backslashes and control characters escaped; null stays null."""
+    one = F.to_json(F.array(value))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
 
 
 def sha(value: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewitness.functions.columns import as_text, present
-from lakewitness.functions.ordered import BUCKETS, SMALL_ROWS, weighted_quantiles
+from lakewitness.functions.ordered import BUCKETS, weighted_quantiles
 from lakewitness.operators.value_counts import value_counts
 
 
@@ -35,14 +35,10 @@ def medians_where_missing(df: DataFrame, columns: list[str]) -> dict[str, float
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles. Tables above ``SMALL_ROWS`` go through value counts split into ranges, because
-    the built-in aggregate keeps every distinct value of a column in one task."""
+    """Exact quantiles, through value counts split into ranges: the built-in aggregate keeps every distinct
+    value of a column in one task."""
     if not columns:
         return {}
-    values = clean(df)
-    if df.count() <= SMALL_ROWS:
-        row = df.agg(*[F.percentile(values[c], probs).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        return {c: row[i] if row[i] is not None else [None] * len(probs) for i, c in enumerate(columns)}
     vc = value_counts({0: df}, columns)
     rows = weighted_quantiles(vc, ["column"], "num", "cnt", probs, BUCKETS).collect()
     found = {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}

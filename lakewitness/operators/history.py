@@ -33,7 +33,7 @@ def number_versions(arrivals: DataFrame, buckets: int = 1) -> DataFrame:
 def lineage_tree(versions: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """K2: depth and ordering path of every version below the roots, one join per level of the tree."""
     nodes = cut(versions.select(V, "parent_version_id", "version_number"))
-    step = F.lpad(F.col("version_number").cast("string"), 6, "0")
+    step = F.lpad(F.col("version_number").cast("string"), 19, "0")
     start = nodes.where(F.col("parent_version_id").isNull()) if roots is None else nodes.join(roots.select(V), V, "left_semi")
     level = cut(start.select(V, F.lit(0).alias("depth"), step.alias("path"), F.col(V).alias("root_id")))
     levels = []

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from lakewitness.functions.columns import cap, logical_dtype, numeric_columns, present, row_digest, safe_div
 from lakewitness.functions.ordered import weighted_quantiles
 from lakewitness.operators.value_counts import is_missing, union_all
+from lakewitness.session import ship_package
 from lakewitness.lookups import (
-    CORRELATION_COLUMN_LIMIT,
     HIGH_CORRELATION,
     LOW_INFORMATION_SHARE,
     OUTLIER_FENCE,
@@ -19,9 +19,8 @@ from lakewitness.lookups import (
 
 GROUP = ["version_id", "column"]
 STATISTICS = ["min", "q25", "median", "q75", "max", "mean", "std", "skewness"]
-# A correlation keeps six sums. Beyond 100 fields Spark no longer compiles an aggregation, so with more
-# pairs than this the sums come from one matrix product per Arrow batch.
-PAIR_EXPRESSIONS = 16
+# Columns correlated with one another in one matrix product per Arrow batch; wider tables take several.
+CORRELATION_BLOCK = 200
 
 
 def skewness(n: Column, m2: Column, m3: Column) -> Column:
@@ -136,50 +135,50 @@ def duplicate_rows(versions: dict[int, DataFrame]) -> DataFrame:
     )
 
 
-def _pair_expressions(df: DataFrame, version_id: int, names: list[str]) -> DataFrame:
+def _block_sums(df: DataFrame, names: list[str], means: dict[str, float], a: int, b: int) -> DataFrame:
+    """Six sums for every pair of a column of block a with a later column of block b: one matrix product per Arrow batch."""
+    left = list(range(a, min(a + CORRELATION_BLOCK, len(names))))
+    right = list(range(b, min(b + CORRELATION_BLOCK, len(names))))
     fields = {f.name: f for f in df.schema.fields}
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    clean = {n: present(fields[n]).cast("double") for n in names}
-    one = df.agg(*[F.corr(clean[a], clean[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return one.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"r{i}").alias("correlation"))
-                    for i, (a, b) in enumerate(pairs)
-                ]
-            )
-        ).alias("p")
-    ).select(F.lit(version_id).cast("long").alias("version_id"), "p.*")
-
-
-def _pair_sums(df: DataFrame, version_id: int, names: list[str]) -> DataFrame:
-    """Correlation of many columns: one matrix product per Arrow batch, summed per pair."""
-    fields = {f.name: f for f in df.schema.fields}
-    centre = df.agg(*[F.avg(present(fields[n]).cast("double")).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    means = np.array([v if v is not None else 0.0 for v in centre])
-    size = len(names)
-    left, right = np.triu_indices(size, k=1)
+    used = sorted({*left, *right})
+    place = {c: k for k, c in enumerate(used)}
+    li, ri = np.array([place[c] for c in left]), np.array([place[c] for c in right])
+    centre = np.array([means[names[c]] for c in used])
+    later = np.array(left)[:, None] < np.array(right)[None, :]
+    i, j = np.where(later)
+    i, j = np.array(left)[i], np.array(right)[j]
 
     def batches(frames):
+        import pandas as pd
+
         sums = None
         for frame in frames:
-            x = frame.to_numpy(dtype="float64") - means
-            mask = ~np.isnan(x)
-            m = mask.astype("float64")
-            z = np.where(mask, x, 0.0)
-            part = np.stack([m.T @ m, z.T @ m, m.T @ z, (z * z).T @ m, m.T @ (z * z), z.T @ z])
+            x = frame.to_numpy(dtype="float64") - centre
+            mask = np.isfinite(x)
+            m, z = mask.astype("float64"), np.where(mask, x, 0.0)
+            ml, zl, mr, zr = m[:, li], z[:, li], m[:, ri], z[:, ri]
+            part = np.stack([ml.T @ mr, zl.T @ mr, ml.T @ zr, (zl * zl).T @ mr, ml.T @ (zr * zr), zl.T @ zr])
             sums = part if sums is None else sums + part
         if sums is not None:
-            import pandas as pd
-
-            yield pd.DataFrame(
-                {"i": left, "j": right, **{f"s{k}": sums[k][left, right] for k in range(6)}}
-            )
+            yield pd.DataFrame({"i": i, "j": j, **{f"s{k}": sums[k][later] for k in range(6)}})
 
     schema = "i int, j int, " + ", ".join(f"s{k} double" for k in range(6))
-    parts = df.select(*[present(fields[n]).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    total = parts.mapInPandas(batches, schema).groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
+    return df.select(*[present(fields[names[c]]).cast("double").alias(f"c{c}") for c in used]).mapInPandas(batches, schema)
+
+
+def correlations(df: DataFrame, version_id: int, names: list[str] | None = None) -> DataFrame | None:
+    """Pairwise-complete Pearson correlation of the numeric columns, for any number of them, in blocks of columns."""
+    names = numeric_columns(df) if names is None else names
+    if len(names) < 2:
+        return None
+    ship_package(df.sparkSession)
+    fields = {f.name: f for f in df.schema.fields}
+    # sums are taken about the means, so that large values lose no digits
+    centre = df.agg(*[F.avg(present(fields[n]).cast("double")).alias(f"c{i}") for i, n in enumerate(names)]).first()
+    means = {n: v if v is not None and np.isfinite(v) else 0.0 for n, v in zip(names, centre)}
+    starts = range(0, len(names), CORRELATION_BLOCK)
+    parts = union_all([_block_sums(df, names, means, a, b) for a in starts for b in starts if a <= b])
+    total = parts.groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(6)])
     n, sx, sy, sxx, syy, sxy = [F.col(f"s{k}") for k in range(6)]
     vx, vy = sxx - sx * sx / n, syy - sy * sy / n
     names_sql = F.array(*[F.lit(v) for v in names])
@@ -191,22 +190,9 @@ def _pair_sums(df: DataFrame, version_id: int, names: list[str]) -> DataFrame:
     )
 
 
-def correlations(df: DataFrame, version_id: int, names: list[str] | None = None) -> DataFrame | None:
-    """Pairwise-complete Pearson correlation of the numeric columns."""
-    names = numeric_columns(df) if names is None else names
-    if len(names) < 2:
-        return None
-    few = len(names) * (len(names) - 1) // 2 <= PAIR_EXPRESSIONS
-    return (_pair_expressions if few else _pair_sums)(df, version_id, names)
-
-
 def high_correlations(versions: dict[int, DataFrame], threshold: float = HIGH_CORRELATION) -> DataFrame | None:
-    """Pairs with a strong correlation, for versions with 2 to 200 numeric columns."""
-    parts = [
-        correlations(df, vid)
-        for vid, df in versions.items()
-        if 1 < len(numeric_columns(df)) <= CORRELATION_COLUMN_LIMIT
-    ]
+    """Pairs with a strong correlation, for versions with at least 2 numeric columns."""
+    parts = [correlations(df, vid) for vid, df in versions.items() if len(numeric_columns(df)) > 1]
     if not parts:
         return None
     r = F.col("correlation")

@@ -35,8 +35,7 @@ def lit(value) -> str:
 
 def cell(version: int, name: str, kind: str) -> str:
     if kind == "str":
-        value = f"CASE WHEN length({name}) > 256 THEN 'sha256:' || sha256({name}) ELSE {name} END"
-        return f"SELECT {version}::BIGINT AS version_id, '{name}' AS col, {value} AS value, NULL::DOUBLE AS num FROM v{version}"
+        return f"SELECT {version}::BIGINT AS version_id, '{name}' AS col, {name} AS value, NULL::DOUBLE AS num FROM v{version}"
     return f"SELECT {version}::BIGINT AS version_id, '{name}' AS col, NULL::VARCHAR AS value, {name}::DOUBLE AS num FROM v{version}"
 
 
@@ -170,14 +169,15 @@ FROM {p}cc GROUP BY 1, 2, 3, 4""")
 SELECT n.pair_id, n.col, is_target, 'numeric' AS kind, round(shift * 100, 3) AS score FROM {p}ns n JOIN {p}pc c ON n.pair_id = c.pair_id AND n.col = c.col
 UNION ALL SELECT pair_id, col, is_target, 'categorical', round(jsd * 100, 3) FROM {p}cs WHERE NOT both_num""")
     part(f"{p}ds", f"""
-SELECT p.pair_id, coalesce(avg(score / 100), 0)::DOUBLE AS m, coalesce(max(score / 100), 0)::DOUBLE AS x, coalesce(count(*) FILTER (score >= 20)::DOUBLE / nullif(count(score), 0), 0)::DOUBLE AS d
-FROM {pairs} p LEFT JOIN (SELECT * FROM {p}sh WHERE NOT is_target) s ON p.pair_id = s.pair_id GROUP BY 1""")
+SELECT pair_id, t::DOUBLE / (n * 100000) AS m, mo::DOUBLE / 100000 AS x, k::DOUBLE / n AS d, ((2 * (65 * t + 20 * mo * n + 1500000 * k) + 100 * n) // (200 * n))::DOUBLE / 1000 AS dsi FROM (
+  SELECT p.pair_id, coalesce(sum(round(score * 1000)::BIGINT), 0)::BIGINT AS t, coalesce(max(round(score * 1000)::BIGINT), 0) AS mo, count(*) FILTER (score >= 20) AS k, greatest(count(score), 1) AS n
+  FROM {pairs} p LEFT JOIN (SELECT * FROM {p}sh WHERE NOT is_target) s ON p.pair_id = s.pair_id GROUP BY 1)""")
     part(f"{p}st", f"SELECT pair_id, avg(least(1.0, 0.6 * jsd + 0.4 * ((added + removed)::DOUBLE / labels)))::DOUBLE AS s FROM {p}cs GROUP BY 1")
     part(f"{p}sc", f"""
 SELECT p.pair_id, prev, cur, round(a.s * 100, 3) AS scm_schema, round(coalesce(ratio, 0) * 100, 3) AS scm_rows, round(coalesce(m.s, 0) * 100, 3) AS scm_missingness, round(coalesce(t.s, 0) * 100, 3) AS scm_structure,
        round(d.m * 100, 3) AS dsi_mean, round(d.x * 100, 3) AS dsi_max, round(d.d * 100, 3) AS dsi_ratio,
        round(100 * (0.30 * a.s + 0.35 * coalesce(ratio, 0) + 0.20 * coalesce(m.s, 0) + 0.15 * coalesce(t.s, 0)), 3)::DOUBLE AS scm,
-       round(100 * (0.65 * d.m + 0.20 * d.x + 0.15 * d.d), 3)::DOUBLE AS dsi
+       d.dsi AS dsi
 FROM {pairs} p JOIN {p}ss a ON a.pair_id = p.pair_id LEFT JOIN {p}rd r ON r.pair_id = p.pair_id LEFT JOIN {p}ms m ON m.pair_id = p.pair_id
 LEFT JOIN {p}st t ON t.pair_id = p.pair_id JOIN {p}ds d ON d.pair_id = p.pair_id""")
 
@@ -206,7 +206,7 @@ def row_parts(p: str, pairs: list[tuple[int, int, int]], keyed: dict[int, str])
 
 pair_parts("pp", "p")
 row_parts("p", [(2, 1, 2), (3, 2, 3), (5, 4, 5), (7, 6, 7), (9, 8, 9), (11, 10, 11)], {2: "order_id", 3: "order_id", 9: "event_id", 11: "doc_id"})
-part("ap", "SELECT a.version_id * 1000000 + b.version_id AS pair_id, a.version_id AS prev, b.version_id AS cur, b.target FROM reg a JOIN reg b ON a.dataset_id = b.dataset_id AND a.version_number < b.version_number")
+part("ap", "SELECT a.version_id * 4294967296 + b.version_id AS pair_id, a.version_id AS prev, b.version_id AS cur, b.target FROM reg a JOIN reg b ON a.dataset_id = b.dataset_id AND a.version_number < b.version_number")
 pair_parts("ap", "q")
-row_parts("q", [(1000002, 1, 2), (1000003, 1, 3), (2000003, 2, 3), (4000005, 4, 5), (6000007, 6, 7), (8000009, 8, 9), (10000011, 10, 11)],
-          {1000002: "order_id", 1000003: "order_id", 2000003: "order_id", 8000009: "event_id", 10000011: "doc_id"})
+ANY = {(a << 32) + b: (a, b) for a, b in ((1, 2), (1, 3), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11))}
+row_parts("q", [(pair, *ids) for pair, ids in ANY.items()], {pair: key for pair, (old, _) in ANY.items() for key in ({1: "order_id", 2: "order_id", 8: "event_id", 10: "doc_id"}.get(old),) if key})

@@ -10,7 +10,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewitness.functions.ordered import BUCKETS, SMALL_ROWS
+from lakewitness.functions.ordered import BUCKETS
 from lakewitness.operators import diagnosis, diff, profile
 from lakewitness.operators.value_counts import column_catalog, value_counts
 from lakewitness.session import cut
@@ -54,8 +54,8 @@ class Evidence:
 
     @cached_property
     def buckets(self) -> int:
-        """Order statistics are split into ranges unless the versions are small."""
-        return 1 if sum(df.count() for df in self.frames.values()) <= SMALL_ROWS else BUCKETS
+        """Ranges that order statistics are split into."""
+        return BUCKETS
 
     @cached_property
     def catalog(self) -> DataFrame:

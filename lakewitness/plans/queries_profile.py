@@ -194,7 +194,7 @@ def _(ws):
     from lakewitness.operators.value_counts import union_all
 
     rows = union_all([
-        ws.frames[v].select(F.lit(v).cast("long").alias("version_id"), row_digest(ws.frames[v], ws.frames[v].columns).alias("row")) for v in (2, 5)
+        ws.frames[v].select(F.lit(v).cast("long").alias("version_id"), row_digest(ws.frames[v], ws.frames[v].columns, exact=[]).alias("row")) for v in (2, 5)
     ])
     counted = rows.groupBy("version_id", "row").agg(F.count(F.lit(1)).alias("n"))
     return counted.groupBy("version_id").agg(F.count(F.lit(1)).alias("distinct_rows"), F.sum("n").alias("row_count"))
@@ -270,7 +270,7 @@ def _(ws):
 
 
 @query("E21_dsi", """
-SELECT pair_id, round(m, 6) AS mean_feature_shift, round(x, 6) AS max_feature_shift, round(d, 6) AS drifted_feature_ratio, round(100 * (0.65 * m + 0.20 * x + 0.15 * d), 3)::DOUBLE AS dsi_score FROM pds""")
+SELECT pair_id, round(m, 6) AS mean_feature_shift, round(x, 6) AS max_feature_shift, round(d, 6) AS drifted_feature_ratio, dsi AS dsi_score FROM pds""")
 def _(ws):
     return diff.dsi_components(ws.pairs, ws.diff.shifts).select(
         "pair_id", r6("mean_feature_shift"), r6("max_feature_shift"), r6("drifted_feature_ratio"), "dsi_score"

@@ -242,9 +242,27 @@ def _(ws):
     return fingerprint.metadata_hashes(ws.columns, ws.tables)
 
 
-@query("C4_configuration_hash", "SELECT * FROM cfh")
+# A configuration per order.
+CONFIGURATION = {
+    "task_type": "CASE WHEN o_orderstatus = 'F' THEN 'classification' ELSE 'regression' END",
+    "target_column": "CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END",
+    "primary_metric": "CASE WHEN o_orderstatus = 'F' THEN 'f1' ELSE 'rmse' END",
+    "validation_strategy": "CASE WHEN o_totalprice > 100000 THEN 'holdout' END",
+    "feature_selection_mode": "CASE WHEN o_totalprice > 250000 THEN 'selected' ELSE 'all' END",
+    "scaling_strategy": "'none'",
+}
+part("cfo", f"""
+SELECT o_orderkey AS version_id, sha256('{{"feature_selection_mode":' || coalesce(to_json(feature_selection_mode), 'null') || ',"primary_metric":' || coalesce(to_json(primary_metric), 'null') || ',"scaling_strategy":' || coalesce(to_json(scaling_strategy), 'null')
+  || ',"selected_features":[' || CASE WHEN feature_selection_mode = 'selected' THEN '"price","' || o_orderpriority || '"' ELSE '' END || '],"target_column":' || coalesce(to_json(target_column), 'null')
+  || ',"task_type":' || coalesce(to_json(task_type), 'null') || ',"validation_strategy":' || coalesce(to_json(validation_strategy), 'null') || '}}') AS configuration_hash
+FROM (SELECT o_orderkey, o_orderpriority, {", ".join(f"{sql} AS {c}" for c, sql in CONFIGURATION.items())} FROM orders)""")
+
+
+@query("C4_configuration_hash", "SELECT version_id, configuration_hash FROM cfo")
 def _(ws):
-    return fingerprint.configuration_hashes(ws.configurations)
+    chosen = "CASE WHEN o_totalprice > 250000 THEN array('price', o_orderpriority) END AS selected_features"
+    orders = ws.table("orders").selectExpr("o_orderkey AS version_id", chosen, *[f"{sql} AS {c}" for c, sql in CONFIGURATION.items()])
+    return fingerprint.configuration_hashes(orders)
 
 
 @query("C5_combined_fingerprint")
@@ -329,8 +347,8 @@ def _(ws):
 
 # A tree per conversation: turn t answers turn (t - 1) / 2.
 part("tree", "SELECT conv_id * 100000 + turn AS version_id, CASE WHEN turn > 0 THEN conv_id * 100000 + (turn - 1) // 2 END AS parent_version_id, CAST(turn + 1 AS INTEGER) AS version_number FROM conversations")
-part("walk", """/* RECURSION */ SELECT version_id, 0 AS depth, lpad(version_number::VARCHAR, 6, '0') AS path, version_id AS root_id FROM tree WHERE parent_version_id IS NULL
-UNION ALL SELECT t.version_id, depth + 1, path || '/' || lpad(t.version_number::VARCHAR, 6, '0'), root_id FROM tree t JOIN walk ON t.parent_version_id = walk.version_id""")
+part("walk", """/* RECURSION */ SELECT version_id, 0 AS depth, lpad(version_number::VARCHAR, 19, '0') AS path, version_id AS root_id FROM tree WHERE parent_version_id IS NULL
+UNION ALL SELECT t.version_id, depth + 1, path || '/' || lpad(t.version_number::VARCHAR, 19, '0'), root_id FROM tree t JOIN walk ON t.parent_version_id = walk.version_id""")
 
 
 @query("K2_lineage_tree", "SELECT version_id, depth, path, root_id FROM walk")

@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewitness.functions.ordered import BUCKETS, SMALL_ROWS
+from lakewitness.functions.ordered import BUCKETS
 from lakewitness.plans.evidence import VERSION_SCHEMA, Evidence
 
 # name, statement; {name} reads a given table or an earlier version.
@@ -126,12 +126,6 @@ class Workspace(Evidence):
     def registry(self) -> DataFrame:
         return self.spark.createDataFrame(VERSION_ROWS, VERSION_SCHEMA)
 
-    @cached_property
-    def buckets(self) -> int:
-        """As for any versions, from the row counts in the file footers."""
-        rows = sum(self.table(t).count() for t in ("orders", "lineitem", "customer", "events", "documents"))
-        return 1 if rows <= SMALL_ROWS else BUCKETS
-
 
 _OPEN: dict[tuple[str, str], Workspace] = {}
 

@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from lakewitness.functions.columns import q
 from lakewitness.lookups import MISSING_TOKENS, TRUE_FALSE
 
-WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
-NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+WHOLE = r"^\s*[+-]?\d+\s*$"
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?(?i:inf|infinity)\s*$"
 
 
 class InputError(ValueError):
@@ -20,7 +20,8 @@ class InputError(ValueError):
 def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A1: header, missing tokens, and types decided by one aggregation over all rows.
 
-    Dates stay text. ``multiline`` is needed for quoted line breaks; it makes files unsplittable, so
+    Rows with fewer fields than the header end in missing cells; rows with more are refused. Whole numbers that
+    64 bits can't hold make a column fractional. Dates stay text. ``multiline`` is needed for quoted line breaks; it makes files unsplittable, so
     it is off unless asked for.
     """
     options = {"escape": '"', "multiLine": multiline, "encoding": "UTF-8"}
@@ -33,8 +34,10 @@ def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
     if len(set(names)) != len(names):
         raise InputError("column names are repeated")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.options(**options, header=True, enforceSchema=True, mode="FAILFAST").schema(schema).csv(path)
-    text = raw.select(*[F.when(~q(n).isin(*MISSING_TOKENS), q(n)).alias(n) for n in names])
+    beyond = "_" * (1 + max(map(len, names))) + "beyond"
+    wide = T.StructType([*schema.fields, T.StructField(beyond, T.StringType())])
+    raw = spark.read.options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").schema(wide).csv(path)
+    text = raw.select(*[F.when(~q(n).isin(*MISSING_TOKENS), q(n)).alias(n) for n in names], q(beyond))
     counts = text.agg(
         *[
             e.alias(f"{k}{i}")
@@ -42,12 +45,15 @@ def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
             for k, e in (
                 ("n", F.count(q(n))),
                 ("all", F.count(F.lit(1))),
-                ("whole", F.count_if(q(n).rlike(WHOLE))),
+                ("whole", F.count_if(q(n).rlike(WHOLE) & F.trim(q(n)).try_cast("long").isNotNull())),
                 ("number", F.count_if(q(n).rlike(NUMBER))),
                 ("flag", F.count_if(q(n).isin(*TRUE_FALSE))),
             )
-        ]
+        ],
+        F.count(q(beyond)).alias("beyond"),
     ).first()
+    if counts["beyond"]:
+        raise InputError(f"{counts['beyond']} rows have more fields than the header")
 
     def typed(i: int, name: str):
         n = counts[f"n{i}"]
