@@ -14,6 +14,7 @@ from lakewitness.lookups import (
     INTERVENTIONS,
     METRIC_IMPACT,
     OPERATIONS,
+    READINESS_STATUS,
     RISK_FAMILIES,
     SEVERITY_ORDER,
     TASK_METRICS,
@@ -99,10 +100,10 @@ def readiness(registry: DataFrame, findings: DataFrame, options: DataFrame, fami
     r = families.groupBy(V).agg(joined(F.collect_list("family")).alias("families"))
     counts = ["finding_count", "worst", "intervention_count", "required_decision_count"]
     status = (
-        F.when(F.col("worst") == 4, "requires review before experiment")
-        .when((F.col("worst") == 3) | (F.col("intervention_count") > 0), "variant generation recommended")
-        .when(F.col("finding_count") > 0, "ready with caution")
-        .otherwise("ready for baseline experiment")
+        F.when(F.col("worst") == 4, READINESS_STATUS["critical"])
+        .when((F.col("worst") == 3) | (F.col("intervention_count") > 0), READINESS_STATUS["variants"])
+        .when(F.col("finding_count") > 0, READINESS_STATUS["caution"])
+        .otherwise(READINESS_STATUS["ready"])
     )
     return (
         registry.select(V).join(f, V, "left").join(o, V, "left").join(r, V, "left").join(risks, V, "left")

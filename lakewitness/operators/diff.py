@@ -19,6 +19,7 @@ from lakewitness.lookups import (
     SCHEMA_SEVERITY,
     SCM_WEIGHTS,
     SIGNIFICANT_TRANSITION,
+    STORY_TEXT,
 )
 from lakewitness.operators.value_counts import is_missing, union_all
 
@@ -603,14 +604,14 @@ def change_stories(facts: DataFrame) -> DataFrame:
     )
     schema = (c("columns_added") > 0) | (c("columns_removed") > 0) | (c("dtype_changes") > 0)
     implication = (
-        F.when(schema, "Schema changed, so feature compatibility and experiment comparability need review.")
-        .when((c("numeric_changes") > 0) | (c("category_changes") > 0), "Distribution changed, so downstream metrics and findings may shift.")
-        .when(c("missing_changes") > 0, "Missingness changed, so preprocessing and diagnosis should be reviewed.")
-        .otherwise("No major semantic movement reported; this version appears comparable with its parent.")
+        F.when(schema, STORY_TEXT["schema"])
+        .when((c("numeric_changes") > 0) | (c("category_changes") > 0), STORY_TEXT["distribution"])
+        .when(c("missing_changes") > 0, STORY_TEXT["missingness"])
+        .otherwise(STORY_TEXT["none"])
     )
     return facts.select(
         "pair_id",
-        F.when(parts == "", "Revision has no material semantic changes reported.").otherwise(parts).alias("story"),
+        F.when(parts == "", STORY_TEXT["quiet"]).otherwise(parts).alias("story"),
         implication.alias("implication"),
     )
 

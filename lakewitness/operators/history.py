@@ -189,18 +189,18 @@ def instant_insights(versions, tables, risks, findings, scores) -> DataFrame:
     s = scores.select(F.col("current_version_id").alias(V), "scm_score", "dsi_score")
     one = lambda c: F.coalesce(F.format_string("%.1f", F.col(c)), F.lit("N/A"))
     semantic = (
-        F.when(F.col("scm_score").isNotNull(), F.format_string("SCM %.1f and DSI %.1f versus parent version.", F.col("scm_score"), F.col("dsi_score")))
-        .when(F.col("parent_version_id").isNotNull(), "Semantic comparison is not yet persisted for this child version.")
-        .otherwise("Baseline version; SCM and DSI are not applicable.")
+        F.when(F.col("scm_score").isNotNull(), F.format_string(L.INSIGHT_TEXT["compared"], F.col("scm_score"), F.col("dsi_score")))
+        .when(F.col("parent_version_id").isNotNull(), L.INSIGHT_TEXT["not_compared"])
+        .otherwise(L.INSIGHT_TEXT["baseline"])
     )
     actions = F.array_compact(
         F.array(
-            F.when(F.col("mlrs_score") >= 45, "Review readiness findings before model experimentation."),
-            F.when(F.col("lrs_score") >= 20, "Inspect leakage-related evidence before training."),
-            F.when(F.col("scm_score").isNotNull(), "Check whether parent-to-child semantic movement was intentional."),
+            F.when(F.col("mlrs_score") >= 45, L.INSIGHT_TEXT["readiness"]),
+            F.when(F.col("lrs_score") >= 20, L.INSIGHT_TEXT["leakage"]),
+            F.when(F.col("scm_score").isNotNull(), L.INSIGHT_TEXT["movement"]),
         )
     )
-    fallback = F.array(F.lit("Continue with reproducibility review and export the version bundle when needed."))
+    fallback = F.array(F.lit(L.INSIGHT_TEXT["fallback"]))
     return (
         versions.join(tables.select(V, "missing_cells", "duplicate_rows"), V).join(risks, V, "left").join(f, V, "left").join(s, V, "left")
         .select(
@@ -209,7 +209,7 @@ def instant_insights(versions, tables, risks, findings, scores) -> DataFrame:
             F.concat(F.col("missing_cells").cast("string"), F.lit(" missing cells, "), F.col("duplicate_rows").cast("string"), F.lit(" duplicate rows")).alias("quality"),
             F.coalesce("finding_count", F.lit(0)).alias("finding_count"),
             F.coalesce("high_priority", F.lit(0)).alias("high_priority"),
-            F.coalesce("top_findings", F.lit("No deterministic finding crossed reporting thresholds.")).alias("top_findings"),
+            F.coalesce("top_findings", F.lit(L.INSIGHT_TEXT["no_findings"])).alias("top_findings"),
             F.array_join(F.when(F.size(actions) > 0, actions).otherwise(fallback), "|").alias("actions"),
         )
     )
