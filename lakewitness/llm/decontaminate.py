@@ -2,10 +2,13 @@
 
 Words are reduced to templates: numbers, units and names (capitalised words inside a sentence) become typed
 placeholders, other words lose case and outer punctuation; tokens without a letter or digit vanish. Windows of WINDOW
-template words are hashed and joined with the windows of the benchmark. A window in which placeholders outnumber the
-words says too little as a template and is hashed with its values instead. Along one alignment of a document with an
+words are hashed and joined with the windows of the benchmark: each by its values, so that verbatim passages match whatever
+their case and punctuation, and by its templates, one with capitalised words that open a sentence as words and one with
+them as names. A window in which placeholders outnumber the words says too little as a template and is hashed by value only.
+Along one alignment of a document with an
 item, the same value of the item must always stand for the same value of the document: then the match is a
-verbatim or re-parameterised question; otherwise only its verbatim windows count. A document is contaminated if consistent windows cover COVER words of an item
+verbatim or re-parameterised question; otherwise only its verbatim windows count. In items under COVER words, an opening of the
+item may stand for another opening only if both are the same word ("What is the capital" is no "Paris is the capital"). A document is contaminated if consistent windows cover COVER words of an item
 (all words of a shorter one).
 
 Defined results: a null text has no words; an item with fewer than SHORTEST words can't be told from ordinary text and matches
@@ -40,6 +43,8 @@ UNITS = frozenset(
     "dollar dollars euro euros cent cents pound pounds percent degree degrees mph kph km/h m/s kb mb gb tb".split()
 )
 LITERAL, NUMBER, UNIT, NAME = range(4)
+# Before the value of a slot: a capitalised word that opens a sentence, which may be a name or not.
+OPENING = "^"
 _OUTER = string.punctuation + "\u00ab\u00bb\u2018\u2019\u201c\u201d\u201e\u2026\u2013\u2014\u00bf\u00a1"
 _QUOTES = "\"')]\u00bb\u2019\u201d"
 
@@ -69,60 +74,74 @@ _words = _Words()
 
 
 def templated(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per word with a letter or digit: its place among all tokens, kind, value hash, template hash."""
+    """Per word with a letter or digit: its place among all tokens, kind, value hash, whether it is a capitalised word that opens a sentence."""
     tokens = text.split()
     codes = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
     ends = (codes & np.uint64(4)) > 0
     begins = np.append(True, ends[:-1])[: len(tokens)]
     value = codes & np.uint64(0xFFFFFFFFFFFFFFF0)
     kind = (codes & np.uint64(3)).astype(np.int64)
-    kind[(kind == LITERAL) & ((codes & np.uint64(8)) > 0) & ~begins] = NAME
+    capital = (kind == LITERAL) & ((codes & np.uint64(8)) > 0)
+    kind[capital & ~begins] = NAME
     place = np.flatnonzero(value)
-    kind, value = kind[place], value[place]
-    return place, kind, value, np.where(kind == LITERAL, value, kind.astype(np.uint64))
-
-
-def windows(kind: np.ndarray, value: np.ndarray, template: np.ndarray, size: int) -> np.ndarray:
-    """Hash of the window of ``size`` words at every place."""
-    n = len(kind) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    slots = np.cumsum(np.append(0, kind != LITERAL))
-    plain = 2 * (slots[size:] - slots[:-size]) <= size
-    by_template, by_value = np.full(n, np.uint64(size)), np.full(n, np.uint64(size + 100))
+    return place, kind[place], value[place], (capital & begins)[place]
+
+
+def _hashed(words: np.ndarray, size: int, salt: int) -> np.ndarray:
+    n = len(words) - size + 1
+    out = np.full(n, np.uint64(salt))
     for j in range(size):
-        by_template += template[j : j + n] * C[j]
-    rest = np.flatnonzero(~plain)
-    if len(rest):
-        for j in range(size):
-            by_value[rest] += value[rest + j] * C[j]
-    return mix(np.where(plain, by_template, by_value))
+        out += words[j : j + n] * C[j]
+    return mix(out)
+
+
+def windows(kind: np.ndarray, value: np.ndarray, opening: np.ndarray, size: int) -> list[tuple[np.ndarray | None, np.ndarray, np.ndarray]]:
+    """Windows of ``size`` words: the kinds they were made with (None: by value), their places, their hashes."""
+    if len(kind) < size:
+        return []
+    out = [(None, np.arange(len(kind) - size + 1), _hashed(value, size, size + 100))]
+    opened = np.cumsum(np.append(0, opening))
+    for kinds, every in ((kind, True), (np.where(opening, NAME, kind), False)):
+        slots = np.cumsum(np.append(0, kinds != LITERAL))
+        fits = 2 * (slots[size:] - slots[:-size]) <= size
+        if not every:
+            fits &= opened[size:] > opened[:-size]
+        at = np.flatnonzero(fits)
+        if len(at):
+            out.append((kinds, at, _hashed(np.where(kinds == LITERAL, value, kinds.astype(np.uint64)), size, size)[at]))
+    return out
+
+
+def _slot(token: str, opening: bool) -> str:
+    lower = token.lower()
+    return OPENING * bool(opening) + (lower if lower in UNITS else lower.strip(_OUTER))
 
 
 def _rows(keys: dict, text: str, sizes: list[int], held: np.ndarray | None) -> Iterator[dict]:
-    place, kind, value, template = templated(text)
+    place, kind, value, opening = templated(text)
     tokens = None
     for size in sizes:
-        found = windows(kind, value, template, size)
-        at = np.arange(len(found))
-        if held is not None and len(found):
-            i = np.searchsorted(held, found)
-            at = np.flatnonzero(held[np.minimum(i, len(held) - 1)] == found)
-        for p in at.tolist():
-            tokens = tokens or text.split()
-            slots = [tokens[place[p + j]] for j in range(size) if kind[p + j] != LITERAL]
-            yield {**keys, "window": int(found[p].astype(np.int64)), "size": size, "at": p, "slots": [s.strip(_OUTER) or s for s in slots]}
+        for kinds, at, found in windows(kind, value, opening, size):
+            if held is not None:
+                i = np.searchsorted(held, found)
+                own = held[np.minimum(i, len(held) - 1)] == found
+                at, found = at[own], found[own]
+            by_value, kinds = kinds is None, np.where(opening, NAME, kind) if kinds is None else kinds
+            for p, h in zip(at.tolist(), found.astype(np.int64).tolist()):
+                tokens = tokens or text.split()
+                slots = [_slot(tokens[place[p + j]], opening[p + j]) for j in range(size) if kinds[p + j] != LITERAL]
+                yield {**keys, "window": h, "size": size, "at": p, "by_value": by_value, "slots": slots}
 
 
 def window_rows(df: DataFrame, keys: list[str], sizes: list[int] | None, held: np.ndarray | None = None) -> DataFrame:
-    """keys, window, size, at, slots: windows of the ``text`` column, of the given sizes, or of the size an item needs.
+    """keys, window, size, at, by_value, slots: windows of the ``text`` column, of the given sizes, or of the size an item needs.
 
     ``held`` restricts them to hashes that the benchmark has.
     """
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*keys, "window", "size", "at", "slots"]
+        columns = [*keys, "window", "size", "at", "by_value", "slots"]
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
@@ -139,7 +158,7 @@ def window_rows(df: DataFrame, keys: list[str], sizes: list[int] | None, held: n
                 yield pd.DataFrame(out, columns=columns)
 
     schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-    return df.select(*keys, "text").mapInPandas(run, f"{schema}, window bigint, size int, at int, slots array<string>")
+    return df.select(*keys, "text").mapInPandas(run, f"{schema}, window bigint, size int, at int, by_value boolean, slots array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -151,10 +170,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     held = None
     if distinct.count() <= HELD_HASHES:
         held = np.sort(np.array([r[0] for r in distinct.select("window").collect()], np.int64).view(np.uint64))
-    found = window_rows(docs, ["doc_key"], sizes, held) if sizes else docs.limit(0).select("doc_key", F.lit(0).cast("long").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("slots"))
+    found = window_rows(docs, ["doc_key"], sizes, held) if sizes else docs.limit(0).select("doc_key", F.lit(0).cast("long").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(False).alias("by_value"), F.array().cast("array<string>").alias("slots"))
     length = wanted.groupBy("item").agg((F.max("at") + F.max("size")).alias("length"))
-    right = wanted.join(length, "item").select("item", "window", "size", "length", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    pairs = found.join(right, ["window", "size"]).where(F.size("slots") == F.size("item_slots"))
+    right = wanted.join(length, "item").select("item", "window", "size", "length", "by_value", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
+    # windows equal by value have the item's values, even where the two texts open sentences at other places
+    both = found.drop("by_value").join(right, ["window", "size"]).withColumn("slots", F.when(F.col("by_value"), F.col("item_slots")).otherwise(F.col("slots")))
+    unlike = F.exists(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda v: v["i"].startswith(OPENING) & v["d"].startswith(OPENING) & (v["i"] != v["d"]))
+    plain = lambda c: F.transform(c, lambda v: F.when(v.startswith(OPENING), F.substring(v, 2, F.length(v))).otherwise(v))
+    pairs = both.where((F.size("slots") == F.size("item_slots")) & ~((F.col("length") < COVER) & unlike)).withColumns({"slots": plain(F.col("slots")), "item_slots": plain(F.col("item_slots"))})
     own_words = F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)
     one = pairs.groupBy("doc_key", "item", "length", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_set(own_words))).alias("words"),

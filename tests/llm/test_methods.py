@@ -221,6 +221,17 @@ def test_reworded_questions_are_found(spark, folder, docs):
     assert {r.doc_id for r in decontaminate.keep_clean(docs_, spark.read.parquet(path + "/benchmark.parquet")).collect()} == {2, 3, 4, 5, 6}
 
 
+def test_verbatim_matches_depend_on_no_case_or_sentence_place(spark, folder, docs):
+    short, long_ = "Anna carries the heavy basket home.", "Every morning Anna walks to school. Then she feeds nine ducks. After that Paul brings her some bread. She thanks him."
+    stripped = long_.replace(".", "")
+    other = "Anna walks home with 12 big apples", "Maria walks home with 40 big apples"
+    capital = "What is the capital of France?"
+    texts = ["Heading\n" + short, "so, " + short, "word " + short.lower(), prose(20, 1) + " x " + stripped, prose(20, 2) + ", " + other[1], "Paris is the capital of France.", "then " + stripped.replace("Anna", "Maria").replace("Paul", "Peter")]
+    path = folder(documents=docs(texts), benchmark=[(1, short), (2, long_), (3, other[0] + "."), (4, capital)])
+    out = {r.doc_id: (r["items"], r.reworded) for r in decontaminate.op7_template_windows(spark, path).collect()}
+    assert out == {0: ([1], False), 1: ([1], False), 2: ([1], False), 3: ([2], False), 4: ([3], True), 5: ([], False), 6: ([2], True)}
+
+
 @pytest.mark.parametrize("held", [0, decontaminate.HELD_HASHES])
 def test_both_ways_to_join_find_the_same(spark, folder, docs, monkeypatch, held):
     monkeypatch.setattr(decontaminate, "HELD_HASHES", held)
