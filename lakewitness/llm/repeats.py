@@ -104,6 +104,22 @@ class Runs:
         whole = mix(self.stretches.hashes(at, np.where(fits, at + BLOCK - 1 + LENGTH, 0)) + gram * C[11])
         return run[owner], first, middle, whole, fits
 
+    def numbered(self, run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks of the given runs: run, first start, number of the middle, number of the whole (-1: not whole); all ranks and their numbers.
+
+        A block that two runs with one gram reach has one number, one at the border of runs with different grams one for each.
+        """
+        owner, first, middle, whole, fits = self.blocks(run)
+        place = np.concatenate([first * 2, first[fits] * 2 + 1])
+        ranks = np.concatenate([middle, whole[fits]])
+        order = np.lexsort((ranks, place))
+        new = np.append(True, (np.diff(place[order]) != 0) | (np.diff(ranks[order]) != 0))[: len(order)]
+        number = np.zeros(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        of_whole = np.full(len(first), -1, np.int64)
+        of_whole[fits] = number[len(first) :]
+        return owner, first, number[: len(first)], of_whole, ranks, number
+
     def judged(self, flags: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Surely repeated starts (a mask); ranks to count twice; open ranks and their starts."""
         run, status, loops = flags >> STATUS_BITS, flags & 3, (flags & LOOPS) > 0
@@ -112,10 +128,10 @@ class Runs:
         plain = ~loops & (status != SURE)
         state = np.zeros(len(self.starts), np.int64)
         state[run] = status
-        owner, first, _, _, _ = self.blocks(run[plain])
+        owner, first, of_middle, of_whole, _, _ = self.numbered(run[plain])
         known = dict(zip(codes.tolist(), counts.tolist()))
-        middle = np.array([known.get(c, 1) for c in ((first + BLOCK) * 2).tolist()], np.int64)
-        whole = np.array([known.get(c, 0) for c in ((first + BLOCK) * 2 + 1).tolist()], np.int64)
+        middle = np.array([known.get(c, 1) for c in of_middle.tolist()], np.int64)
+        whole = np.array([known.get(c, 0) for c in of_whole.tolist()], np.int64)
         low, high = np.maximum(first, self.starts[owner]), np.minimum(first + BLOCK, self.ends[owner])
         sure |= self._spread(low, high, whole > 1)
         settled = (state[owner] == SHARED) | (whole > 1)
@@ -170,7 +186,7 @@ def _flags(batch: pa.RecordBatch, k: int) -> np.ndarray:
 
 
 def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rank, weight, node, place (first start + BLOCK, times two, plus 1 for the whole) of the blocks to look at."""
+    """rank, weight, node, place (number of the middle or whole) of the blocks to look at."""
     for batch in batches:
         for k in range(batch.num_rows):
             flags = _flags(batch, k)
@@ -178,16 +194,13 @@ def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(flags):
                 continue
             r = Runs(batch.column("data")[k].as_py())
-            owner, first, middle, whole, fits = r.blocks(flags >> STATUS_BITS)
+            owner, _, _, of_whole, ranks, number = r.numbered(flags >> STATUS_BITS)
             state = np.zeros(len(r.starts), np.int64)
             state[flags >> STATUS_BITS] = flags & 3
-            place = np.concatenate([(first + BLOCK) * 2, (first[fits] + BLOCK) * 2 + 1])
-            ranks = np.concatenate([middle, whole[fits]])
-            weight = np.where(state[np.concatenate([owner, owner[fits]])] == SHARED, 2, 1)
-            # a block that two runs with one gram reach is one place
-            order = np.lexsort((-weight, ranks, place))
-            place, ranks, weight = place[order], ranks[order], weight[order]
-            new = np.append(True, (place[1:] != place[:-1]) | (ranks[1:] != ranks[:-1]))
+            weight = np.where(state[np.concatenate([owner, owner[of_whole >= 0]])] == SHARED, 2, 1)
+            order = np.lexsort((-weight, number))
+            place, ranks, weight = number[order], ranks[order], weight[order]
+            new = np.append(True, place[1:] != place[:-1])
             yield _batch(batch.column("node").slice(k, 1), ranks[new], weight[new], place[new])
 
 

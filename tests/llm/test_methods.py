@@ -322,5 +322,17 @@ def test_repeated_passages(spark, folder, docs, seed):
         assert (out[i].n_bytes, out[i].n_removed, out[i].n_spans, out[i].kept_sha256) == want, i
 
 
+def test_neighbouring_runs_keep_their_own_block_counts(spark, folder, docs):
+    # two texts agree on a passage, a third leaves it earlier; in some, the anchors of neighbouring runs agree modulo BLOCK
+    r, texts = random.Random(1), []
+    for i in range(400):
+        base, long_ = prose(130, 900_000 + i), r.randint(300, 380)
+        for end, mark in ((long_, "#"), (long_, "%"), (long_ - r.randint(1, 60), "&")):
+            texts.append(prose(20, r.random()) + base[:end] + mark + prose(40, r.random()))
+    out = {x.doc_id: x for x in repeats.op10_prefix_doubling(spark, folder(documents=docs(texts))).collect()}
+    wrong = [i for i, want in enumerate(brute(texts)) if (out[i].n_bytes, out[i].n_removed, out[i].n_spans, out[i].kept_sha256) != want]
+    assert wrong == []
+
+
 def test_every_query_is_listed():
     assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
