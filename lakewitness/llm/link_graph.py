@@ -3,7 +3,8 @@
 Hosts allowed by rules are trusted seeds, hosts blocked by rules are blocked seeds, each with the share of its pages
 the rules reach. Trust is a personalised PageRank along links; distrust is one along reversed links, so that a host
 that links to blocked hosts is distrusted. A host without its own rule is blocked where its distrust passes a
-threshold and its trust. Hosts without outgoing links keep their mass to themselves.
+threshold and its trust. Hosts without outgoing links keep their mass to themselves. Both walks go on until the mass still
+under way, which bounds what any host lacks, is below TOLERANCE.
 
 Defined results: a null url, or one without "://", has an empty host and path, takes part in no link, and is allowed; null pages
 have no links; repeated rows are judged alike and count as links again; an empty table gives an empty result;
@@ -21,6 +22,8 @@ from lakewitness.session import cut
 # (host, path, verdict); fixed by the contract.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 DAMPING, STEPS, CUT_EVERY = 0.85, 10, 5
+# Of the scores that decide; STEPS is the length of the fixed walk the check SQL makes.
+TOLERANCE = 1e-6
 DISTRUST = 0.1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""
@@ -68,8 +71,21 @@ def _walk(seeds: DataFrame, edges: DataFrame, value: str, steps: int) -> DataFra
     return rank
 
 
-def host_verdicts(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFrame:
-    """host, trust, distrust, blocked, for every host of the pages and every host they link to."""
+def _converged(seeds: DataFrame, edges: DataFrame, value: str) -> DataFrame:
+    """The same, summed from its start over walks of all lengths: what is not summed yet is only missing."""
+    own = (1 - DAMPING) * F.col("seed")
+    rank, left = seeds.select("host", own.alias(value), own.alias("moving")), TOLERANCE
+    while left >= TOLERANCE:
+        for _ in range(CUT_EVERY):
+            moved = rank.where("moving > 0").join(edges, rank["host"] == edges["src"]).select(F.col("dst").alias("host"), (DAMPING * F.col("moving") * F.col("part")).alias("moving"))
+            rank = rank.select("host", value, F.lit(0.0).alias("moving")).union(moved.select("host", F.col("moving").alias(value), "moving")).groupBy("host").agg(F.sum(value).alias(value), F.sum("moving").alias("moving"))
+        rank = cut(rank)
+        left = (rank.agg(F.sum("moving")).first()[0] or 0.0) * DAMPING / (1 - DAMPING)
+    return rank.select("host", value)
+
+
+def host_verdicts(pages: DataFrame, rules=RULES, steps: int | None = STEPS) -> DataFrame:
+    """host, trust, distrust, blocked, for every host of the pages and every host they link to. steps: None until converged."""
     reached = ruled(addressed(pages), rules).where(F.col("host") != "")
     share = lambda verdict: F.avg(F.when(F.col("by_rule") == verdict, 1.0).otherwise(0.0))
     hosts = cut(reached.groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("refused")))
@@ -80,8 +96,9 @@ def host_verdicts(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFram
     back = links.groupBy("dst").agg(F.sum("n").alias("all"))
     forward = cut(links.join(out, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("part")))
     reverse = cut(links.join(back, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("n") / F.col("all")).alias("part")))
-    trust = _walk(hosts.where("allowed > 0").select("host", F.col("allowed").alias("seed")), forward, "trust", steps)
-    distrust = _walk(hosts.where("refused > 0").select("host", F.col("refused").alias("seed")), reverse, "distrust", steps)
+    walk = lambda *a: _converged(*a) if steps is None else _walk(*a, steps)
+    trust = walk(hosts.where("allowed > 0").select("host", F.col("allowed").alias("seed")), forward, "trust")
+    distrust = walk(hosts.where("refused > 0").select("host", F.col("refused").alias("seed")), reverse, "distrust")
     everyone = hosts.select("host").union(both.select("src")).distinct()
     scored = everyone.join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
     # the blocked seeds' own part of the score is (1 - damping) of their share; more than the threshold needs most pages or many links
@@ -90,7 +107,7 @@ def host_verdicts(pages: DataFrame, rules=RULES, steps: int = STEPS) -> DataFram
 
 def op1_link_graph_filter(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    verdicts = cut(host_verdicts(pages))
+    verdicts = cut(host_verdicts(pages, steps=None))
     urls = ruled(addressed(pages, "page_id"))
     by_method = F.when(F.coalesce(F.col("blocked"), F.lit(False)), "block").otherwise("allow")
     return urls.join(verdicts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_method).alias("verdict"))

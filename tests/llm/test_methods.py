@@ -54,6 +54,25 @@ def test_rank_is_that_of_a_dense_matrix(spark, folder):
     assert all(abs(got[h] - v.get(h, 0)) < 1e-9 for h in got)
 
 
+def test_distrust_converges_over_long_chains(spark, folder):
+    to = {f"c{i}.com": [f"c{i - 1}.com"] for i in range(2, 13)} | {"c1.com": ["bad.net"], "bad.net": []}
+    to |= {f"h{i}.com": [f"h{i - 1}.com"] for i in range(1, 13)} | {"h0.com": [f"b{k}.net" for k in range(40)]} | {f"b{k}.net": [] for k in range(40)}
+    to |= {"r1.com": ["r2.com", "ring.net"], "r2.com": ["r1.com"], "ring.net": ["r2.com"]}
+    path = folder(pages=[(i, f"http://{h}/", "".join(f"<a href='http://{x}/'>" for x in xs)) for i, (h, xs) in enumerate(to.items())])
+    names = list(to)
+    into = Counter(x for xs in to.values() for x in xs)
+    a, seed = np.zeros((len(names), len(names))), np.array([float(h.endswith(".net")) for h in names])
+    for h, xs in to.items():
+        for x in xs:
+            a[names.index(h), names.index(x)] = 1 / into[x]
+    exact = dict(zip(names, np.linalg.solve(np.eye(len(names)) - 0.85 * a, 0.15 * seed)))
+    got = {r.host: r.distrust for r in link_graph.host_verdicts(spark.read.parquet(path + "/pages.parquet"), steps=None).collect()}
+    assert got.keys() == exact.keys() and all(abs(got[h] - exact[h]) < 1e-6 for h in got)
+    verdict = {r.host: r.verdict for r in link_graph.op1_link_graph_filter(spark, path).collect()}
+    assert verdict == {h: "block" if h.endswith(".net") or exact[h] > 0.1 else "allow" for h in names}
+    assert (verdict["c2.com"], verdict["c3.com"], verdict["c10.com"], verdict["h11.com"]) == ("block", "allow", "allow", "block")
+
+
 # ---- 2
 def base_spans(text):
     out = []
