@@ -11,14 +11,16 @@ verbatim or re-parameterised question; otherwise only its verbatim windows count
 item may stand for another opening only if both are the same word ("What is the capital" is no "Paris is the capital"). A document is contaminated if consistent windows cover COVER words of an item
 (all words of a shorter one).
 
-Defined results: a null text has no words; an item with fewer than SHORTEST words can't be told from ordinary text and matches
-nothing; items of SHORTEST to WINDOW words match as a whole; null items are empty; equal items and
+Defined results: a null text has no words; scripts without spaces count by character; an item with fewer than SHORTEST words matches
+where all its tokens, those without letter or digit too, follow each other with the same values, never by template, and one of
+fewer than ALONE tokens only where they are a line or sentence of their own; items of SHORTEST to WINDOW words match as a whole; null items are empty; equal items and
 repeated rows are judged one by one; an empty benchmark contaminates nothing; an empty table gives an empty result;
 other columns pass through.
 """
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -32,7 +34,7 @@ from lakewitness.llm.common import packed, table, text_digest, whole_text
 from lakewitness.llm.hashing import C, mix
 from lakewitness.session import cut, ship_package
 
-WINDOW, COVER, SHORTEST = 8, 13, 5
+WINDOW, COVER, SHORTEST, ALONE = 8, 13, 5, 3
 # Up to this many different window hashes (8 bytes each) the tasks hold the benchmark's; beyond it, all windows go through the join.
 HELD_HASHES = 2_000_000
 # Words a task remembers; it forgets all and starts anew beyond.
@@ -45,7 +47,9 @@ UNITS = frozenset(
 LITERAL, NUMBER, UNIT, NAME = range(4)
 # Before the value of a slot: a capitalised word that opens a sentence, which may be a name or not.
 OPENING = "^"
-_OUTER = string.punctuation + "\u00ab\u00bb\u2018\u2019\u201c\u201d\u201e\u2026\u2013\u2014\u00bf\u00a1"
+_OUTER = string.punctuation + "\u00ab\u00bb\u2018\u2019\u201c\u201d\u201e\u2026\u2013\u2014\u00bf\u00a1\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f\u300a\u300b\u300c\u300d\uff08\uff09"
+# Characters of scripts written without spaces, and their punctuation.
+_UNSPACED = re.compile("([\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3001-\u30ff\u3100-\u312f\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff01-\uff0f\uff1a-\uff1f\uff66-\uff9f\U00020000-\U0003ffff])")
 _QUOTES = "\"')]\u00bb\u2019\u201d"
 
 
@@ -58,7 +62,7 @@ class _Words(dict):
     def __missing__(self, word: str) -> int:
         lower = word.lower()
         plain = lower if lower in UNITS else lower.strip(_OUTER)
-        code = 4 if word.rstrip(_QUOTES)[-1:] in (".", "!", "?", ":") else 0
+        code = 4 if word.rstrip(_QUOTES)[-1:] in (".", "!", "?", ":", "\u3002", "\uff01", "\uff1f", "\uff1a") else 0
         if plain:
             kind = UNIT if plain in UNITS else LITERAL if plain.isalpha() or not any(c.isdigit() for c in plain) else NUMBER
             name = word.strip(_OUTER)[:1].isupper() and not word.isupper()
@@ -73,9 +77,13 @@ class _Words(dict):
 _words = _Words()
 
 
+def _tokens(text: str) -> list[str]:
+    return (text if text.isascii() else _UNSPACED.sub(r" \1 ", text)).split()
+
+
 def templated(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per word with a letter or digit: its place among all tokens, kind, value hash, whether it is a capitalised word that opens a sentence."""
-    tokens = text.split()
+    tokens = _tokens(text)
     codes = np.fromiter(map(_words.__getitem__, tokens), np.uint64, len(tokens))
     ends = (codes & np.uint64(4)) > 0
     begins = np.append(True, ends[:-1])[: len(tokens)]
@@ -117,6 +125,43 @@ def _slot(token: str, opening: bool) -> str:
     return OPENING * bool(opening) + (lower if lower in UNITS else lower.strip(_OUTER))
 
 
+def _sequence_hashes(tokens: list[str], size: int) -> np.ndarray:
+    """Hash of every ``size`` tokens in a row, by value; a token without letter or digit stands for itself."""
+    def value(token: str) -> int:
+        return _words[token] & 0xFFFFFFFFFFFFFFF0 or int.from_bytes(blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+    n = len(tokens) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    values = np.fromiter(map(value, tokens), np.uint64, len(tokens))
+    out = np.full(n, np.uint64(size + 1000))
+    for j in range(size):
+        out = mix(out * C[0] + values[j : j + n])
+    return out
+
+
+def _alone(text: str, tokens: list[str], size: int) -> np.ndarray:
+    """Whether the ``size`` tokens at every place begin and end with a line or sentence."""
+    edge = np.append(True, [bool(_words[t] & 4) for t in tokens])
+    edge[np.cumsum([len(_tokens(line)) for line in text.splitlines()])] = True
+    edge[-1] = True
+    return edge[: len(edge) - size] & edge[size:]
+
+
+def _sequence_rows(keys: dict, text: str, sizes: list[int], held: np.ndarray | None) -> Iterator[dict]:
+    """Rows of short items' sequences; their sizes are below zero."""
+    tokens = _tokens(text) if sizes else []
+    for size in sizes:
+        found = _sequence_hashes(tokens, -size)
+        fits = np.ones(len(found), bool)
+        if held is not None and len(found):
+            fits = held[np.minimum(np.searchsorted(held, found), len(held) - 1)] == found
+        if -size < ALONE and fits.any():
+            fits &= _alone(text, tokens, -size)
+        for p in np.flatnonzero(fits).tolist():
+            yield {**keys, "window": int(found[p].astype(np.int64)), "size": size, "at": p, "by_value": True, "slots": []}
+
+
 def _rows(keys: dict, text: str, sizes: list[int], held: np.ndarray | None) -> Iterator[dict]:
     place, kind, value, opening = templated(text)
     tokens = None
@@ -128,7 +173,7 @@ def _rows(keys: dict, text: str, sizes: list[int], held: np.ndarray | None) -> I
                 at, found = at[own], found[own]
             by_value, kinds = kinds is None, np.where(opening, NAME, kind) if kinds is None else kinds
             for p, h in zip(at.tolist(), found.astype(np.int64).tolist()):
-                tokens = tokens or text.split()
+                tokens = tokens or _tokens(text)
                 slots = [_slot(tokens[place[p + j]], opening[p + j]) for j in range(size) if kinds[p + j] != LITERAL]
                 yield {**keys, "window": h, "size": size, "at": p, "by_value": by_value, "slots": slots}
 
@@ -149,8 +194,9 @@ def window_rows(df: DataFrame, keys: list[str], sizes: list[int] | None, held: n
                 own = sizes
                 if own is None:
                     n = len(templated(text)[0])
-                    own = [min(n, WINDOW)] if n >= SHORTEST else []
-                out += _rows(row, text, own, held)
+                    own = [min(n, WINDOW)] if n >= SHORTEST else [-len(_tokens(text))] if n else []
+                out += _rows(row, text, [s for s in own if s > 0], held)
+                out += _sequence_rows(row, text, [s for s in own if s < 0], held)
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
@@ -171,14 +217,14 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if distinct.count() <= HELD_HASHES:
         held = np.sort(np.array([r[0] for r in distinct.select("window").collect()], np.int64).view(np.uint64))
     found = window_rows(docs, ["doc_key"], sizes, held) if sizes else docs.limit(0).select("doc_key", F.lit(0).cast("long").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(False).alias("by_value"), F.array().cast("array<string>").alias("slots"))
-    length = wanted.groupBy("item").agg((F.max("at") + F.max("size")).alias("length"))
+    length = wanted.groupBy("item").agg((F.max("at") + F.max(F.abs("size"))).alias("length"))
     right = wanted.join(length, "item").select("item", "window", "size", "length", "by_value", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     # windows equal by value have the item's values, even where the two texts open sentences at other places
     both = found.drop("by_value").join(right, ["window", "size"]).withColumn("slots", F.when(F.col("by_value"), F.col("item_slots")).otherwise(F.col("slots")))
     unlike = F.exists(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d")), lambda v: v["i"].startswith(OPENING) & v["d"].startswith(OPENING) & (v["i"] != v["d"]))
     plain = lambda c: F.transform(c, lambda v: F.when(v.startswith(OPENING), F.substring(v, 2, F.length(v))).otherwise(v))
     pairs = both.where((F.size("slots") == F.size("item_slots")) & ~((F.col("length") < COVER) & unlike)).withColumns({"slots": plain(F.col("slots")), "item_slots": plain(F.col("item_slots"))})
-    own_words = F.sequence(F.col("item_at"), F.col("item_at") + F.col("size") - 1)
+    own_words = F.sequence(F.col("item_at"), F.col("item_at") + F.abs("size") - 1)
     one = pairs.groupBy("doc_key", "item", "length", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.array_distinct(F.flatten(F.collect_set(own_words))).alias("words"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("slots") == F.col("item_slots"), own_words)))).alias("verbatim"),

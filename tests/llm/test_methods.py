@@ -260,6 +260,14 @@ def test_both_ways_to_join_find_the_same(spark, folder, docs, monkeypatch, held)
     assert {(r.doc_id, tuple(r["items"])) for r in out} == {(i, (i,)) for i in range(4)}
 
 
+def test_short_items_and_unspaced_scripts_are_found(spark, folder, docs):
+    chinese, thai = "小明有十二个苹果，他给了小红五个，还剩几个？", "เขามีแอปเปิ้ลสิบสองผล"
+    items = [(1, "x + y = z ?"), (2, "Name three primes"), (3, chinese), (4, "Paris"), (5, thai), (6, "水是什么")]
+    texts = [prose(9, 1) + " x + y = z ? " + prose(9, 2), prose(9, 3) + " name three primes " + prose(9, 4), "前言。" + chinese + "后记", "Paris is large", "Line\nParis\nline", "Paris", thai, "问：水是什么", "Name four primes", "x - y = z ?"]
+    out = {r.doc_id: r["items"] for r in decontaminate.op7_template_windows(spark, folder(documents=docs(texts), benchmark=items)).collect()}
+    assert out == {0: [1], 1: [2], 2: [3], 3: [], 4: [4], 5: [4], 6: [5], 7: [6], 8: [], 9: []}
+
+
 # ---- 8
 def test_one_more_shard_takes_rows_only_into_itself(spark, folder):
     rows = [(i, "x" * (i % 7), "en", "a", 1) for i in range(4000)] + [(1, "x", "en", "a", 1)] * 50
