@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewitness.llm import chat, decontaminate, link_graph, mixing, near_copies, quality, repeats, secret_scan, sharding, toxicity
+from lakewitness.llm import byte_pairs, chat, decontaminate, link_graph, mixing, near_copies, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         sharding.op8_hash_tree_shards,
         toxicity.op9_ftrl_toxicity,
         repeats.op10_prefix_doubling,
+        byte_pairs.op11_bpe_matrices,
     )
 }
 ORACLES = {
