@@ -74,3 +74,14 @@ def settled(df: DataFrame) -> DataFrame:
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+# DuckDB: CRC-32 by its definition, a table from the reversed polynomial, then one step for each byte.
+CRC_TABLE_SQL = "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b))"
+
+
+def crc32_sql(text: str, crc: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text, given the table ``CRC_TABLE_SQL`` as ``crc``."""
+    digits = f"hex(encode({text}))"
+    code = f"list_transform(range(length({digits}) // 2), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({code}, lambda a, x: xor(a >> 8, {crc}[(xor(a, x) & 255) + 1]), 4294967295), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakewitness.llm import byte_pairs, chat, decontaminate, link_graph, mixing, near_copies, quality, repeats, secret_scan, sharding, toxicity
+from lakewitness.llm import byte_pairs, chat, decontaminate, link_graph, manifest, mixing, near_copies, prefix_trie, quality, repeats, secret_scan, sharding, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -18,6 +18,8 @@ QUERIES = {
         toxicity.op9_ftrl_toxicity,
         repeats.op10_prefix_doubling,
         byte_pairs.op11_bpe_matrices,
+        manifest.op12_merkle_manifest,
+        prefix_trie.op13_conversation_trie,
     )
 }
 ORACLES = {
@@ -27,4 +29,6 @@ ORACLES = {
     "op5_poisson_mixture": mixing.OP5_SQL,
     "op6_quality_fences": quality.OP6_SQL,
     "op8_hash_tree_shards": sharding.OP8_SQL,
+    "op12_merkle_manifest": manifest.OP12_SQL,
+    "op13_conversation_trie": prefix_trie.OP13_SQL,
 }

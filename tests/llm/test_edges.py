@@ -8,7 +8,7 @@ import corpus_pipeline
 from llm_tables import SMOKE, against_sql, folder  # noqa: F401
 from lakewitness.llm import queries
 
-PER_DOCUMENT = ["op2_secret_ownership", "op4_dart_minhash", "op6_quality_fences", "op7_template_windows", "op8_hash_tree_shards", "op9_ftrl_toxicity", "op10_prefix_doubling"]
+PER_DOCUMENT = ["op2_secret_ownership", "op4_dart_minhash", "op6_quality_fences", "op7_template_windows", "op8_hash_tree_shards", "op9_ftrl_toxicity", "op10_prefix_doubling", "op11_bpe_matrices", "op12_merkle_manifest"]
 CLASHES = ["_row", "node", "m", "kept", "shard", "slot", "host", "path", "rule", "band", "units", "data", "copies", "copy", "order_key", "mix_source", "lang_key", "score", "class_id", "doc_key", "rendered", "digest"]
 
 
