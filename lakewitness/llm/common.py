@@ -44,6 +44,11 @@ def unit_draw(*parts: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def column_of(struct: pa.StructArray, name: str) -> pa.Array:
+    """A field of a packed row, by its name in any case."""
+    return struct.field(next(f.name for f in struct.type if f.name.lower() == name))
+
+
 # Bytes of results a task holds before it passes them on.
 HELD_BYTES = 1 << 22
 

@@ -12,14 +12,15 @@ names; repeated rows are judged one by one, and alike; an empty table gives an e
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from lakewitness.llm.common import packed, table, whole_text
+from lakewitness.llm.common import column_of, packed, table, whole_text
 from lakewitness.session import cut, ship_package
 
 SYMBOLS = b"#*$%&|<>"
@@ -70,17 +71,28 @@ def measure_text(text: str) -> tuple[int, ...]:
     )
 
 
-def _measure(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure_text(t) for t in texts], columns=MEASURES, dtype="int64")
-
-
 def measured(df: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns, lang_key, source_key and the struct ``m`` of measures, for every document."""
+    """The kept columns, lang_key, source_key and the struct ``m`` of measures, for every document.
+
+    A packed row (``_row``) goes through Python as it is and holds its text once; else only the text goes there. Texts are
+    measured one by one, so beside an Arrow batch a task holds one of them.
+    """
     ship_package(df.sparkSession)
-    measure = F.pandas_udf(_measure, _SCHEMA)
     key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    lang, source, text = ("_row.lang", "_row.source", "_row.text") if "_row" in keep else ("lang", "source", "text")
-    return df.select(*keep, key(lang).alias("lang_key"), key(source).alias("source_key"), measure(whole_text(text)).alias("m"))
+    whole = "_row" in keep
+    lang, source = ("_row.lang", "_row.source") if whole else ("lang", "source")
+    given = df.select(*keep, key(lang).alias("lang_key"), key(source).alias("source_key"), *([] if whole else [whole_text().alias("_text")]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = column_of(batch.column("_row"), "text") if whole else batch.column("_text")
+            values = [measure_text(t.as_py() or "") for t in texts]
+            m = pa.StructArray.from_arrays([pa.array([v[i] for v in values], pa.int64()) for i in range(len(MEASURES))], MEASURES)
+            others = batch if whole else batch.drop_columns(["_text"])
+            yield pa.RecordBatch.from_arrays([*others.columns, m], [*others.schema.names, "m"])
+
+    fields = [f for f in given.schema.fields if f.name != "_text"]
+    return given.mapInArrow(run, T.StructType([*fields, T.StructField("m", _SCHEMA)]))
 
 
 def base_failed() -> Column:
@@ -154,7 +166,7 @@ def judged(m: DataFrame, fence: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents the rules keep, with their own columns.
 
-    Texts are measured twice, once for the sketches and once beside the filter, rather than stored in between.
+    Texts are measured twice, once for the sketches and once beside the filter, rather than stored or shuffled in between.
     """
     fence = cut(fences(sketches(measured(docs))))
     return judged(measured(packed(docs), "_row"), fence).where("kept").select("_row.*")
