@@ -4,7 +4,9 @@ Words are reduced to templates: numbers, units and names (capitalised words insi
 placeholders, other words lose case and outer punctuation; tokens without a letter or digit vanish. Windows of WINDOW
 words are hashed and joined with the windows of the benchmark: each by its values, so that verbatim passages match whatever
 their case and punctuation, and by its templates, one with capitalised words that open a sentence as words and one with
-them as names. A window in which placeholders outnumber the words says too little as a template and is hashed by value only.
+them as names. A window in which placeholders outnumber the words says too little as a template and is hashed by value only, as
+is one without placeholders. Tasks pass on the windows whose two bits are set in a table of the benchmark's windows; the table's
+size is fixed, and with ever larger benchmarks it lets more windows through to the join, which decides.
 Along one alignment of a document with an
 item, the same value of the item must always stand for the same value of the document: then the match is a
 verbatim or re-parameterised question; otherwise only its verbatim windows count. In items under COVER words, an opening of the
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,12 @@ from lakewitness.llm.hashing import C, mix
 from lakewitness.session import cut, ship_package
 
 WINDOW, COVER, SHORTEST, ALONE = 8, 13, 5, 3
-# Up to this many different window hashes (8 bytes each) the tasks hold the benchmark's; beyond it, all windows go through the join.
-HELD_HASHES = 2_000_000
+# Bits of the table in which tasks look up windows before the join: 8 MB, whatever the size of the benchmark.
+TABLE_BITS = 26
 # Words a task remembers; it forgets all and starts anew beyond.
 CACHED_WORDS = 500_000
+# Rows a task holds before it passes them on.
+HELD_ROWS = 20_000
 UNITS = frozenset(
     "% ° $ € £ km m cm mm mi mile miles ft feet inch inches yard yards kg g mg lb lbs oz ton tons l ml liter liters litre litres gallon gallons "
     "s sec second seconds min minute minutes h hour hours day days week weeks month months year years hz khz mhz ghz w kw v a c f k "
@@ -111,7 +115,8 @@ def windows(kind: np.ndarray, value: np.ndarray, opening: np.ndarray, size: int)
     opened = np.cumsum(np.append(0, opening))
     for kinds, every in ((kind, True), (np.where(opening, NAME, kind), False)):
         slots = np.cumsum(np.append(0, kinds != LITERAL))
-        fits = 2 * (slots[size:] - slots[:-size]) <= size
+        held = slots[size:] - slots[:-size]
+        fits = (held > 0) & (2 * held <= size)
         if not every:
             fits &= opened[size:] > opened[:-size]
         at = np.flatnonzero(fits)
@@ -148,75 +153,109 @@ def _alone(text: str, tokens: list[str], size: int) -> np.ndarray:
     return edge[: len(edge) - size] & edge[size:]
 
 
-def _sequence_rows(keys: dict, text: str, sizes: list[int], held: np.ndarray | None) -> Iterator[dict]:
+class WindowTable:
+    """Bits of the window hashes of a benchmark, two for each."""
+
+    def __init__(self, parts: list[tuple[int, bytes]], width: int = TABLE_BITS):
+        self.width, self.bits = width, np.zeros(1 << width >> 3, np.uint8)
+        for number, part in parts:
+            self.bits[number * len(part) : (number + 1) * len(part)] = np.frombuffer(part, np.uint8)
+
+    def may_have(self, found: np.ndarray) -> np.ndarray:
+        mask = np.uint64((1 << self.width) - 1)
+        out = np.ones(len(found), bool)
+        for place in (found & mask, (found >> np.uint64(self.width)) & mask):
+            out &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        return out
+
+
+def window_table(windows_: DataFrame) -> WindowTable:
+    """The table of the ``window`` column: bitmaps of fixed size made by Spark, 8 MB in all."""
+    place = lambda shift: F.shiftrightunsigned("window", shift).bitwiseAND(F.lit((1 << TABLE_BITS) - 1)) + 1
+    places = windows_.select(F.explode(F.array(place(0), place(TABLE_BITS))).alias("p"))
+    parts = places.groupBy(F.bitmap_bucket_number("p").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("part"))
+    return WindowTable([(r.number - 1, bytes(r.part)) for r in parts.collect()])
+
+
+def _sequence_rows(text: str, sizes: list[int], held: WindowTable | None) -> Iterator[tuple]:
     """Rows of short items' sequences; their sizes are below zero."""
     tokens = _tokens(text) if sizes else []
     for size in sizes:
         found = _sequence_hashes(tokens, -size)
-        fits = np.ones(len(found), bool)
-        if held is not None and len(found):
-            fits = held[np.minimum(np.searchsorted(held, found), len(held) - 1)] == found
+        fits = np.ones(len(found), bool) if held is None else held.may_have(found)
         if -size < ALONE and fits.any():
             fits &= _alone(text, tokens, -size)
         for p in np.flatnonzero(fits).tolist():
-            yield {**keys, "window": int(found[p].astype(np.int64)), "size": size, "at": p, "by_value": True, "slots": []}
+            yield int(found[p].astype(np.int64)), size, p, True, []
 
 
-def _rows(keys: dict, text: str, sizes: list[int], held: np.ndarray | None) -> Iterator[dict]:
+def _rows(text: str, sizes: list[int], held: WindowTable | None) -> Iterator[tuple]:
     place, kind, value, opening = templated(text)
     tokens = None
     for size in sizes:
         for kinds, at, found in windows(kind, value, opening, size):
             if held is not None:
-                i = np.searchsorted(held, found)
-                own = held[np.minimum(i, len(held) - 1)] == found
+                own = held.may_have(found)
                 at, found = at[own], found[own]
             by_value, kinds = kinds is None, np.where(opening, NAME, kind) if kinds is None else kinds
             for p, h in zip(at.tolist(), found.astype(np.int64).tolist()):
                 tokens = tokens or _tokens(text)
                 slots = [_slot(tokens[place[p + j]], opening[p + j]) for j in range(size) if kinds[p + j] != LITERAL]
-                yield {**keys, "window": h, "size": size, "at": p, "by_value": by_value, "slots": slots}
+                yield h, size, p, by_value, slots
 
 
-def window_rows(df: DataFrame, keys: list[str], sizes: list[int] | None, held: np.ndarray | None = None) -> DataFrame:
-    """keys, window, size, at, by_value, slots: windows of the ``text`` column, of the given sizes, or of the size an item needs.
+_WINDOW_ARROW = pa.schema([("window", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("by_value", pa.bool_()), ("slots", pa.list_(pa.string()))])
 
-    ``held`` restricts them to hashes that the benchmark has.
+
+def window_rows(df: DataFrame, key: str, sizes: list[int] | None, held: WindowTable | None = None) -> DataFrame:
+    """key, window, size, at, by_value, slots: windows of the ``text`` column, of the given sizes, or of the size an item needs.
+
+    ``held`` leaves out windows that the benchmark surely does not have.
     """
     ship_package(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*keys, "window", "size", "at", "by_value", "slots"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                text = row.pop("text")
+            keys, texts = batch.column(key), batch.column("text")
+            at, rows = [], []
+            for k in range(batch.num_rows):
+                text = texts[k].as_py()
                 own = sizes
                 if own is None:
                     n = len(templated(text)[0])
                     own = [min(n, WINDOW)] if n >= SHORTEST else [-len(_tokens(text))] if n else []
-                out += _rows(row, text, [s for s in own if s > 0], held)
-                out += _sequence_rows(row, text, [s for s in own if s < 0], held)
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=columns)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=columns)
+                for make, some in ((_rows, [s for s in own if s > 0]), (_sequence_rows, [s for s in own if s < 0])):
+                    for row in make(text, some, held):
+                        at.append(k)
+                        rows.append(row)
+                        if len(rows) >= HELD_ROWS:
+                            yield _batch(keys, at, rows)
+                            at, rows = [], []
+            if rows:
+                yield _batch(keys, at, rows)
+
+    def _batch(keys: pa.Array, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _WINDOW_ARROW)]
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), *columns], [key, *_WINDOW_ARROW.names])
 
-    schema = ", ".join(f"`{k}` {dict(df.dtypes)[k]}" for k in keys)
-    return df.select(*keys, "text").mapInPandas(run, f"{schema}, window bigint, size int, at int, by_value boolean, slots array<string>")
+    given = df.select(key, "text")
+    fields = ", window bigint, size int, at int, by_value boolean, slots array<string>"
+    return given.mapInArrow(run, f"`{key}` {dict(given.dtypes)[key]}{fields}")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_key, item, covered, reworded: consistent alignments that cover enough of an item. docs: doc_key, text."""
-    items = benchmark.select(F.struct(F.col("item_id"), text_digest(whole_text()).alias("d")).alias("item"), whole_text().alias("text")).distinct()
-    wanted = cut(window_rows(items, ["item"], None))
-    distinct = cut(wanted.select("window", "size").distinct())
-    sizes = sorted(r[0] for r in distinct.select("size").distinct().collect())
-    held = None
-    if distinct.count() <= HELD_HASHES:
-        held = np.sort(np.array([r[0] for r in distinct.select("window").collect()], np.int64).view(np.uint64))
-    found = window_rows(docs, ["doc_key"], sizes, held) if sizes else docs.limit(0).select("doc_key", F.lit(0).cast("long").alias("window"), F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(False).alias("by_value"), F.array().cast("array<string>").alias("slots"))
+    """doc_key, ids, covered, reworded: consistent alignments that cover enough of an item. docs: doc_key, text.
+
+    Items of one text are one item with several ids.
+    """
+    texts = benchmark.select("item_id", text_digest(whole_text()).alias("item"), whole_text().alias("text"))
+    items = cut(texts.groupBy("item").agg(F.min("text").alias("text"), F.sort_array(F.collect_set("item_id")).alias("ids")))
+    wanted = cut(window_rows(items, "item", None))
+    sizes = sorted(r[0] for r in wanted.select("size").distinct().collect())
+    nothing = "doc_key struct<doc_id:bigint,d:binary>, ids array<bigint>, covered int, reworded boolean"
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], nothing)
+    found = window_rows(docs, "doc_key", sizes, window_table(wanted))
     length = wanted.groupBy("item").agg((F.max("at") + F.max(F.abs("size"))).alias("length"))
     right = wanted.join(length, "item").select("item", "window", "size", "length", "by_value", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
     # windows equal by value have the item's values, even where the two texts open sentences at other places
@@ -235,7 +274,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = F.when(consistent, F.size("words")).otherwise(F.size("verbatim"))
     reworded = consistent & F.exists("values", lambda v: v["i"] != v["d"])
     judged = one.select("doc_key", "item", "length", covered.alias("covered"), reworded.alias("reworded"))
-    return judged.where(F.col("covered") >= F.least(F.lit(COVER), F.col("length"))).drop("length")
+    enough = judged.where(F.col("covered") >= F.least(F.lit(COVER), F.col("length")))
+    return enough.join(items.select("item", "ids"), "item").select("doc_key", "ids", "covered", "reworded")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -245,7 +285,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_key, items, covered, reworded per contaminated document."""
     return matches(_keyed(docs), benchmark).groupBy("doc_key").agg(
-        F.sort_array(F.collect_set("item.item_id")).alias("items"), F.max("covered").cast("long").alias("covered"), F.max("reworded").alias("reworded")
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"), F.max("covered").cast("long").alias("covered"), F.max("reworded").alias("reworded")
     )
 
 

@@ -251,9 +251,10 @@ def test_verbatim_matches_depend_on_no_case_or_sentence_place(spark, folder, doc
     assert out == {0: ([1], False), 1: ([1], False), 2: ([1], False), 3: ([2], False), 4: ([3], True), 5: ([], False), 6: ([2], True)}
 
 
-@pytest.mark.parametrize("held", [0, decontaminate.HELD_HASHES])
-def test_both_ways_to_join_find_the_same(spark, folder, docs, monkeypatch, held):
-    monkeypatch.setattr(decontaminate, "HELD_HASHES", held)
+@pytest.mark.parametrize("full", [False, True])
+def test_a_full_table_changes_nothing(spark, folder, docs, monkeypatch, full):
+    if full:
+        monkeypatch.setattr(decontaminate, "window_table", lambda w: decontaminate.WindowTable([(0, b"\xff" * 4096)], 15))
     items = [(i, prose(n, 100 + i)) for i, n in enumerate((6, 9, 13, 40))]
     texts = [f"{prose(20, i)} {t} {prose(20, 50 + i)}" for i, t in items]
     out = decontaminate.op7_template_windows(spark, folder(documents=docs(texts), benchmark=items)).collect()
