@@ -27,9 +27,7 @@ def sink(df: DataFrame) -> None:
 
 def evidence(ws: Workspace, *ids: int) -> Evidence:
     """Evidence of some versions only, started from scratch."""
-    fresh = Evidence(ws.spark, {i: ws.frames[i] for i in ids}, ws.registry.where(ws.registry["version_id"].isin(*ids)))
-    fresh.buckets = ws.buckets
-    return fresh
+    return Evidence(ws.spark, {i: ws.frames[i] for i in ids}, ws.registry.where(ws.registry["version_id"].isin(*ids)))
 
 
 def profile_lines(ws):

@@ -1,9 +1,7 @@
-"""Exact order statistics over weighted values, without one task per column.
+"""Numbering within groups of any size, without one task per group.
 
-A plain window over ``(version, column)`` would sort every distinct value of a near-unique column
-in one task. Here each group is first split at approximate quantiles into ``BUCKETS`` ranges of
-about equal size. Bucket totals are a small relation; their running sums give each bucket its
-offset, and the exact work happens inside one bucket.
+A group is first split at approximate quantiles into ``BUCKETS`` ranges of about equal size. Totals of the ranges are a
+small relation; their running sums give each range its offset, and the exact work happens inside a range.
 """
 
 from __future__ import annotations
@@ -24,115 +22,7 @@ def with_bucket(df: DataFrame, keys: list[str], value: str, buckets: int) -> Dat
     return df.join(bounds, keys).withColumn("bucket", inside).drop("bounds")
 
 
-def bucket_offsets(df: DataFrame, keys: list[str], value: str, sums: list[str]) -> DataFrame:
-    """One row per (key, bucket): totals, running totals before it, first value of the next one."""
-    totals = df.groupBy(*keys, "bucket").agg(
-        *[F.sum(s).alias(f"{s}_total") for s in sums], F.min(value).alias("first_value")
-    )
-    w = Window.partitionBy(*keys).orderBy("bucket")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *keys,
-        "bucket",
-        *[f"{s}_total" for s in sums],
-        *[F.coalesce(F.sum(f"{s}_total").over(before), F.lit(0)).alias(f"{s}_before") for s in sums],
-        F.lead("first_value").over(w).alias("next_bucket_value"),
-    )
-
-
-def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, probs: list[float], buckets: int = 1) -> DataFrame:
-    """Exact linear-interpolation quantiles as columns ``q0``, ``q1``, ... per key."""
-    df = df.where(F.col(value).isNotNull() & (F.col(weight) > 0))
-    if buckets <= 1:
-        return _quantiles_in_order(df, keys, value, weight, probs)
-
-    spread = with_bucket(df.select(*keys, value, weight), keys, value, buckets)
-    offsets = bucket_offsets(spread, keys, value, [weight])
-    sizes = df.groupBy(*keys).agg(F.sum(weight).alias("n"))
-    # The two order statistics every probability needs, as zero-based positions.
-    wanted = sizes.select(
-        *keys,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("slot"), F.lit(end).alias("end"), position.alias("position"))
-                    for i, p in enumerate(probs)
-                    for end, position in (
-                        ("low", F.floor(F.lit(p) * (F.col("n") - 1))),
-                        ("high", F.ceil(F.lit(p) * (F.col("n") - 1))),
-                    )
-                ]
-            )
-        ).alias("w"),
-    ).select(*keys, "w.*")
-    holders = offsets.join(wanted, keys).where(
-        (F.col("position") >= F.col(f"{weight}_before"))
-        & (F.col("position") < F.col(f"{weight}_before") + F.col(f"{weight}_total"))
-    )
-    # Only the buckets that hold a wanted position are ordered.
-    inside = spread.join(holders.select(*keys, "bucket", f"{weight}_before").distinct(), [*keys, "bucket"])
-    w = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    running = inside.withColumn("upto", F.col(f"{weight}_before") + F.sum(weight).over(w))
-    found = running.join(holders.select(*keys, "bucket", "slot", "end", "position"), [*keys, "bucket"]).where(
-        (F.col("position") < F.col("upto")) & (F.col("position") >= F.col("upto") - F.col(weight))
-    )
-    ends = found.groupBy(*keys).agg(
-        *[
-            F.max(F.when((F.col("slot") == i) & (F.col("end") == end), F.col(value))).alias(f"{end}{i}")
-            for i in range(len(probs))
-            for end in ("low", "high")
-        ]
-    )
-    fraction = [F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1)) for p in probs]
-    return ends.join(sizes, keys).select(
-        *keys,
-        *[
-            (F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * fraction[i]).alias(f"q{i}")
-            for i in range(len(probs))
-        ],
-    )
-
-
-def _quantiles_in_order(df: DataFrame, keys: list[str], value: str, weight: str, probs: list[float]) -> DataFrame:
-    """One ordered pass per key. The sort can spill, unlike the built-in aggregate's map of values."""
-    sizes = df.groupBy(*keys).agg(F.sum(weight).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = df.select(*keys, value, weight, F.sum(weight).over(w).alias("upto")).join(sizes, keys)
-
-    def at(position):
-        inside = (position < F.col("upto")) & (position >= F.col("upto") - F.col(weight))
-        return F.max(F.when(inside, F.col(value)))
-
-    place = [F.lit(p) * (F.col("n") - 1) for p in probs]
-    ends = placed.groupBy(*keys, "n").agg(
-        *[at(F.floor(x)).alias(f"low{i}") for i, x in enumerate(place)], *[at(F.ceil(x)).alias(f"high{i}") for i, x in enumerate(place)]
-    )
-    return ends.select(
-        *keys,
-        *[(F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (x - F.floor(x))).alias(f"q{i}") for i, x in enumerate(place)],
-    )
-
-
-def running_totals(df: DataFrame, keys: list[str], value: str, sums: list[str], buckets: int = 1) -> DataFrame:
-    """Running sums in value order plus the next larger value of the key, one row per input row."""
-    spread = with_bucket(df, keys, value, buckets)
-    w = Window.partitionBy(*keys, "bucket").orderBy(value)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    if buckets <= 1:
-        return spread.select(
-            *df.columns,
-            *[F.sum(s).over(upto).alias(f"{s}_upto") for s in sums],
-            F.lead(value).over(w).alias("next_value"),
-        )
-    offsets = bucket_offsets(spread, keys, value, sums)
-    return spread.join(offsets, [*keys, "bucket"]).select(
-        *df.columns,
-        *[(F.col(f"{s}_before") + F.sum(s).over(upto)).alias(f"{s}_upto") for s in sums],
-        F.coalesce(F.lead(value).over(w), F.col("next_bucket_value")).alias("next_value"),
-    )
-
-
-def numbered_rows(df: DataFrame, keys: list[str], order: str, tie: str, carry: list[str], buckets: int = 1) -> DataFrame:
+def numbered_rows(df: DataFrame, keys: list[str], order: str, tie: str, carry: list[str], buckets: int = BUCKETS) -> DataFrame:
     """``rank`` from 1 within each key by (order, tie), and ``previous_c`` / ``next_c`` for carried columns.
 
     With several buckets a key that holds a large part of all rows is ordered range by range; ranks
@@ -147,8 +37,6 @@ def numbered_rows(df: DataFrame, keys: list[str], order: str, tie: str, carry: l
         *[F.lag(c).over(w).alias(f"previous_{c}") for c in carry],
         *[F.lead(c).over(w).alias(f"next_{c}") for c in carry],
     )
-    if buckets <= 1:
-        return local.drop("bucket")
     place = F.struct(order, tie)
     ends = spread.groupBy(*keys, "bucket").agg(
         F.count(F.lit(1)).alias("n"),

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewitness.functions.columns import row_digest, safe_div
-from lakewitness.functions.ordered import running_totals, weighted_quantiles
 from lakewitness.lookups import (
     DRIFTED_FEATURE_SHIFT,
     DSI_WEIGHTS,
@@ -22,6 +21,7 @@ from lakewitness.lookups import (
     STORY_TEXT,
 )
 from lakewitness.operators.value_counts import is_missing, union_all
+from lakewitness.session import cut
 
 PAIR_COLUMN = ["pair_id", "column"]
 # Pair numbers are previous * PAIR_BASE + current.
@@ -303,32 +303,49 @@ def numeric_summary(paired: DataFrame) -> DataFrame:
     )
 
 
-def numeric_shifts(paired: DataFrame, counts: DataFrame, buckets: int = 1) -> DataFrame:
-    """Wasserstein distance between both sides over the combined spread, at most 1."""
-    wanted = paired.where((F.col("status") == "common") & F.col("numeric_pair")).select(*PAIR_COLUMN, "is_target")
+def numeric_shifts(paired: DataFrame, counts: DataFrame) -> DataFrame:
+    """Wasserstein distance between both sides over the combined spread, at most 1.
+
+    Values are put in order over all tasks by range; what lies before a range comes from one row of totals for each range
+    and column, so neither a column nor its values meet in one task, and values are joined with nothing but these rows.
+    """
+    both_numeric = paired.where((F.col("status") == "common") & F.col("numeric_pair"))
+    wanted = both_numeric.select(*PAIR_COLUMN, "is_target")
     # Whole numbers beyond the range of doubles may share a value; a gap of zero adds nothing.
-    values = (
-        counts.where(F.col("num").isNotNull())
-        .join(wanted.select(*PAIR_COLUMN), PAIR_COLUMN)
-        .select(*PAIR_COLUMN, "num", "old", "new", (F.col("old") + F.col("new")).alias("both"))
-    )
-    sizes = values.groupBy(*PAIR_COLUMN).agg(
-        F.sum("old").alias("n_old"),
-        F.sum("new").alias("n_new"),
-        F.sum("both").alias("n"),
-        F.min("num").alias("low"),
-        F.max("num").alias("high"),
-        (F.sum(F.col("num") * F.col("both")) / F.sum("both")).alias("mean"),
-    )
-    quartiles = weighted_quantiles(values, PAIR_COLUMN, "num", "both", [0.25, 0.75], buckets)
-    figures = sizes.join(quartiles, PAIR_COLUMN)
-    deviation = F.col("num") - F.col("mean")
-    walk = running_totals(values, PAIR_COLUMN, "num", ["old", "new"], buckets).join(figures, PAIR_COLUMN)
-    gap = F.abs(F.col("old_upto") / F.col("n_old") - F.col("new_upto") / F.col("n_new")) * (F.col("next_value") - F.col("num"))
-    sums = walk.groupBy(*figures.columns).agg(
-        F.coalesce(F.sum(gap), F.lit(0.0)).alias("distance"), F.sum(deviation * deviation * F.col("both")).alias("m2")
+    values = counts.where(F.col("num").isNotNull()).join(F.broadcast(wanted.select(*PAIR_COLUMN)), PAIR_COLUMN)
+    values = values.select(*PAIR_COLUMN, "num", "old", "new", (F.col("old") + F.col("new")).alias("both"))
+    # A row per column and pair is broadcast above, a row per column and range below: both follow the schemas, not the data.
+    ranged = cut(values.repartitionByRange(*PAIR_COLUMN, "num").withColumn("range", F.spark_partition_id()))
+    totals = ranged.groupBy(*PAIR_COLUMN, "range").agg(
+        *[F.sum(c).alias(f"{c}_here") for c in ("old", "new", "both")],
+        F.min("num").alias("first"), F.max("num").alias("last"), F.sum(F.col("num") * F.col("both")).alias("total"),
+    )
+    order = Window.partitionBy(*PAIR_COLUMN).orderBy("range")
+    before = lambda c: F.coalesce(F.sum(f"{c}_here").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = Window.partitionBy(*PAIR_COLUMN)
+    offsets = totals.select(
+        *PAIR_COLUMN, "range", *[before(c).alias(f"{c}_before") for c in ("old", "new", "both")], F.lead("first").over(order).alias("next_first"),
+        *[F.sum(f"{c}_here").over(whole).alias(n) for c, n in (("old", "n_old"), ("new", "n_new"), ("both", "n"))],
+        F.min("first").over(whole).alias("low"), F.max("last").over(whole).alias("high"),
+        (F.sum("total").over(whole) / F.sum("both_here").over(whole)).alias("mean"),
+    )
+    inside = Window.partitionBy(*PAIR_COLUMN, "range").orderBy("num")
+    upto = lambda c: F.col(f"{c}_before") + F.sum(c).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    walk = ranged.join(F.broadcast(cut(offsets)), [*PAIR_COLUMN, "range"]).select(
+        *PAIR_COLUMN, "num", "both", "n_old", "n_new", "n", "low", "high", "mean", *[upto(c).alias(f"{c}_upto") for c in ("old", "new", "both")],
+        F.coalesce(F.lead("num").over(inside), F.col("next_first")).alias("next_value"),
     )
-    iqr = F.col("q1") - F.col("q0")
+    gap = F.abs(F.col("old_upto") / F.col("n_old") - F.col("new_upto") / F.col("n_new")) * (F.col("next_value") - F.col("num"))
+    deviation = F.col("num") - F.col("mean")
+    place = lambda p: F.lit(p) * (F.col("n") - 1)
+    holds = lambda at: (at < F.col("both_upto")) & (at >= F.col("both_upto") - F.col("both"))
+    figures = ["n_old", "n_new", "n", "low", "high"]
+    sums = walk.groupBy(*PAIR_COLUMN, *figures).agg(
+        F.coalesce(F.sum(gap), F.lit(0.0)).alias("distance"), F.sum(deviation * deviation * F.col("both")).alias("m2"),
+        *[F.max(F.when(holds(end(place(p))), F.col("num"))).alias(f"{name}{i}") for i, p in enumerate((0.25, 0.75)) for name, end in (("floor", F.floor), ("ceil", F.ceil))],
+    )
+    quartile = lambda i, p: F.col(f"floor{i}") + (F.col(f"ceil{i}") - F.col(f"floor{i}")) * (place(p) - F.floor(place(p)))
+    iqr = quartile(1, 0.75) - quartile(0, 0.25)
     std = F.when((F.col("n") > 1) & (F.col("low") < F.col("high")), F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0)
     scale = F.when(iqr > 1e-12, iqr).when(std > 1e-12, std).otherwise(F.greatest(F.col("high") - F.col("low"), F.lit(1.0)))
     shift = F.when((F.col("n_old") == 0) | (F.col("n_new") == 0), 0.0).otherwise(

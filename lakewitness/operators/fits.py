@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakewitness.functions import wide
 from lakewitness.functions.columns import as_text, present
-from lakewitness.functions.ordered import BUCKETS, weighted_quantiles
-from lakewitness.operators.value_counts import value_counts
 
 
 def clean(df: DataFrame) -> dict:
@@ -35,14 +34,14 @@ def medians_where_missing(df: DataFrame, columns: list[str]) -> dict[str, float
 
 
 def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles, through value counts split into ranges: the built-in aggregate keeps every distinct
-    value of a column in one task."""
+    """Exact quantiles, in wide passes over the table."""
     if not columns:
         return {}
-    vc = value_counts({0: df}, columns)
-    rows = weighted_quantiles(vc, ["column"], "num", "cnt", probs, BUCKETS).collect()
-    found = {r["column"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
-    return {c: found.get(c, [None] * len(probs)) for c in columns}
+    values = clean(df)
+    tables = {0: (df, {c: values[c] + F.lit(0.0) for c in columns})}
+    figures = wide.moments(tables)
+    wide.add_quantiles(tables, figures, probs)
+    return {c: figures[0, c].quantiles for c in columns}
 
 
 def moments(df: DataFrame, columns: list[str], *names: str) -> dict[str, dict[str, float | None]]:

@@ -6,14 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewitness.functions.columns import cap, logical_dtype, numeric_columns, present, row_digest, safe_div
-from lakewitness.functions.ordered import weighted_quantiles
+from lakewitness.functions.columns import as_text, cap, is_numeric, logical_dtype, numeric_columns, present, row_digest, safe_div
+from lakewitness.functions.wide import profile_figures
 from lakewitness.operators.value_counts import is_missing, union_all
 from lakewitness.session import ship_package
 from lakewitness.lookups import (
     HIGH_CORRELATION,
     LOW_INFORMATION_SHARE,
-    OUTLIER_FENCE,
     TOP_VALUES,
 )
 
@@ -32,36 +31,28 @@ def skewness(n: Column, m2: Column, m3: Column) -> Column:
 
 
 def column_counts(vc: DataFrame) -> DataFrame:
-    """Row, missing and distinct counts of every column, and the first moments of the numeric ones."""
+    """Row, missing and distinct counts of every column."""
     return vc.groupBy(*GROUP).agg(
         F.sum("cnt").alias("row_count"),
         F.sum(F.when(is_missing(), F.col("cnt")).otherwise(0)).alias("missing_count"),
         F.sum(F.when(is_missing(), 0).otherwise(1)).alias("unique_count"),
-        F.sum(F.when(F.col("num").isNotNull(), F.col("cnt"))).alias("n"),
-        F.min("num").alias("min"),
-        F.max("num").alias("max"),
-        F.sum(F.col("num") * F.col("cnt")).alias("total"),
-    ).withColumn("mean", F.col("total") / F.col("n")).drop("total")
-
-
-def numeric_statistics(vc: DataFrame, counts: DataFrame, buckets: int = 1) -> DataFrame:
-    """Moments, quartiles and fence outliers of every numeric column."""
-    values = vc.where(F.col("num").isNotNull())
-    quartiles = weighted_quantiles(values, GROUP, "num", "cnt", [0.25, 0.5, 0.75], buckets).select(
-        *GROUP, F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75")
-    )
-    base = counts.select(*GROUP, "n", "min", "max", "mean").join(quartiles, GROUP)
-    iqr = F.col("q75") - F.col("q25")
-    outside = (F.col("num") < F.col("q25") - OUTLIER_FENCE * iqr) | (F.col("num") > F.col("q75") + OUTLIER_FENCE * iqr)
-    deviation = F.col("num") - F.col("mean")
-    # The figures found so far travel with the group, so that their plan runs once.
-    second = values.join(base, GROUP).groupBy(*base.columns).agg(
-        F.sum(deviation * deviation * F.col("cnt")).alias("m2"),
-        F.sum(deviation * deviation * deviation * F.col("cnt")).alias("m3"),
-        F.sum(F.when((iqr != 0) & outside, F.col("cnt")).otherwise(0)).alias("outlier_count"),
     )
+
+
+FIGURES_SCHEMA = "version_id long, column string, n long, min double, q25 double, median double, q75 double, max double, mean double, m2 double, m3 double, outlier_count long"
+
+
+def numeric_statistics(versions: dict[int, DataFrame], values: dict[int, dict[str, Column]] | None = None) -> DataFrame:
+    """Moments, quartiles and fence outliers of every numeric column, or of the given doubles, in wide passes over the tables."""
+    tables = {}
+    for vid, df in versions.items():
+        numeric = {f.name: present(f).cast("double") + F.lit(0.0) for f in df.schema.fields if is_numeric(f.dataType)}
+        tables[vid] = (df, numeric if values is None else values.get(vid, {}))
+    found = profile_figures(tables) if any(v for _, v in tables.values()) else {}
+    spark = next(iter(versions.values())).sparkSession
+    rows = [(v, c, f.n, f.low, *f.quantiles, f.high, f.mean, f.m2, f.m3, f.outliers) for (v, c), f in found.items()]
     m2 = F.when(F.col("min") == F.col("max"), F.lit(0.0)).otherwise(F.col("m2"))
-    return second.select(
+    return spark.createDataFrame(rows, FIGURES_SCHEMA).where("n > 0").select(
         *GROUP,
         "min",
         "q25",
@@ -75,7 +66,7 @@ def numeric_statistics(vc: DataFrame, counts: DataFrame, buckets: int = 1) -> Da
     )
 
 
-def column_profile(vc: DataFrame, catalog: DataFrame, configurations: DataFrame, buckets: int = 1) -> DataFrame:
+def column_profile(vc: DataFrame, catalog: DataFrame, configurations: DataFrame, versions: dict[int, DataFrame]) -> DataFrame:
     """One row per (version, column): D1-D4 and D6."""
     counts = column_counts(vc)
     numeric = F.col("base_type").isin("int64", "float64")
@@ -84,7 +75,7 @@ def column_profile(vc: DataFrame, catalog: DataFrame, configurations: DataFrame,
     rows = (
         catalog.join(targets, "version_id", "left")
         .join(counts.select(*GROUP, "row_count", "missing_count", "unique_count"), GROUP, "left")
-        .join(numeric_statistics(vc, counts, buckets), GROUP, "left")
+        .join(numeric_statistics(versions), GROUP, "left")
         .withColumns({c: zero(c) for c in ("row_count", "missing_count", "unique_count")})
     )
     return rows.select(
@@ -261,26 +252,23 @@ def classification_profile(classes: DataFrame) -> DataFrame:
     )
 
 
-def target_as_number(vc: DataFrame, configurations: DataFrame) -> DataFrame:
-    """Value counts of regression targets, text converted to numbers where it can be."""
-    targets = configurations.where(F.col("task_type") == "regression").select(
-        "version_id", F.col("target_column").alias("column")
-    )
-    rows = vc.join(targets, GROUP, "left_semi")
-    return rows.withColumn("num", F.coalesce("num", F.expr("try_cast(value as double)"))).withColumn(
-        "value", F.lit(None).cast("string")
-    )
-
-
-def regression_profile(vc: DataFrame, configurations: DataFrame, buckets: int = 1) -> DataFrame:
-    """Shape of a regression target."""
-    rows = target_as_number(vc, configurations)
-    stats = numeric_statistics(rows, column_counts(rows), buckets).drop("column")
-    sizes = rows.groupBy("version_id").agg(
-        F.sum("cnt").alias("target_rows"),
-        F.sum(F.when(F.col("num").isNull(), F.col("cnt")).otherwise(0)).alias("target_missing"),
-    )
-    return sizes.join(stats, "version_id", "left").select(
+def regression_profile(versions: dict[int, DataFrame], configurations: DataFrame) -> DataFrame:
+    """Shape of a regression target, text converted to numbers where it can be."""
+    spark, values, sizes = next(iter(versions.values())).sparkSession, {}, []
+    for r in configurations.where(F.col("task_type") == "regression").select("version_id", "target_column").collect():
+        fields = {f.name: f for f in versions[r["version_id"]].schema.fields} if r["version_id"] in versions else {}
+        if r["target_column"] in fields:
+            f = fields[r["target_column"]]
+            number = present(f).cast("double") if is_numeric(f.dataType) else as_text(f).try_cast("double")
+            values[r["version_id"]] = {f.name: number + F.lit(0.0)}
+    targets = {v: versions[v] for v in values} or versions
+    stats = numeric_statistics(targets, values).drop("column")
+    for v, value in values.items():
+        (number,) = value.values()
+        counts = versions[v].agg(F.count(F.lit(1)).alias("target_rows"), F.count_if(number.isNull()).alias("target_missing"))
+        sizes.append(counts.withColumn("version_id", F.lit(v).cast("long")))
+    none = spark.createDataFrame([], "target_rows long, target_missing long, version_id long")
+    return union_all([none, *sizes]).where("target_rows > 0").join(stats, "version_id", "left").select(
         "version_id",
         F.col("skewness").alias("target_skewness"),
         F.coalesce("outlier_count", F.lit(0)).alias("target_outlier_count"),
