@@ -18,6 +18,7 @@ from lakewitness.lookups import (
     POST_OUTCOME_MARKERS,
     SEVERITY_ORDER,
 )
+from lakewitness.functions.components import components
 from lakewitness.operators.profile import imbalance_points
 from lakewitness.operators.value_counts import union_all
 
@@ -27,37 +28,14 @@ V = "version_id"
 # ---------------------------------------------------------------- correlation clusters
 
 def correlation_clusters(pairs: DataFrame, configurations: DataFrame) -> DataFrame:
-    """F16: groups of features linked by strong correlations, one row per member.
-
-    The profiler admits at most 200 numeric columns per version, so a version's graph has at most
-    19900 edges and one grouped call per version is bounded. The target is left out.
-    """
+    """F16: groups of features linked by strong correlations, one row per member. The target is left out."""
     edges = (
         pairs.join(configurations.select(V, "target_column"), V, "left")
         .where(~F.coalesce((F.col("left") == F.col("target_column")) | (F.col("right") == F.col("target_column")), F.lit(False)))
         .select(V, "left", "right")
     )
-
-    def components(frame):
-        import pandas as pd
-
-        root: dict[str, str] = {}
-
-        def find(name: str) -> str:
-            while root.setdefault(name, name) != name:
-                root[name] = root[root[name]]
-                name = root[name]
-            return name
-
-        for a, b in zip(frame["left"], frame["right"]):
-            low, high = sorted((find(a), find(b)))
-            root[high] = low
-        members = sorted(root)
-        return pd.DataFrame({V: frame[V].iloc[0], "cluster": [find(m) for m in members], "column": members})
-
-    return edges.groupBy(V).applyInPandas(components, f"{V} long, cluster string, column string").withColumn(
-        "size", F.count(F.lit(1)).over(Window.partitionBy(V, "cluster"))
-    )
+    rows = components(edges, V, "left", "right").select(V, F.col("root").alias("cluster"), F.col("node").alias("column"))
+    return rows.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(V, "cluster")))
 
 
 # ---------------------------------------------------------------- facts per version

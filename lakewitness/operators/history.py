@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewitness import lookups as L
-from lakewitness.functions.ordered import numbered_rows
+from lakewitness.functions.ordered import BUCKETS, numbered_rows
 from lakewitness.operators.value_counts import union_all
 from lakewitness.session import cut
 
@@ -17,7 +17,7 @@ def seconds(column: str) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
 
 
-def number_versions(arrivals: DataFrame, buckets: int = 1) -> DataFrame:
+def number_versions(arrivals: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """K1: the next numbers of each dataset in order of arrival; the parent is the one before.
 
     ``arrivals``: (version_id, dataset_id, created_at, existing) with ``existing`` the highest number so far.
@@ -31,19 +31,44 @@ def number_versions(arrivals: DataFrame, buckets: int = 1) -> DataFrame:
 
 
 def lineage_tree(versions: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """K2: depth and ordering path of every version below the roots, one join per level of the tree."""
-    nodes = cut(versions.select(V, "parent_version_id", "version_number"))
+    """K2: depth, ordering path and root of every version below the roots, in a number of rounds that is logarithmic in the depth.
+
+    Every version points at an ancestor and knows how it gets there; a round replaces the pointer by that of the ancestor, which
+    doubles its reach. A version on or below a ring never gets to a root: it is returned with nothing but its id. One
+    whose chain ends at a version that doesn't exist, or at none of the given roots, is left out. Children of one parent, however
+    many, meet its single row, a join that adaptive execution splits.
+    """
     step = F.lpad(F.col("version_number").cast("string"), 19, "0")
-    start = nodes.where(F.col("parent_version_id").isNull()) if roots is None else nodes.join(roots.select(V), V, "left_semi")
-    level = cut(start.select(V, F.lit(0).alias("depth"), step.alias("path"), F.col(V).alias("root_id")))
-    levels = []
-    while not level.isEmpty():
-        levels.append(level)
-        parents = level.select(F.col(V).alias("parent_version_id"), "depth", F.col("path").alias("above"), "root_id")
-        level = cut(
-            nodes.join(parents, "parent_version_id").select(V, (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "above", step).alias("path"), "root_id")
+    given = versions.select(V, "parent_version_id", step.alias("path"))
+    if roots is not None:
+        tops = roots.select(V, F.lit(True).alias("top")).distinct()
+        given = given.join(tops, V, "left")
+    top = F.col("parent_version_id").isNull() if roots is None else F.coalesce("top", F.lit(False))
+    # A chain that reaches the end of its tree without a given root has nothing to point at.
+    nowhere = F.lit(False) if roots is None else F.col("parent_version_id").isNull() & ~F.coalesce("top", F.lit(False))
+    start = cut(given.where(~nowhere).select(V, F.when(~top, F.col("parent_version_id")).alias("jump"), F.when(top, F.col(V)).alias("root_id"), F.when(top, 0).otherwise(1).alias("depth"), "path"))
+    # Pointers first: rings, on which a path would grow without end, are known before any path is put together.
+    placed = _doubled(start.drop("path").withColumn("path", F.lit(None).cast("string")))
+    ring = placed.where("root_id IS NULL").select(V, F.lit(None).cast("int").alias("depth"), F.lit(None).cast("string").alias("path"), "root_id")
+    rooted = _doubled(start.join(placed.where("root_id IS NOT NULL").select(V), V))
+    return rooted.select(V, "depth", "path", "root_id").unionByName(ring)
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """Rows (version, jump, root_id, depth, path) after their pointers were followed to the end, or around a ring for long enough."""
+    state = cut(state)
+    for _ in range(state.count().bit_length() + 1):
+        done = state.where(F.col("jump").isNull())
+        ahead = state.select(F.col(V).alias("jump"), F.col("jump").alias("next"), F.col("root_id").alias("root"), F.col("depth").alias("more"), F.col("path").alias("above"))
+        # no chain is longer than an int says; around a ring the number means nothing
+        moved = state.where(F.col("jump").isNotNull()).join(ahead, "jump").select(
+            V, F.col("next").alias("jump"), F.col("root").alias("root_id"), F.least(F.col("depth").cast("long") + F.col("more"), F.lit(2**31 - 1)).cast("int").alias("depth"),
+            F.when(F.col("path").isNotNull(), F.concat_ws("/", "above", "path")).alias("path"),
         )
-    return union_all(levels) if levels else level
+        if moved.isEmpty():
+            return done
+        state = cut(done.unionByName(moved))
+    return state
 
 
 def node_kinds(versions: DataFrame) -> DataFrame:
@@ -286,7 +311,7 @@ def protocol_hash(fields: list[str]) -> Column:
     return F.sha2(F.concat_ws("\u001f", *parts), 256)
 
 
-def protocol_versions(edits: DataFrame, key: str, order: str, tie: str, fields: list[str], buckets: int = 1) -> DataFrame:
+def protocol_versions(edits: DataFrame, key: str, order: str, tie: str, fields: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Edits that change nothing are skipped; the others are numbered, and each is valid until the next."""
     timed = edits.withColumn("hash", protocol_hash(fields)).withColumn("at", seconds(order))
     seen = numbered_rows(timed, [key], "at", tie, ["hash"], buckets)
@@ -320,41 +345,75 @@ def protocol_diffs(protocols: DataFrame, key: str, fields: list[str]) -> DataFra
     )
 
 
-def study_timeline(versions: DataFrame, diagnoses: DataFrame) -> DataFrame:
-    """Dated events of each study."""
-    event = lambda df, label: df.select("study_id", label.alias("event"), "created_at")
+def study_timeline(studies: DataFrame, datasets: DataFrame, versions: DataFrame, prints: DataFrame, diagnoses: DataFrame) -> DataFrame:
+    """Dated events of each study; undated ones are left out.
+
+    studies (study_id, created_at), datasets (study_id, dataset_name, created_at), versions (version_id, study_id, version_number,
+    created_at), prints (version_id), diagnoses (study_id, created_at).
+    """
+    event = lambda df, label: df.where(F.col("created_at").isNotNull()).select("study_id", label.alias("event"), "created_at")
     number = F.col("version_number").cast("string")
-    first = versions.groupBy("study_id", "dataset_name").agg(F.min("created_at").alias("created_at"))
     return union_all(
         [
-            event(first, F.concat(F.lit("Dataset Registered: "), F.col("dataset_name"))),
+            event(studies, F.lit("Study Created")),
+            event(datasets, F.concat(F.lit("Dataset Registered: "), F.col("dataset_name"))),
             event(versions, F.concat(F.lit("Version Created: V"), number)),
-            event(versions.join(diagnoses.select(V), V, "left_semi"), F.concat(F.lit("Diagnosis Generated: V"), number)),
+            event(versions.join(prints.select(V), V, "left_semi"), F.concat(F.lit("Fingerprint Generated: V"), number)),
+            event(diagnoses, F.lit("Diagnosis Generated")),
         ]
     )
 
 
-def overview_gaps(versions, configurations, prints, diagnoses, diffs, decisions) -> DataFrame:
-    """Evidence a version still lacks, and the claims it supports."""
+def study_overviews(studies, datasets, versions, configurations, prints, profiles, diagnoses, diffs, contracts, protocols) -> DataFrame:
+    """What the newest version of each study lacks, the claims it supports, and warnings about its evidence.
+
+    studies (study_id), datasets (study_id), versions (version_id, study_id, parent_version_id, created_at), configurations
+    (version_id, target_column), prints, profiles, diagnoses and diffs (version_id), contracts (version_id, human_decisions),
+    protocols (study_id, target_column). The newest version comes from one mergeable aggregate per study.
+    """
+    newest = versions.groupBy("study_id").agg(F.max_by(F.struct(V, "parent_version_id"), F.struct("created_at", V)).alias("v")).select("study_id", "v.*")
     mark = lambda df, name: df.select(V).distinct().withColumn(name, F.lit(True))
     rows = (
-        versions.select(V, "parent_version_id").join(configurations.select(V, "target_column"), V, "left").join(mark(prints, "printed"), V, "left")
-        .join(mark(diagnoses, "diagnosed"), V, "left").join(mark(diffs, "compared"), V, "left").join(mark(decisions, "undecided"), V, "left")
-    )
-    lacks = lambda c: F.col(c).isNull()
-    gaps = F.array_compact(
-        F.array(
-            F.when(F.col("target_column").isNull(), F.lit("Target Column Missing")),
-            F.when(lacks("diagnosed"), F.lit("Diagnosis Not Generated")),
-            F.when(lacks("compared") & F.col("parent_version_id").isNotNull(), F.lit("Semantic Diff Unavailable")),
-            F.when(lacks("printed"), F.lit("Recreation Bundle Missing")),
-            F.when(F.col("undecided"), F.lit("Pending Human Decisions")),
-        )
+        studies.select("study_id")
+        .join(datasets.select("study_id").distinct().withColumn("registered", F.lit(True)), "study_id", "left")
+        .join(newest, "study_id", "left")
+        .join(configurations.select(V, "target_column"), V, "left")
+        .join(protocols.select("study_id", F.col("target_column").alias("goal")), "study_id", "left")
+        .join(contracts.select(V, "human_decisions"), V, "left")
     )
+    for df, name in ((prints, "printed"), (profiles, "profiled"), (diagnoses, "diagnosed"), (diffs, "compared")):
+        rows = rows.join(mark(df, name), V, "left")
+    has = lambda c: F.col(c).isNotNull()
+    dataset, version, contract = has("registered"), has(V), has("human_decisions")
+    blank = lambda c: F.coalesce(F.col(c) == "", F.lit(True))
+    listed = lambda items: F.array_join(F.array_compact(F.array(*[F.when(test, F.lit(text)) for text, test in items])), "|")
+    gaps = [
+        ("No Dataset Registered", ~dataset),
+        ("No Immutable Version", dataset & ~version),
+        ("Target Column Missing", version & blank("target_column") & blank("goal")),
+        ("Diagnosis Not Generated", version & ~has("diagnosed")),
+        ("Semantic Diff Unavailable", version & ~has("compared") & has("parent_version_id")),
+        ("Recreation Bundle Missing", version & ~has("printed")),
+        ("Pending Human Decisions", contract & (F.coalesce("human_decisions", F.lit(0)) > 0)),
+        ("Variant Planning Not Started", has("diagnosed") & ~contract),
+    ]
+    claims = [
+        ("Dataset Registered", dataset),
+        ("Diagnosis Complete", has("diagnosed")),
+        ("Dataset Version Verified", has("printed") & version),
+        # These two take an experiment or a verified candidate, which no stored evidence replaces.
+        ("Reproducibility Proven", F.lit(False)),
+        ("Intervention Improves Performance", F.lit(False)),
+        ("Experiments Required", contract),
+    ]
+    warnings = [
+        ("Missing fingerprint", version & ~has("printed")),
+        ("Missing profile report", version & ~has("profiled")),
+        ("Version has no semantic diff because it is baseline", version & ~has("compared")),
+        ("Registration completed but no analysis loaded", version & ~has("profiled")),
+    ]
+    unsupported = [(title, ~test) for title, test in claims]
     return rows.select(
-        V,
-        F.array_join(gaps, "|").alias("gaps"),
-        F.col("diagnosed").isNotNull().alias("diagnosis_complete"),
-        F.col("printed").isNotNull().alias("version_verified"),
-        lacks("compared").alias("no_comparison"),
+        "study_id", F.col(V).alias("newest_version_id"), listed(gaps).alias("gaps"), listed(claims).alias("supported_claims"), listed(unsupported).alias("unsupported_claims"),
+        listed(warnings).alias("integrity_warnings"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lakewitness.functions.columns import as_text, numeric_columns, q, text_columns
 from lakewitness.operators import fits
 from lakewitness.operators.profile import correlations
+from lakewitness.session import cut, is_input_error
 
 RANK_SAMPLE = 6400
 RANK_RANGES = 64
@@ -121,11 +122,17 @@ def onehot_encoding(df: DataFrame, ctx: Context, max_categories: int = 20, handl
     found: dict[str, list[str]] = {}
     for r in distinct.join(small, "column", "left_semi").orderBy("column", "value").collect():
         found.setdefault(r["column"], []).append(r["value"])
-    kept = [q(c) for c in df.columns if c not in found]
-    flags = [
-        F.coalesce((as_text(fields[c]) == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for c in df.columns if c in found for v in found[c]
-    ]
-    return df.select(*kept, *flags)
+    kept = [c for c in df.columns if c not in found]
+    taken, flags = {c.lower() for c in kept}, []
+    for c, v in [(c, v) for c in df.columns if c in found for v in found[c]]:
+        # Spark tells columns apart without regard to case: of such names the later ones are numbered.
+        name, n = f"{c}_{v}", 1
+        while name.lower() in taken:
+            n += 1
+            name = f"{c}_{v}_{n}"
+        taken.add(name.lower())
+        flags.append(F.coalesce((as_text(fields[c]) == v).cast("int"), F.lit(0)).alias(name))
+    return df.select(*[q(c) for c in kept], *flags)
 
 
 # ---------------------------------------------------------------- outliers
@@ -267,16 +274,19 @@ def steps() -> dict[str, Callable[..., DataFrame]]:
 
 
 def apply_steps(df: DataFrame, chain: list[tuple[str, dict]], ctx: Context) -> DataFrame:
-    """Steps in order. A step that fails is recorded and skipped; the others still run.
+    """Steps in order. A step that fails on the data is recorded and skipped; the others still run.
 
-    Surviving original columns keep their order, new indicator columns follow them.
+    Each step's table is written before the next is fitted on it, so an error of the data shows at its step and no fit runs
+    the chain again. Errors of the cluster are not caught. Surviving original columns keep their order, new ones follow.
     """
     original, known = df.columns, steps()
     for name, params in chain:
         try:
-            df = known[name](df, ctx, **params)
+            df = cut(known[name](df, ctx, **params))
             ctx.applied.append(name)
         except Exception as error:  # noqa: BLE001
+            if not is_input_error(error):
+                raise
             ctx.failed.append((name, str(error)))
     kept = [c for c in original if c in df.columns]
     return df.select(*[q(c) for c in kept], *[q(c) for c in df.columns if c not in kept])

@@ -11,7 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from lakewitness.functions.ordered import BUCKETS
-from lakewitness.operators import diagnosis, diff, profile
+from lakewitness.operators import diagnosis, diff, fingerprint, profile
 from lakewitness.operators.value_counts import column_catalog, value_counts
 from lakewitness.session import cut
 
@@ -47,6 +47,10 @@ class Evidence:
             "feature_selection_mode", "selected_features", "scaling_strategy",
         )
 
+    @cached_property
+    def configuration_hashes(self) -> DataFrame:
+        return fingerprint.configuration_hashes(self.configurations)
+
     @cached_property
     def versions(self) -> DataFrame:
         """The registry with the shape every version turned out to have."""
@@ -67,7 +71,7 @@ class Evidence:
 
     @cached_property
     def columns(self) -> DataFrame:
-        return cut(profile.column_profile(self.vc, self.catalog, self.configurations, self.buckets))
+        return cut(profile.column_profile(self.vc, self.catalog, self.configurations, self.frames))
 
     @cached_property
     def tops(self) -> DataFrame:
@@ -97,10 +101,7 @@ class Evidence:
 
     @cached_property
     def regression(self) -> DataFrame:
-        found = profile.regression_profile(self.vc, self.configurations, self.buckets)
-        # Without a regression among the configurations there is nothing to read.
-        wanted = not self.configurations.where("task_type = 'regression'").isEmpty()
-        return cut(found) if wanted else self.spark.createDataFrame([], found.schema)
+        return cut(profile.regression_profile(self.frames, self.configurations))
 
     @cached_property
     def clustering(self) -> DataFrame:
@@ -173,7 +174,7 @@ class PairEvidence:
 
     @cached_property
     def numeric(self) -> DataFrame:
-        return cut(diff.numeric_shifts(self.paired, self.counts, self.ws.buckets))
+        return cut(diff.numeric_shifts(self.paired, self.counts))
 
     @cached_property
     def changes(self) -> DataFrame:

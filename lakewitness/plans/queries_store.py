@@ -11,9 +11,10 @@ from lakewitness.operators import contract, diff, fingerprint, history, metadata
 from lakewitness.operators.value_counts import union_all
 from lakewitness.plans.check_parts import lit
 from lakewitness.plans.check_parts_risk import values
+from lakewitness.plans import refresh
 from lakewitness.plans.registry import part, query
 from lakewitness.plans.queries_transform import SCHEMA, rounded
-from lakewitness.session import shared_folder
+from lakewitness.session import cut, shared_folder
 from lakewitness.sources import ingest, store
 
 V = "version_id"
@@ -76,17 +77,39 @@ def _(ws):
     return ws.spark.read.schema(rows.schema).parquet(path)
 
 
+# Version 1 has up-to-date evidence with figures no table gives: it must stay. Version 2 has outdated evidence, with a finding
+# it will lose; 3 to 5 have none; 900 cannot be read.
+OLD_RULES = "profile-0.9"
+
+
 @query("A5_recompute_all", """
-SELECT version_id, 'done' AS outcome, count(*) AS distinct_values, CAST(sum(cnt) AS BIGINT) AS cells FROM vc WHERE version_id IN (1, 2, 3, 4, 5) GROUP BY 1 UNION ALL SELECT 900, 'failed', 0, 0""")
+SELECT version_id, 'done' AS outcome, columns, cells, mlrs_score, lrs_score, findings, scm_score FROM (SELECT version_id FROM reg WHERE version_id BETWEEN 2 AND 5)
+  JOIN (SELECT version_id, count(*) AS columns FROM cp GROUP BY 1) USING (version_id) JOIN (SELECT version_id, CAST(sum(cnt) AS BIGINT) AS cells FROM vc GROUP BY 1) USING (version_id)
+  JOIN rs USING (version_id) LEFT JOIN (SELECT version_id, array_to_string(list_sort(list(code)), ',') AS findings FROM fnd GROUP BY 1) USING (version_id) LEFT JOIN (SELECT cur AS version_id, scm AS scm_score FROM psc) USING (version_id)
+UNION ALL SELECT 1, 'kept', 0, 0, -1, -1, 'UNTOUCHED', NULL UNION ALL SELECT 900, 'failed', 0, 0, NULL, NULL, NULL, NULL""")
 def _(ws):
-    # A version whose data cannot be read must not take the others with it.
+    root = fresh(ws, "evidence")
     broken = ws.frames[1].withColumn("order_id", F.when(F.assert_true(F.col("order_id") < 0, "unreadable version").isNull(), F.col("order_id")))
-    rows = ws.registry.select("study_id", "dataset_id", "version_number", V).where(F.col("study_id") == 1)
-    rows = rows.unionByName(rows.where(F.col(V) == 1).withColumns({V: F.lit(900).cast("long"), "study_id": F.lit(0).cast("long")}))
-    done, failed = store.recompute_all(ws.spark, rows, {**ws.frames, 900: broken}, limit=6)
-    good = done.groupBy(V).agg(F.lit("done").alias("outcome"), F.count(F.lit(1)).alias("distinct_values"), F.sum("cnt").alias("cells"))
-    bad = failed.select(V, F.lit("failed").alias("outcome"), F.lit(0).cast("long").alias("distinct_values"), F.lit(0).cast("long").alias("cells"))
-    return good.unionByName(bad)
+    versions = ws.registry.where(F.col("study_id") == 1)
+    versions = versions.unionByName(versions.where(F.col(V) == 1).withColumns({V: F.lit(900).cast("long"), "study_id": F.lit(0).cast("long")}))
+    scores = ws.spark.createDataFrame([(1, -1.0, -1.0), (2, -2.0, -2.0)], "version_id long, mlrs_score double, lrs_score double")
+    found = ws.spark.createDataFrame([(1, "UNTOUCHED"), (2, "GONE")], "version_id long, code string")
+    refresh.store_evidence(root, {"risk_scores": scores, "findings": found}, versions.where(F.col(V) <= 2))
+    old = refresh.read_current(ws.spark, root).where(F.col(V) == 2).withColumn("profile_rules", F.lit(OLD_RULES))
+    store.upsert_evidence(root, "current", cut(old))
+
+    outcome = refresh.refresh(ws.spark, root, versions, {**ws.frames, 900: broken})
+    evidence = lambda name: refresh.read_evidence(ws.spark, root, name)
+    counts = lambda name, **figures: evidence(name).groupBy(V).agg(*[f.alias(n) for n, f in figures.items()])
+    return (
+        versions.select(V).join(outcome, V, "left")
+        .join(counts("column_profile", columns=F.count(F.lit(1))), V, "left")
+        .join(counts("value_counts", cells=F.sum("cnt")), V, "left")
+        .join(evidence("risk_scores").select(V, "mlrs_score", "lrs_score"), V, "left")
+        .join(counts("findings", findings=F.array_join(F.sort_array(F.collect_list("code")), ",")), V, "left")
+        .join(evidence("diff_scores").select(V, "scm_score"), V, "left")
+        .select(V, F.coalesce("outcome", F.lit("kept")).alias("outcome"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("columns", "cells")], "mlrs_score", "lrs_score", "findings", "scm_score")
+    )
 
 
 @query("A6_delete_version", """
@@ -562,10 +585,13 @@ def _(ws):
 
 EDIT = {
     "ml_task": "CASE WHEN o_orderstatus = 'F' THEN 'classification' ELSE 'regression' END", "domain": "CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'sales' WHEN o_orderpriority = '3-MEDIUM' THEN '' END",
+    "data_quality_focus": "CASE WHEN o_totalprice > 200000 THEN 'missingness' WHEN o_totalprice > 100000 THEN 'duplicates' END",
     "research_objective": "'forecast'", "research_question": "CASE WHEN o_orderpriority <> '5-LOW' THEN 'which' END", "hypothesis": "CASE WHEN o_totalprice > 250000 THEN 'large' END", "target_column": "'price'",
     "primary_metric": "CASE WHEN o_orderstatus = 'F' THEN 'accuracy' ELSE 'rmse' END", "baseline_model": "CAST(NULL AS STRING)", "validation_strategy": "'holdout'", "random_seed": "CASE WHEN o_orderstatus = 'O' THEN 0 WHEN o_orderstatus = 'F' THEN 7 END",
+    "feature_scope": "CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'all' WHEN o_orderpriority = '2-HIGH' THEN '' END", "intended_use_case": "CASE WHEN o_totalprice < 50000 THEN 'pilot' END",
 }
 FIELDS = list(EDIT)
+assert FIELDS == L.PROTOCOL_FIELDS
 part("edits", "SELECT o_custkey AS study_id, o_orderkey AS edit_id, o_orderdate AS created_at, " + ", ".join(f"{sql} AS {c}" for c, sql in EDIT.items()) + " FROM orders")
 SAME = " AND ".join(f"{c} IS NOT DISTINCT FROM lag({c}) OVER w" for c in FIELDS)
 part("prot", f"""
@@ -591,7 +617,7 @@ def field_list(test: str) -> str:
     return "concat_ws(',', " + ", ".join(f"CASE WHEN {test.format(c=c)} THEN '{c}' END" for c in FIELDS) + ")"
 
 
-SCORE = " + ".join(f"CASE WHEN {{t}}.{c} IS NOT NULL {'' if c == 'random_seed' else f'AND {{t}}.{c} <> {chr(39)}{chr(39)}'} THEN 10 ELSE 0 END" for c in FIELDS)
+SCORE = " + ".join(f"CASE WHEN {{t}}.{c} IS NOT NULL {'' if c == 'random_seed' else f'AND {{t}}.{c} <> {chr(39)}{chr(39)}'} THEN 10 ELSE 0 END" for c in L.COMPLETENESS_FIELDS)
 GIVEN = "coalesce({t}.{c}::VARCHAR NOT IN ('', '0'), false)"
 CHANGED = "b.{c} IS DISTINCT FROM a.{c}"
 
@@ -605,28 +631,61 @@ def _(ws):
     return history.protocol_diffs(rows, "study_id", FIELDS)
 
 
+# Studies are nations, their datasets the customers, versions the orders; evidence is missing where an order says so.
+part("study0", "SELECT study_id, min(created_at) AS created_at FROM num GROUP BY 1")
+part("lastv", "SELECT study_id, arg_max(version_id, (created_at, version_id)) AS version_id FROM num GROUP BY 1")
+
+
 @query("K25_study_timeline", """
-SELECT study_id, 'Dataset Registered: ' || dataset_name AS event, min(created_at) AS created_at FROM reg GROUP BY study_id, dataset_name UNION ALL SELECT study_id, 'Version Created: V' || version_number, created_at FROM reg
-UNION ALL SELECT study_id, 'Diagnosis Generated: V' || version_number, created_at FROM reg JOIN rs USING (version_id)""")
+SELECT study_id, event, strftime(created_at, '%Y-%m-%d') AS created_at FROM (
+  SELECT study_id, 'Study Created' AS event, created_at FROM study0
+  UNION ALL SELECT study_id, 'Dataset Registered: ' || dataset_id, min(created_at) FROM num GROUP BY study_id, dataset_id
+  UNION ALL SELECT study_id, 'Version Created: V' || version_number, created_at FROM num
+  UNION ALL SELECT study_id, 'Fingerprint Generated: V' || version_number, created_at FROM num WHERE pr <> '4-NOT SPECIFIED'
+  UNION ALL SELECT study_id, 'Diagnosis Generated', max(created_at) FROM num WHERE mlrs_score IS NOT NULL GROUP BY 1)""")
 def _(ws):
-    return history.study_timeline(ws.registry, ws.risks)
+    led = ledger(ws)
+    out = history.study_timeline(
+        led.groupBy("study_id").agg(F.min("created_at").alias("created_at")),
+        led.groupBy("study_id", F.col("dataset_id").cast("string").alias("dataset_name")).agg(F.min("created_at").alias("created_at")),
+        led,
+        led.where(F.col("pr") != "4-NOT SPECIFIED"),
+        led.where(F.col("mlrs_score").isNotNull()).groupBy("study_id").agg(F.max("created_at").alias("created_at")),
+    )
+    return out.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd"))
 
 
-@query("K25_overview_gaps", """
-SELECT r.version_id, concat_ws('|', CASE WHEN target IS NULL THEN 'Target Column Missing' END, CASE WHEN coalesce(d, 0) > 0 THEN 'Pending Human Decisions' END) AS gaps, true AS diagnosis_complete, true AS version_verified, parent_version_id IS NULL AS no_comparison
-FROM reg r LEFT JOIN (SELECT version_id, count(decision) AS d FROM iv GROUP BY 1) USING (version_id)""")
-def _(ws):
-    decisions = contract.interventions(ws.findings).where(F.col("decision").isNotNull())
-    diffs = ws.diff.scores.select(F.col("current_version_id").alias(V))
-    return history.overview_gaps(ws.registry, ws.configurations, prints(ws), ws.risks, diffs, decisions)
+def claimed(*tests: str) -> str:
+    titles = ("Dataset Registered", "Diagnosis Complete", "Dataset Version Verified", "Reproducibility Proven", "Intervention Improves Performance", "Experiments Required")
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {t} THEN '{title}' END" for title, t in zip(titles, tests)) + ")"
 
 
-@query("J9_register_variant", """
-SELECT 4::BIGINT AS dataset_id, 3 AS version_number, 9::BIGINT AS parent_version_id, count(*) AS row_count, 'variant' AS generation_method, 'version.created' AS event_type FROM (SELECT DISTINCT * FROM v9)""")
+@query("K25_overview_gaps", f"""
+SELECT study_id, version_id AS newest_version_id,
+  concat_ws('|', CASE WHEN NOT ds THEN 'No Dataset Registered' END, CASE WHEN ds AND version_id IS NULL THEN 'No Immutable Version' END,
+    CASE WHEN version_id IS NOT NULL AND pr = '3-MEDIUM' AND study_id % 2 = 0 THEN 'Target Column Missing' END, CASE WHEN version_id IS NOT NULL AND NOT dg THEN 'Diagnosis Not Generated' END,
+    CASE WHEN version_id IS NOT NULL AND NOT cmp AND parent_version_id IS NOT NULL THEN 'Semantic Diff Unavailable' END, CASE WHEN version_id IS NOT NULL AND NOT fp THEN 'Recreation Bundle Missing' END,
+    CASE WHEN ctr AND st = 'F' THEN 'Pending Human Decisions' END, CASE WHEN dg AND NOT ctr THEN 'Variant Planning Not Started' END) AS gaps,
+  {claimed('ds', 'dg', 'fp', 'false', 'false', 'ctr')} AS supported_claims, {claimed('NOT ds', 'NOT dg', 'NOT fp', 'true', 'true', 'NOT ctr')} AS unsupported_claims,
+  concat_ws('|', CASE WHEN version_id IS NOT NULL AND NOT fp THEN 'Missing fingerprint' END, CASE WHEN version_id IS NOT NULL AND NOT prof THEN 'Missing profile report' END,
+    CASE WHEN version_id IS NOT NULL AND NOT cmp THEN 'Version has no semantic diff because it is baseline' END, CASE WHEN version_id IS NOT NULL AND NOT prof THEN 'Registration completed but no analysis loaded' END) AS integrity_warnings
+FROM (SELECT s.study_id, n.version_id, n.parent_version_id, n.pr, n.st, s.study_id IN (SELECT c_nationkey FROM customer) AS ds, coalesce(n.mlrs_score IS NOT NULL, false) AS dg, coalesce(n.pr <> '4-NOT SPECIFIED', false) AS fp,
+    coalesce(n.pr <> '5-LOW', false) AS prof, coalesce(n.parent_version_id IS NOT NULL AND n.pr <> '2-HIGH', false) AS cmp, coalesce(n.mlrs_score IS NOT NULL AND n.pr <> '1-URGENT', false) AS ctr
+  FROM (SELECT n_nationkey AS study_id FROM nation UNION ALL SELECT 1000 UNION ALL SELECT 1001) s LEFT JOIN lastv l ON l.study_id = s.study_id LEFT JOIN num n ON n.version_id = l.version_id)""".replace("s.study_id IN (SELECT c_nationkey FROM customer)", "(s.study_id IN (SELECT c_nationkey FROM customer) OR s.study_id = 1001)"))
 def _(ws):
-    from lakewitness.operators import evaluate, transforms
-
-    ctx = transforms.Context(target="outcome_class")
-    variant = transforms.apply_steps(ws.frames[9], [("drop_duplicates", {}), ("minmax_scaler", {})], ctx)
-    versions, events = evaluate.register_variant(ws.registry, variant, 9, "Pipeline-A", fresh(ws, "versions"))
-    return versions.join(events, V).select("dataset_id", "version_number", "parent_version_id", "row_count", "generation_method", "event_type")
+    led = ledger(ws)
+    # Two studies more: one without a dataset, one with a dataset and no version.
+    extra = ws.spark.createDataFrame([(1000,), (1001,)], "study_id long")
+    diagnosed = led.where(F.col("mlrs_score").isNotNull())
+    return history.study_overviews(
+        studies(ws).select("study_id").unionByName(extra),
+        ws.table("customer").select(F.col("c_nationkey").cast("long").alias("study_id")).unionByName(extra.where("study_id = 1001")),
+        led,
+        led.select(V, F.when(F.col("pr") != "3-MEDIUM", "price").alias("target_column")),
+        led.where(F.col("pr") != "4-NOT SPECIFIED"),
+        led.where(F.col("pr") != "5-LOW"),
+        diagnosed,
+        led.where(F.col("parent_version_id").isNotNull() & (F.col("pr") != "2-HIGH")),
+        diagnosed.where(F.col("pr") != "1-URGENT").select(V, F.when(F.col("st") == "F", 1).otherwise(0).alias("human_decisions")),
+        studies(ws).select("study_id", F.when(F.col("study_id") % 2 == 1, "price").otherwise("").alias("target_column")),
+    )

@@ -9,8 +9,15 @@ from pyspark.sql import functions as F
 from lakewitness import lookups as L
 from lakewitness.operators import evaluate as ev
 from lakewitness.operators import recommend as rec
+from lakewitness.operators import variants as built
+from lakewitness.plans import refresh
 from lakewitness.plans.check_parts_risk import values
+from lakewitness.plans.check_variants import BUILD, FIRST_VARIANT, copy_parts
+from lakewitness.plans.evidence import Evidence
+from lakewitness.plans.queries_store import fresh
 from lakewitness.plans.registry import part, query
+from lakewitness.session import cut
+from lakewitness.sources.store import freeze_version
 
 V = "version_id"
 GOALS = list(L.GOAL_WEIGHTS)
@@ -122,54 +129,86 @@ def _(ws):
 
 
 # ------------------------------------------------------------------ evaluation
-# Later versions of a dataset are judged as variants of the earlier ones, under every goal; variant n
-# of a job is given the cost and the steps of candidate n.
-part("var", """
-SELECT request_id AS job_id, goal, prev AS source_version_id, cur AS version_id, estimated_cost, steps FROM (SELECT prev, cur, row_number() OVER (PARTITION BY prev ORDER BY cur) - 1 AS nth FROM ap) a
-JOIN ccost ON ccost.version_id = a.prev AND candidate = nth""")
+# Variants of three versions are built from their candidates, profiled and diagnosed in one job, and judged.
 part("alone", """
 SELECT version_id, round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'mlrs' AND component <> 'evolution_readiness')), 2)::DOUBLE AS mlrs, round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'lrs')), 2)::DOUBLE AS lrs FROM rc GROUP BY 1""")
 part("bal", """
 SELECT reg.version_id, coalesce(b, 1.0)::DOUBLE AS balance FROM reg LEFT JOIN (
   SELECT vc.version_id, CASE WHEN count(*) < 2 THEN 1.0 ELSE round(greatest(0, 1 - abs(max(cnt)::DOUBLE / sum(cnt) - 1.0::DOUBLE / count(*)) / (1 - 1.0::DOUBLE / count(*))), 6) END AS b
   FROM vc JOIN reg ON vc.version_id = reg.version_id AND col = target WHERE value IS NOT NULL OR num IS NOT NULL GROUP BY 1) x ON x.version_id = reg.version_id""")
+copy_parts()
 part("gw", values([(g, *w) for g, w in L.GOAL_WEIGHTS.items()], "goal, w1, w2, w3, w4, w5"))
 part("rec0", """
-SELECT v.*, rs.mlrs_score AS mlrs_before, alone.mlrs AS mlrs_after, alone.lrs AS lrs_after, balance, w1, w2, w3, w4, w5,
-  greatest(0, least(1, (rs.mlrs_score - alone.mlrs) / greatest(rs.mlrs_score, 1)))::DOUBLE AS rr,
+SELECT v.job_id, v.version_id, v.goal, v.steps, rs.mlrs_score AS mlrs_before, xalone.mlrs AS mlrs_after, xalone.lrs AS lrs_after, balance, w1, w2, w3, w4, w5,
+  greatest(0, least(1, (rs.mlrs_score - xalone.mlrs) / greatest(rs.mlrs_score, 1)))::DOUBLE AS rr,
   CASE WHEN a.mp > 0 THEN greatest(0, least(1, (a.mp - b.mp) / greatest(a.mp, 0.01))) ELSE 1 END::DOUBLE AS mr,
   CASE WHEN v.goal IN ('lightweight_dataset', 'faster_training', 'explainable_model') THEN greatest(0, least(1, 1 - b.cc::DOUBLE / a.cc)) ELSE greatest(0, least(1, b.cc::DOUBLE / a.cc)) END::DOUBLE AS fs,
   CASE estimated_cost WHEN 'very_low' THEN 1.0 WHEN 'low' THEN 0.75 WHEN 'medium' THEN 0.5 ELSE 0.25 END::DOUBLE AS cs
-FROM var v JOIN (SELECT version_id, column_count AS cc, round(missing_cells::DOUBLE / (row_count * column_count) * 100, 6) AS mp FROM tp) a ON a.version_id = source_version_id
-JOIN (SELECT version_id, column_count AS cc, round(missing_cells::DOUBLE / (row_count * column_count) * 100, 6) AS mp FROM tp) b ON b.version_id = v.version_id
-JOIN rs ON rs.version_id = source_version_id JOIN alone ON alone.version_id = v.version_id JOIN bal ON bal.version_id = v.version_id JOIN gw ON gw.goal = v.goal""")
+FROM bplan v JOIN (SELECT version_id, column_count AS cc, round(missing_cells::DOUBLE / (row_count * column_count) * 100, 6) AS mp FROM tp) a ON a.version_id = source_version_id
+JOIN (SELECT version_id, column_count AS cc, round(missing_cells::DOUBLE / (row_count * column_count) * 100, 6) AS mp FROM xtp) b ON b.version_id = v.version_id
+JOIN rs ON rs.version_id = source_version_id JOIN xalone ON xalone.version_id = v.version_id JOIN xbal ON xbal.version_id = v.version_id JOIN gw ON gw.goal = v.goal""")
 part("rec1", "SELECT *, greatest(0, least(100, round((w1 * rr + w2 * mr + w3 * balance + w4 * fs + w5 * cs) * 100, 2)))::DOUBLE AS vrs FROM rec0")
 
 
-def variants(ws):
-    from pyspark.sql import Window
+class BuiltVariants:
+    """The variants of the build requests, with their evidence."""
+
+    def __init__(self, ws):
+        asked = F.lit(False)
+        count, most = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for version, goal, n, limit in BUILD:
+            here = (F.col(V) == version) & (F.col("goal") == goal)
+            asked, count, most = asked | here, F.when(here, n).otherwise(count), F.when(here, F.lit(limit).cast("int")).otherwise(most)
+        self.requests = requests(ws).where(asked).withColumns({"candidates": count, "max_features": most})
+        needed = needs(ws)
+        self.plans = built.plans(rec.candidates(self.requests, rec.applicable(needed)), self.requests, FIRST_VARIANT)
+        self.tables = built.build(ws.frames, self.plans, built.contexts(ws.registry, needed))
+        self.rows = built.plan_rows(ws.spark, self.plans, self.tables)
+        self.frames = {v: b.df for v, b in self.tables.items()}
+        self.versions = built.child_versions(ws.registry, self.rows)
+        # J1 judges a variant on its own: without a parent there is no comparison.
+        self.evidence = Evidence(ws.spark, self.frames, cut(self.versions.withColumn("parent_version_id", F.lit(None).cast("long"))))
+
+
+def variants(ws) -> BuiltVariants:
+    if not hasattr(ws, "built_variants"):
+        ws.built_variants = BuiltVariants(ws)
+    return ws.built_variants
 
-    nth = ws.all_pairs.pairs.select("previous_version_id", "current_version_id").withColumn(
-        "candidate", (F.row_number().over(Window.partitionBy("previous_version_id").orderBy("current_version_id")) - 1).cast("int")
-    )
-    costs = rec.candidate_costs(chosen(ws)).withColumnRenamed(V, "previous_version_id")
-    return nth.join(costs, ["previous_version_id", "candidate"]).select(
-        F.col("request_id").alias("job_id"), "goal", F.col("previous_version_id").alias("source_version_id"),
-        F.col("current_version_id").alias(V), "estimated_cost", "steps",
-    )
+
+def own_risks(ws):
+    own = variants(ws).evidence
+    return ws.once("variant_risks", lambda: ev.variant_risks(own.facts, own.leakage))
 
 
 def records(ws):
     def build():
-        own = ev.variant_risks(ws.facts, ws.leakage)
-        return ev.evaluate(variants(ws), ws.risks, own, ws.tables, ev.class_balances(ws.vc, ws.registry))
+        made = variants(ws)
+        own = made.evidence
+        tables = ws.tables.unionByName(own.tables)
+        return ev.evaluate(made.rows.select("job_id", "goal", "source_version_id", V, "estimated_cost", "steps"), ws.risks, own_risks(ws), tables, ev.class_balances(own.vc, own.registry))
 
     return ws.once("variant_records", build)
 
 
-@query("J1_variant_rediagnosis", "SELECT version_id, mlrs AS mlrs_score, lrs AS lrs_score FROM alone")
+@query("J1_variant_rediagnosis", """
+SELECT version_id, source_version_id, steps, row_count, column_count, missing_cells, duplicate_rows, mlrs AS mlrs_score, lrs AS lrs_score FROM bplan JOIN xtp USING (version_id) JOIN xalone USING (version_id)""")
 def _(ws):
-    return ev.variant_risks(ws.facts, ws.leakage)
+    tables = variants(ws).evidence.tables.select(V, "row_count", "column_count", "missing_cells", "duplicate_rows")
+    return variants(ws).rows.select(V, "source_version_id", "steps").join(tables, V).join(own_risks(ws), V)
+
+
+@query("J1_variant_columns", """
+SELECT version_id, pos::INT AS position, col AS "column", dtype AS logical_dtype, missing AS missing_count, uniq AS unique_count, outliers AS outlier_count, round(mean, 4) + 0.0 AS mean, round(sd, 4) + 0.0 AS std FROM xcp WHERE version_id >= 1001""")
+def _(ws):
+    return variants(ws).evidence.columns.select(
+        V, "position", "column", "logical_dtype", "missing_count", "unique_count", "outlier_count", (F.round("mean", 4) + F.lit(0.0)).alias("mean"), (F.round("std", 4) + F.lit(0.0)).alias("std")
+    )
+
+
+@query("I20_built_steps", "SELECT version_id, job_id, candidate::INT AS candidate, pipeline_id, steps, 0 AS failed FROM bplan")
+def _(ws):
+    return variants(ws).rows.select(V, "job_id", "candidate", "pipeline_id", F.array_join(F.array_remove("applied", built.LIMIT), ",").alias("steps"), F.size("failed").alias("failed"))
 
 
 @query("J2_vrs_components", """
@@ -237,3 +276,34 @@ def _(ws):
         F.when((F.col("goal") == "faster_training") & (F.col("column_count") < 8), 5).otherwise(60).alias("max_seconds"),
     )
     return ev.constraint_violations(asked, ws.tables.select(V, "column_count"))
+
+
+@query("J9_register_variant", """
+SELECT version_id, dataset_id, version_number::INT AS version_number, parent_version_id, row_count, column_count, method AS generation_method, notes AS version_notes, 'variant.generated' AS event_type,
+  '{"generation_method":"variant_generator","job_id":' || job_id || ',"pipeline_id":"' || pipeline_id || '"}' AS evidence, schema_hash,
+  sha256('{"job_id":' || job_id || ',"pipeline_id":"' || pipeline_id || '","target_column":' || coalesce('"' || target || '"', 'null') || ',"task_type":"' || task || '"}') AS configuration_hash,
+  mlrs_score, lrs_score, findings, compared
+FROM bplan JOIN xreg USING (version_id) JOIN xtp USING (version_id) JOIN xsch USING (version_id) JOIN xrs USING (version_id)
+LEFT JOIN (SELECT version_id, array_to_string(list_sort(list(code)), ',') AS findings FROM xfnd GROUP BY 1) USING (version_id)
+JOIN (SELECT pair_id AS version_id, count(*) AS compared FROM xppc GROUP BY 1) USING (version_id)""")
+def _(ws):
+    made, root = variants(ws), fresh(ws, "registered")
+    # Written once as versions of their datasets; the evidence is made from what was stored.
+    stored = {}
+    for r in made.versions.select(V, "dataset_id", "version_number").collect():
+        path = freeze_version(made.frames[r[V]], f"{root}/versions", r["dataset_id"], r["version_number"])
+        stored[r[V]] = ws.spark.read.schema(made.frames[r[V]].schema).parquet(path)
+    versions = ws.registry.unionByName(made.versions)
+    hashes = built.variant_configuration_hashes(ws.registry, made.rows)
+    outcome = refresh.refresh(ws.spark, root, versions, {**ws.frames, **stored}, only=sorted(stored), configuration_hashes=hashes)
+    evidence = lambda name: refresh.read_evidence(ws.spark, root, name)
+    found = evidence("findings").groupBy(V).agg(F.array_join(F.sort_array(F.collect_list("code")), ",").alias("findings"))
+    compared = evidence("diff_columns").groupBy(V).agg(F.count(F.lit(1)).alias("compared"))
+    events = built.lineage_events(ws.registry, made.rows).select(F.col("destination_version_id").alias(V), "event_type", "evidence")
+    return (
+        made.versions.select(V, "dataset_id", "version_number", "parent_version_id", "generation_method", "version_notes")
+        .join(outcome.where("outcome = 'done'").select(V), V).join(events, V)
+        .join(evidence("table_profile").select(V, "row_count", "column_count"), V)
+        .join(evidence("fingerprints").select(V, "schema_hash", "configuration_hash"), V)
+        .join(evidence("risk_scores").select(V, "mlrs_score", "lrs_score"), V).join(found, V, "left").join(compared, V)
+    )

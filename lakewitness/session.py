@@ -7,6 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -61,6 +63,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_input_error(error: Exception) -> bool:
+    """Whether an error comes from the data or the request, and not from the cluster (a lost executor, a full disk).
+
+    Errors of Spark that name a condition, such as a failed cast or an unreadable file, are about the data; an aborted job
+    names none.
+    """
+    if isinstance(error, Py4JJavaError):
+        return str(error.java_exception.getMessage()).startswith("[")
+    return isinstance(error, (PySparkException, ValueError, KeyError, TypeError, ArithmeticError))
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application; Python functions in tasks import it there."""
     sc = spark.sparkContext
