@@ -95,6 +95,46 @@ def rounded_text(field: T.StructField) -> Column:
     return F.when(F.length(text) <= 16, text).when(number.isNotNull(), F.format_string("%.14e", number).cast("double").cast("string"))
 
 
+def portable_number(value: Column) -> Column:
+    """Text of a double that any engine can make from its value: whole numbers as they are, others as an odd or even whole number
+    of 53 bits and its power of two. 0.0 and -0.0 are one value; NULL stays NULL."""
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+    two = lambda e: F.pow(F.lit(2.0), e)
+    # The logarithm may be off by one next to a power of two.
+    power = guess - F.when(two(guess) > size, 1).otherwise(0) + F.when(two(guess + 1) <= size, 1).otherwise(0)
+    digits = F.try_divide(size, two(power)) * F.lit(float(2**52))
+    sign = F.when(value < 0, "-").otherwise("")
+    return (
+        F.when((size < EXACT_INTEGER) & (value == F.floor(value)), value.cast("long").cast("string"))
+        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when(value.isNotNull(), F.concat(sign, digits.cast("long").cast("string"), F.lit("p"), power.cast("string")))
+    )
+
+
+def portable_text(field: T.StructField) -> Column:
+    """Text of a cell that another engine can repeat."""
+    value = present(field)
+    if isinstance(field.dataType, INTEGRAL):
+        return value.cast("string")
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return portable_number(value.cast("double"))
+    if isinstance(field.dataType, T.DecimalType):
+        same = value.cast("double").cast(field.dataType) == value
+        return F.when(same, portable_number(value.cast("double"))).otherwise(value.cast("string"))
+    return as_text(field)
+
+
+def portable_digest(df: DataFrame, names: list[str]) -> Column:
+    """SHA-256 of the named cells in hexadecimal: each as its length in bytes, a colon and its portable text, or ``-``."""
+    fields = {f.name: f for f in df.schema.fields}
+    cells = []
+    for n in names:
+        text = portable_text(fields[n])
+        cells.append(F.when(text.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text)))
+    return F.sha2(F.concat(*cells), 256)
+
+
 def row_digest(df: DataFrame, names: list[str], exact: list[str] | None = None) -> Column:
     """32 byte digest of the named cells, equal exactly when the cells are equal.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewitness.functions.columns import row_digest
+from lakewitness.functions.columns import portable_digest
 from lakewitness.lookups import FINGERPRINT_ALGORITHM
 from lakewitness.operators.value_counts import union_all
 
@@ -68,17 +68,22 @@ def configuration_hashes(configurations: DataFrame) -> DataFrame:
     return configurations.select(V, sha(doc).alias("configuration_hash"))
 
 
+# Hexadecimal digits of a row's digest in each of the sums: 60 bits.
+PART = 15
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """Digest of the rows as a multiset, whatever their order or partitioning: one row.
 
-    Count, sum and exclusive or of two row hashes are mergeable, so nothing but three numbers per
-    task is shuffled.
+    A row's SHA-256, over cell texts that any engine can make, is cut into four numbers of 60 bits. They are added up over all
+    rows in wide integers, so five numbers per task are shuffled, and the hash is that of the count and the four sums.
     """
-    row = row_digest(df, df.columns)
-    sums = df.select(F.xxhash64(F.lit(1), row).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(2), row).alias("b")).agg(
-        F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum("a"), F.lit(0)).cast("string").alias("total"), F.coalesce(F.bit_xor("b"), F.lit(0)).alias("mix")
+    digest = portable_digest(df, df.columns)
+    parts = df.select(digest.alias("d")).select(
+        *[F.conv(F.substring("d", 1 + i * PART, PART), 16, 10).cast("decimal(28,0)").alias(f"p{i}") for i in range(4)]
     )
-    return sums.select("row_count", sha(F.concat_ws("|", F.col("row_count").cast("string"), "total", F.col("mix").cast("string"))).alias("content_hash"))
+    sums = parts.agg(F.count(F.lit(1)).alias("row_count"), *[F.coalesce(F.sum(f"p{i}"), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)])
+    return sums.select("row_count", sha(F.concat_ws("|", F.col("row_count").cast("string"), *[f"s{i}" for i in range(4)])).alias("content_hash"))
 
 
 def content_hashes(versions: dict[int, DataFrame]) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakewitness.functions.columns import q
+from lakewitness.functions.columns import portable_digest, q
 from lakewitness.operators import fits
+from lakewitness.operators.resample import expand, seeded, share
 
 TREES = 100
 SAMPLE = 256
+# Rows drawn for a tree, in its sample sizes: enough that few trees end up short.
+OVERSIZE = 1.3
 EULER = 0.5772156649015329
 
 
@@ -64,9 +67,9 @@ def scores(points: np.ndarray, trees: list[np.ndarray], sample: int) -> np.ndarr
 def isolation_forest(df: DataFrame, ctx, contamination: str = "auto", random_state: int = 42) -> DataFrame:
     """I8: drop rows whose anomaly score exceeds one half.
 
-    A seeded draw picks a little more than TREES * SAMPLE rows once and gives each to one tree, so the
-    data is never replicated per tree and a tree keeps at most SAMPLE rows. The fitted trees hold at
-    most TREES * 2 * SAMPLE nodes, which bounds what travels to the tasks.
+    A seeded draw sends a little more than TREES * SAMPLE rows to the trees, each row to as many as that takes (in a large table
+    to none or one), and a tree keeps at most SAMPLE of them. The fitted trees hold at most TREES * 2 * SAMPLE nodes, which
+    bounds what travels to the tasks.
     """
     names, rows = ctx.numeric(df), df.count()
     if not names or rows <= 10:
@@ -74,19 +77,18 @@ def isolation_forest(df: DataFrame, ctx, contamination: str = "auto", random_sta
     values = fits.filled(df, names, fits.medians_where_missing(df, names))
     filled = [F.coalesce(values[c], F.lit(0.0)) for c in names]  # an all-missing column tells nothing
     per_tree = min(SAMPLE, rows)
-    # rand, not a content hash: copies of one row must spread over the trees like other rows.
-    drawn = df.select(F.array(*filled).alias("vec"), F.rand(random_state).alias("draw"))
-    if rows < TREES * SAMPLE:
-        # A small table: every tree draws its own share of the rows.
-        own = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))).withColumn(
-            "draw", F.pmod(F.xxhash64("draw", "tree"), F.lit(1 << 40)) / float(1 << 40)
-        )
-        sample = own.where(F.col("draw") <= 1.3 * per_tree / rows)
-    else:
-        share = 1.3 * TREES * SAMPLE / rows
-        sample = drawn.where(F.col("draw") <= share).withColumn(
-            "tree", F.least(F.floor(F.col("draw") / share * TREES), F.lit(TREES - 1)).cast("int")
-        )
+    # Equal rows are counted and each copy draws for itself, so copies spread over the trees and the draw follows only the
+    # content, the number of the copy and the seed. A copy joins ``joins`` trees on average, one after another from a drawn one.
+    digest = portable_digest(df, df.columns)
+    counted = df.select(F.array(*filled).alias("vec"), digest.alias("_digest")).groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.first("vec").alias("vec"))
+    each = expand(counted, F.col("_n"))
+    joins = min(float(TREES), OVERSIZE * TREES * per_tree / rows)
+    draw = seeded(random_state, F.concat("_digest", F.lit("#"), F.col("_copy").cast("string")))
+    spun = each.select("vec", draw.alias("draw")).select("vec", "draw", share(F.col("draw")).alias("u"), share(F.substring("draw", 14, 13)).alias("start"))
+    times = (F.lit(int(joins)) + F.when(F.col("u") < joins - int(joins), 1).otherwise(0)).cast("int")
+    sample = spun.where(times > 0).withColumn("i", F.explode(F.sequence(F.lit(0), times - 1))).select(
+        "vec", F.pmod(F.floor(F.col("start") * TREES) + F.col("i"), F.lit(TREES)).cast("int").alias("tree"), F.sha2(F.concat("draw", F.col("i").cast("string")), 256).alias("draw")
+    )
 
     def fit(key, frame):
         import pandas as pd

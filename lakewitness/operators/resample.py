@@ -1,61 +1,70 @@
-"""Class balancing (I10-I13): replication, exact sampling, and synthetic rows between neighbours."""
+"""Class balancing (I10-I13): replication, exact sampling, and synthetic rows between neighbours.
 
-from __future__ import annotations
+Class sizes are a table of one row per class and never a map in a plan; only the sizes of the largest and the smallest class
+come to the driver. Draws follow the content of a row and the seed, so results do not depend on the partitioning.
+"""
 
-import math
+from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewitness.functions.columns import as_text, q, row_digest
-from lakewitness.functions.ordered import with_bucket
+from lakewitness.functions.columns import as_text, portable_digest, q, row_digest
 from lakewitness.operators import fits
 from lakewitness.session import cut
 
-HASH_BITS = 16
 COPY_CHUNK = 100_000
-# Points per neighbour block: a block's distance matrix stays below about 130 MB.
+# Points of a cell of the partition tree: a cell's distance matrix stays below about 130 MB.
 BLOCK = 4096
+# Rows that are ordered together when a boundary is looked for, about.
+RANGE_ROWS = 1 << 16
+
+
+def class_sizes(df: DataFrame, target: str) -> DataFrame:
+    """(_class, _size): rows per class, without the rows that have none."""
+    label = as_text({f.name: f for f in df.schema.fields}[target])
+    return cut(df.where(label.isNotNull()).groupBy(label.alias("_class")).agg(F.count(F.lit(1)).alias("_size")))
 
 
-def class_sizes(df: DataFrame, target: str) -> dict[str, int]:
-    """Rows per class; a classification target has few classes."""
-    field = {f.name: f for f in df.schema.fields}[target]
-    rows = df.where(as_text(field).isNotNull()).groupBy(as_text(field).alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()
-    return {r["c"]: r["n"] for r in rows}
+def extremes(sizes: DataFrame) -> tuple[int, int, int]:
+    """Number of classes, size of the smallest and of the largest."""
+    row = sizes.agg(F.count(F.lit(1)), F.coalesce(F.min("_size"), F.lit(0)), F.coalesce(F.max("_size"), F.lit(0))).first()
+    return row[0], row[1], row[2]
 
 
-def _by_class(label: Column, numbers: dict[str, int]) -> Column:
-    return F.create_map(*[F.lit(x) for item in numbers.items() for x in item])[label]
+def seeded(seed: int, digest: Column) -> Column:
+    """A draw for every row: the SHA-256 of the seed, a colon and the row's digest."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), digest), 256)
 
 
-def take_exactly(df: DataFrame, label: Column, wanted: dict[str, int], seed: int) -> DataFrame:
-    """Exactly ``wanted[c]`` rows of each class, those with the smallest seeded hash of their content.
+def share(draw: Column) -> Column:
+    """A hexadecimal draw as a number in [0, 1): its first 52 bits."""
+    return F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / float(2**52)
 
-    Hash counts per (class, top bits) show which bucket holds the boundary. Lower buckets are kept
-    whole by a filter; only the boundary bucket is ordered, with equal rows collapsed to one counted
-    row, so copies of a hot row neither pile up in the window nor in the shuffle.
+
+def take_exactly(df: DataFrame, label: Column, wanted: DataFrame, seed: int) -> DataFrame:
+    """Exactly ``_k`` rows of each class of ``wanted`` (_class, _size, _k), those with the smallest draws.
+
+    The draws of a class fall into ranges of about RANGE_ROWS rows; totals of the ranges, one row each, show which holds the
+    boundary. Lower ranges are kept whole by a filter; only the boundary range is ordered, equal rows counted as one, so
+    copies of a hot row pile up neither in the window nor in the shuffle. Copies of a row follow each other.
     """
     names = df.columns
-    hashed = df.select(*[q(c) for c in names], label.alias("_class"), F.xxhash64(F.lit(seed), row_digest(df, names)).alias("_hash"))
-    hashed = hashed.withColumn("_bucket", F.shiftrightunsigned("_hash", 64 - HASH_BITS))
-    sizes = hashed.groupBy("_class", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("_class").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = df.select(*[q(c) for c in names], label.alias("_class"), seeded(seed, portable_digest(df, names)).alias("_draw")).join(wanted, "_class")
+    drawn = drawn.withColumn("_range", F.floor(share(F.col("_draw")) * F.ceil(F.col("_size") / RANGE_ROWS)))
+    sizes = drawn.groupBy("_class", "_k", "_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
         sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("k", _by_class(F.col("_class"), wanted))
-        .where((F.col("before") < F.col("k")) & (F.col("before") + F.col("n") >= F.col("k")))
-        .select("_class", F.col("_bucket").alias("edge"), (F.col("k") - F.col("before")).alias("rest"))
-    )
-    # One row per class: bounded by the number of classes.
-    marked = hashed.join(F.broadcast(edges), "_class")
-    low = marked.where(F.col("_bucket") < F.col("edge")).select(*[q(c) for c in names])
-    counted = marked.where(F.col("_bucket") == F.col("edge")).groupBy("_class", "_hash", "rest", *[q(c) for c in names]).agg(
-        F.count(F.lit(1)).alias("_n")
+        .where((F.col("before") < F.col("_k")) & (F.col("before") + F.col("n") >= F.col("_k")))
+        .select("_class", F.col("_range").alias("_edge"), (F.col("_k") - F.col("before")).alias("_rest"))
     )
-    upto = F.sum("_n").over(Window.partitionBy("_class").orderBy("_hash", *[q(c) for c in names]).rowsBetween(Window.unboundedPreceding, 0))
-    taken = counted.withColumn("_take", F.least(F.col("_n"), F.col("rest") - upto + F.col("_n"))).where(F.col("_take") > 0)
+    marked = drawn.join(cut(edges), "_class")
+    low = marked.where(F.col("_range") < F.col("_edge")).select(*[q(c) for c in names])
+    counted = marked.where(F.col("_range") == F.col("_edge")).groupBy("_class", "_draw", "_rest", *[q(c) for c in names]).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_class").orderBy("_draw").rowsBetween(Window.unboundedPreceding, 0))
+    taken = counted.withColumn("_take", F.least(F.col("_n"), F.col("_rest") - upto + F.col("_n"))).where(F.col("_take") > 0)
     return low.unionByName(copies(taken, names, F.col("_take")))
 
 
@@ -78,11 +87,11 @@ def random_undersampling(df: DataFrame, ctx, random_state: int = 42) -> DataFram
     if ctx.task != "classification" or not ctx.target:
         return df
     sizes = class_sizes(df, ctx.target)
-    if len(sizes) < 2:
+    classes, smallest, _ = extremes(sizes)
+    if classes < 2:
         return df
-    field = {f.name: f for f in df.schema.fields}[ctx.target]
-    smallest = min(sizes.values())
-    return take_exactly(df.where(as_text(field).isNotNull()), as_text(field), {c: smallest for c in sizes}, random_state)
+    label = as_text({f.name: f for f in df.schema.fields}[ctx.target])
+    return take_exactly(df.where(label.isNotNull()), label, sizes.withColumn("_k", F.lit(smallest).cast("long")), random_state)
 
 
 def random_oversampling(df: DataFrame, ctx, random_state: int = 42) -> DataFrame:
@@ -90,13 +99,15 @@ def random_oversampling(df: DataFrame, ctx, random_state: int = 42) -> DataFrame
     if ctx.task != "classification" or not ctx.target:
         return df
     sizes = class_sizes(df, ctx.target)
-    if len(sizes) < 2:
+    classes, _, largest = extremes(sizes)
+    if classes < 2:
         return df
-    field = {f.name: f for f in df.schema.fields}[ctx.target]
-    known, label, largest = df.where(as_text(field).isNotNull()), as_text(field), max(sizes.values())
-    whole = copies(known, df.columns, _by_class(label, {c: largest // n for c, n in sizes.items()}))
-    rest = {c: largest % n for c, n in sizes.items() if largest % n}
-    return whole.unionByName(take_exactly(known.where(label.isin(*rest)), label, rest, random_state)) if rest else whole
+    label = as_text({f.name: f for f in df.schema.fields}[ctx.target])
+    known, most = df.where(label.isNotNull()), F.lit(largest).cast("long")
+    times = sizes.withColumn("_whole", F.floor(most / F.col("_size")))
+    keyed = known.select(*[q(c) for c in df.columns], label.alias("_class")).join(times, "_class")
+    rest = sizes.withColumn("_k", most % F.col("_size")).where("_k > 0")
+    return copies(keyed, df.columns, F.col("_whole")).unionByName(take_exactly(known, label, rest, random_state))
 
 
 # ---------------------------------------------------------------- neighbours
@@ -112,12 +123,12 @@ def _nearest(points: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarra
 
 
 def _search(visits: DataFrame, held: DataFrame, bounds: DataFrame, k: int) -> DataFrame:
-    """The k nearest points of every visiting query in each part of the visited range.
+    """The k nearest points of every visiting query in each part of the visited cell.
 
-    A range with more than ``BLOCK`` points is split by hash, and the queries that visit it are cut
+    A cell with more than ``BLOCK`` points, equal in all coordinates, is split by hash, and the queries that visit a cell are cut
     into chunks, so a task holds one part and one chunk and emits k rows per query.
     """
-    keys = ["grp", "bucket"]
+    keys = ["grp", "cell"]
     loads = visits.groupBy(*keys).agg(F.count(F.lit(1)).alias("visits"))
     layout = bounds.join(loads, keys).select(
         *keys,
@@ -161,12 +172,12 @@ def _search(visits: DataFrame, held: DataFrame, bounds: DataFrame, k: int) -> Da
         out = pd.concat(parts)
         return out[out["qid"] != out["pid"]]
 
-    by = ["grp", "bucket", "part", "chunk"]
+    by = ["grp", "cell", "part", "chunk"]
     there = points.select(*[F.col(c).alias(f"p_{c}") for c in by], "pid", F.col("vec").alias("point"), "payload")
     return (
         asked.select(*by, "qid", "vec").groupBy(*by)
         .cogroup(there.groupBy(*[f"p_{c}" for c in by]))
-        .applyInPandas(best, "qid long, pid long, distance double, vec array<double>, payload string")
+        .applyInPandas(best, "qid string, pid string, distance double, vec array<double>, payload string")
     )
 
 
@@ -175,30 +186,62 @@ def _closest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def neighbours(points: DataFrame, k: int, blocks: int) -> DataFrame:
-    """Exact k nearest points, inside its group, of every point with ``ask`` set.
+def partition_tree(points: DataFrame, dims: int) -> tuple[DataFrame, DataFrame, int]:
+    """Points with their ``cell``, the splits (grp, cell, dim, at) of the cells above, and the depth.
 
-    ``points``: (grp, pid, vec, payload, line, ask); ``line`` is one coordinate of ``vec``. Points are
-    split into ranges of that coordinate. A query first searches its own range, which gives a
-    distance no later neighbour may exceed; it then visits only ranges within that distance. No
-    point further away along one coordinate can be nearer, so the result is exact.
+    A group starts as one cell. Cells with more than BLOCK points are split at the sketched median of the coordinate that spreads
+    most in them, all cells of a level in one pass; ``2 * cell`` takes the values up to ``at``, ``2 * cell + 1`` the others.
+    Points that agree in all coordinates are not split.
     """
-    held = cut(with_bucket(points, ["grp"], "line", blocks))
-    bounds = held.groupBy("grp", "bucket").agg(
-        F.min("line").alias("low"), F.max("line").alias("high"), F.count(F.lit(1)).alias("points")
-    )
-    home = held.where("ask").select("grp", F.col("pid").alias("qid"), "vec", "line", "bucket")
-    first = _closest(_search(home, held, bounds, k), k)
-    if blocks <= 1:
-        return first
-    first = cut(first)
+    held = cut(points.withColumn("cell", F.lit(1).cast("long")))
+    splits, depth = held.select("grp", "cell", F.lit(0).alias("dim"), F.lit(0.0).alias("at")).limit(0), 0
+    while True:
+        figures = F.array(
+            *[F.struct((F.max(F.col("vec")[i]) - F.min(F.col("vec")[i])).alias("spread"), F.lit(-i).alias("i"), F.percentile_approx(F.col("vec")[i], 0.5, 100).alias("median"),
+                       F.min(F.col("vec")[i]).alias("low"), F.max(F.col("vec")[i]).alias("high")) for i in range(dims)]
+        )
+        cells = held.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("n"), F.array_max(figures).alias("w")).where((F.col("n") > BLOCK) & (F.col("w.spread") > 0))
+        # a median that is the greatest value would leave nothing on the right
+        at = F.when(F.col("w.median") < F.col("w.high"), F.col("w.median")).otherwise((F.col("w.low") + F.col("w.high")) / 2)
+        level = cut(cells.select("grp", "cell", (-F.col("w.i")).alias("dim"), at.alias("at")))
+        if level.isEmpty():
+            return held, splits, depth
+        side = F.when(F.get(F.col("vec"), F.col("dim")) > F.col("at"), 1).otherwise(0)
+        moved = held.join(level, ["grp", "cell"], "left")
+        held = cut(moved.select(*[F.col(c) for c in held.columns if c != "cell"], F.when(F.col("at").isNull(), F.col("cell")).otherwise(F.col("cell") * 2 + side).alias("cell")))
+        splits, depth = cut(splits.unionByName(level)), depth + 1
+
+
+def reached_cells(visits: DataFrame, splits: DataFrame, depth: int) -> DataFrame:
+    """(grp, qid, vec, cell) for every cell that the ball around ``vec`` with ``reach`` touches.
+
+    Queries go down the tree level by level and meet only the split of the cell they are in.
+    """
+    here = visits.withColumn("cell", F.lit(1).cast("long"))
+    for _ in range(depth):
+        value = F.get(F.col("vec"), F.col("dim"))
+        below, above = value - F.col("reach") <= F.col("at"), value + F.col("reach") >= F.col("at")
+        ways = F.array_compact(F.array(F.when(below, F.col("cell") * 2), F.when(above, F.col("cell") * 2 + 1)))
+        met = here.join(splits, ["grp", "cell"], "left")
+        here = met.select("grp", "qid", "vec", "reach", F.explode(F.when(F.col("at").isNull(), F.array("cell")).otherwise(ways)).alias("cell"))
+    return here.drop("reach")
+
+
+def neighbours(points: DataFrame, k: int, dims: int) -> DataFrame:
+    """Exact k nearest points, inside its group, of every point with ``ask`` set. ``points``: (grp, pid, vec, payload, ask).
+
+    A query first searches its own cell, which gives a distance no later neighbour may exceed; it then visits the other cells
+    that the ball of this radius touches, and no more. How many that are depends on the data: few where coordinates
+    separate the points, in many dimensions more.
+    """
+    held, splits, depth = partition_tree(points, dims)
+    bounds = cut(held.groupBy("grp", "cell").agg(F.count(F.lit(1)).alias("points")))
+    home = held.where("ask").select("grp", F.col("pid").alias("qid"), "vec", "cell")
+    first = cut(_closest(_search(home, held, bounds, k), k))
     radius = first.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("radius"))
-    reach = F.coalesce("radius", F.lit(float("inf")))
-    visits = (
-        home.withColumnRenamed("bucket", "own").join(radius, "qid", "left").join(bounds.drop("points"), "grp")
-        .where((F.col("bucket") != F.col("own")) & (F.col("low") <= F.col("line") + reach) & (F.col("high") >= F.col("line") - reach))
-        .select("grp", "qid", "vec", "bucket")
-    )
+    reach = home.select("grp", "qid", "vec", F.col("cell").alias("own")).join(radius, "qid", "left").withColumn("reach", F.coalesce("radius", F.lit(float("inf"))))
+    own = reach.select("qid", "own")
+    visits = reached_cells(reach.select("grp", "qid", "vec", "reach"), splits, depth).join(own, "qid").where("cell <> own").drop("own")
     return _closest(first.drop("rank").unionByName(_search(visits, held, bounds, k)), k)
 
 
@@ -215,52 +258,47 @@ def _distinct_rows(df: DataFrame, ctx, label: Column) -> DataFrame:
     )
 
 
-def _points(rows: DataFrame, k: int, group: Column, ask: Column, line: int) -> DataFrame:
+def _pid(ordinal: Column) -> Column:
+    """The identity of a copy of a row: its digest and its number."""
+    return F.concat(F.hex("_digest"), F.lit("#"), ordinal.cast("string"))
+
+
+def _points(rows: DataFrame, k: int, group: Column, ask: Column) -> DataFrame:
     """Distinct rows as points. More than k + 1 copies of a row cannot change any k nearest points."""
     return rows.withColumn("_ordinal", F.explode(F.sequence(F.lit(1), F.least("_n", F.lit(k + 1)).cast("int")))).select(
         group.alias("grp"),
-        F.xxhash64("_digest", "_ordinal").alias("pid"),
+        _pid(F.col("_ordinal")).alias("pid"),
         F.col("_vec").alias("vec"),
         F.col("_label").alias("payload"),
-        F.col("_vec")[line].alias("line"),
         ((F.col("_ordinal") == 1) & ask).alias("ask"),
     )
 
 
-def _widest(df: DataFrame, ctx) -> int:
-    """The coordinate that spreads most separates points best."""
-    names = ctx.numeric(df)
-    spread = fits.moments(df, names, "var_samp")
-    return max(range(len(names)), key=lambda i: spread[names[i]]["var_samp"] or 0.0)
-
-
 def uniform(*parts: Column) -> Column:
     """A number in [0, 1) that depends only on its parts."""
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
 
 
-def _even_quota(rows: DataFrame, missing: dict[str, int], sizes: dict[str, int]) -> DataFrame:
-    """Spread ``missing[c]`` synthetic rows over the rows of the class: an equal share for each copy,
-    the remainder to the copies that come first in hash order (counted through hash ranges)."""
-    hashed = rows.withColumn("_h", F.xxhash64(F.lit("quota"), F.col("_digest"))).withColumn("_b", F.pmod("_h", F.lit(1 << HASH_BITS)))
+def _even_quota(rows: DataFrame) -> DataFrame:
+    """Spread ``_missing`` synthetic rows over the rows of a class of ``_size``: an equal share for each copy, the remainder to the
+    copies that come first in hash order (counted through ranges of about RANGE_ROWS rows)."""
+    hashed = rows.withColumn("_h", seeded(0, F.hex("_digest"))).withColumn("_b", F.floor(share(F.col("_h")) * F.ceil(F.col("_size") / RANGE_ROWS)))
     counts = hashed.groupBy("_label", "_b").agg(F.sum("_n").alias("m"))
     earlier = Window.partitionBy("_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_label", "_b", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_label", "_b").orderBy("_h", "_digest").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_label", "_b").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    label = F.col("_label")
-    share = _by_class(label, {c: missing[c] // sizes[c] for c in missing})
-    rest = _by_class(label, {c: missing[c] % sizes[c] for c in missing})
     ranked = hashed.join(offsets, ["_label", "_b"]).withColumn("_before", before)
-    extra = F.least(F.greatest(rest - F.col("_before"), F.lit(0)), F.col("_n"))
-    return ranked.withColumn("_quota", share * F.col("_n") + extra).where(F.col("_quota") > 0).drop("_h", "_b", "_offset", "_before")
+    extra = F.least(F.greatest(F.col("_missing") % F.col("_size") - F.col("_before"), F.lit(0)), F.col("_n"))
+    quota = F.floor(F.col("_missing") / F.col("_size")) * F.col("_n") + extra
+    return ranked.withColumn("_quota", quota).where(F.col("_quota") > 0).drop("_h", "_b", "_offset", "_before")
 
 
 def _between(df: DataFrame, ctx, base: DataFrame, near: DataFrame, seed: int) -> DataFrame:
     """``quota`` new rows per base row, each on the line to one of its k neighbours."""
     names = ctx.numeric(df)
     spots = near.withColumnRenamed("qid", "_qid").groupBy("_qid").agg(F.sort_array(F.collect_list(F.struct("rank", "vec"))).alias("_near"))  # k entries per row
-    keyed = base.withColumn("_qid", F.xxhash64("_digest", F.lit(1))).join(spots, "_qid")
+    keyed = base.withColumn("_qid", _pid(F.lit(1))).join(spots, "_qid")
     asked = expand(keyed, F.col("_quota"))
     pick = F.floor(uniform(F.lit(seed), F.col("_qid"), F.col("_copy"), F.lit("pick")) * F.size("_near")).cast("int")
     gap = uniform(F.lit(seed), F.col("_qid"), F.col("_copy"), F.lit("gap"))
@@ -273,62 +311,47 @@ def _as_doubles(df: DataFrame, ctx) -> DataFrame:
     return df.select(*[q(c).cast("double").alias(c) if c in names else q(c) for c in df.columns])
 
 
-def _blocks(points: int) -> int:
-    return max(1, math.ceil(points / BLOCK))
-
-
 def _synthesise(df: DataFrame, ctx, k: int, seed: int, quotas) -> DataFrame:
     """Shared course of SMOTE and ADASYN; ``quotas`` decides how many rows each base row gets."""
     if ctx.task != "classification" or not ctx.target or not ctx.numeric(df):
         return df
     sizes = class_sizes(df, ctx.target)
-    if len(sizes) < 2:
+    classes, smallest, largest = extremes(sizes)
+    if classes < 2 or smallest == largest:
         return df
-    label = as_text({f.name: f for f in df.schema.fields}[ctx.target])
-    largest = max(sizes.values())
-    missing = {c: largest - n for c, n in sizes.items() if n < largest}
-    if not missing:
-        return df
-    k = min(k, min(sizes.values()) - 1)
+    k = min(k, smallest - 1)
     if k < 1:
         return random_oversampling(df, ctx, seed)
-    known, line = df.where(label.isNotNull()), _widest(df, ctx)
-    rows = cut(_distinct_rows(known, ctx, label))
-    minority = rows.where(F.col("_label").isin(*missing))
-    base = quotas(rows, minority, missing, sizes, k, line)
-    biggest = max(sizes[c] for c in missing)
-    near = neighbours(_points(minority, k, F.col("_label"), F.lit(True), line), k, _blocks(biggest))
+    label = as_text({f.name: f for f in df.schema.fields}[ctx.target])
+    known, dims = df.where(label.isNotNull()), len(ctx.numeric(df))
+    missing = sizes.select(F.col("_class").alias("_label"), "_size", (F.lit(largest) - F.col("_size")).alias("_missing"))
+    rows = cut(_distinct_rows(known, ctx, label).join(missing, "_label"))
+    minority = rows.where("_missing > 0")
+    base = quotas(rows, minority, k, dims)
+    near = neighbours(_points(minority, k, F.col("_label"), F.lit(True)), k, dims)
     return _as_doubles(known, ctx).unionByName(_as_doubles(_between(df, ctx, base, near, seed), ctx))
 
 
 def smote(df: DataFrame, ctx, k_neighbors: int = 5, random_state: int = 42) -> DataFrame:
     """Smaller classes grow to the largest with rows between a row and one of its k nearest of
     the same class. Text columns take the base row's values. Too small a class is copied instead."""
-    return _synthesise(
-        df, ctx, k_neighbors, random_state, lambda rows, minority, missing, sizes, k, line: _even_quota(minority, missing, sizes)
-    )
+    return _synthesise(df, ctx, k_neighbors, random_state, lambda rows, minority, k, dims: _even_quota(minority))
+
 
+def _hard_quota(rows: DataFrame, minority: DataFrame, k: int, dims: int) -> DataFrame:
+    """Quotas in proportion to the share of other classes among the k nearest rows of any class.
 
-def _hard_quota(rows, minority, missing, sizes, k, line) -> DataFrame:
-    """Quotas in proportion to the share of other classes among the k nearest rows of any class."""
-    label = F.col("_label")
-    asks = label.isin(*missing)
-    around = neighbours(_points(rows, k, F.lit("all"), asks, line), k, _blocks(sum(sizes.values())))
-    keyed = minority.withColumn("_qid", F.xxhash64("_digest", F.lit(1)))
+    A class without a single foreign neighbour gets equal shares.
+    """
+    around = neighbours(_points(rows, k, F.lit("all"), F.col("_missing") > 0), k, dims)
+    keyed = minority.withColumn("_qid", _pid(F.lit(1)))
     mixed = around.select(F.col("qid").alias("_qid"), "payload").join(keyed.select("_qid", "_label"), "_qid")
-    share = cut(mixed.groupBy("_qid").agg(F.avg((F.col("payload") != label).cast("double")).alias("_share")))
-    weighted = keyed.join(share, "_qid")
-    totals = {r["_label"]: r["s"] for r in weighted.groupBy("_label").agg(F.sum(F.col("_share") * F.col("_n")).alias("s")).collect()}
-    even = [c for c in missing if not totals.get(c)]
-    want = _by_class(label, missing)
-    total = F.create_map(*[F.lit(x) for c in missing for x in (c, float(totals.get(c) or 1.0))])[label]
-    hard = weighted.where(~label.isin(*even)).withColumn("_quota", F.round(F.col("_share") * F.col("_n") / total * want).cast("long"))
-    hard = hard.where(F.col("_quota") > 0).drop("_qid", "_share")
-    if not even:
-        return hard
-    # A class without a single foreign neighbour gets equal shares.
-    rest = _even_quota(minority.where(label.isin(*even)), {c: missing[c] for c in even}, sizes)
-    return hard.unionByName(rest)
+    foreign = mixed.groupBy("_qid").agg(F.avg((F.col("payload") != F.col("_label")).cast("double")).alias("_share"))
+    weighted = cut(keyed.join(foreign, "_qid"))
+    totals = weighted.groupBy("_label").agg(F.sum((F.col("_share") * F.col("_n")).cast("decimal(38,12)")).cast("double").alias("_total"))
+    judged = weighted.join(cut(totals), "_label")
+    hard = judged.where("_total > 0").withColumn("_quota", F.round(F.col("_share") * F.col("_n") / F.col("_total") * F.col("_missing")).cast("long")).where("_quota > 0")
+    return hard.drop("_qid", "_share", "_total").unionByName(_even_quota(judged.where("_total = 0").drop("_qid", "_share", "_total")))
 
 
 def adasyn(df: DataFrame, ctx, n_neighbors: int = 5, random_state: int = 42) -> DataFrame:

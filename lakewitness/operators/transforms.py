@@ -17,8 +17,6 @@ from lakewitness.operators import fits
 from lakewitness.operators.profile import correlations
 from lakewitness.session import cut, is_input_error
 
-RANK_SAMPLE = 6400
-RANK_RANGES = 64
 INFORMATION_BINS = 10
 
 
@@ -79,30 +77,31 @@ def drop_missing_rows(df: DataFrame, ctx: Context, threshold: float = 0.5) -> Da
 def ranks(values: DataFrame, column: str) -> DataFrame:
     """Position of each distinct value in sorted order, from 0.
 
-    Distinct values are split into ranges at boundaries read from a bounded sample, counted per
-    range, and ranked inside their range only.
+    Values are dealt to ranges by the range partitioner, counted per range, and ranked inside their range only. What lies
+    before a range is one number, so the broadcast has a row per partition.
     """
-    sample = sorted(r[0] for r in values.orderBy(F.xxhash64(column), column).limit(RANK_SAMPLE).collect())
-    if len(sample) < RANK_SAMPLE:
-        spread = values.withColumn("range", F.lit(0))
-    else:
-        bounds = F.array(*[F.lit(sample[len(sample) * i // RANK_RANGES]) for i in range(1, RANK_RANGES)])
-        spread = values.withColumn("range", F.size(F.filter(bounds, lambda b: b < F.col(column))))
-    sizes = spread.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANK_RANGES rows
-    offsets = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("range").orderBy(column)
-    return spread.join(offsets, "range").select(column, (F.col("before") + F.row_number().over(inside) - 1).cast("double").alias("code"))
+    ranged = cut(values.repartitionByRange(column).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut(sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    inside = Window.partitionBy("_range").orderBy(column)
+    return ranged.join(F.broadcast(offsets), "_range").select(column, (F.col("before") + F.row_number().over(inside) - 1).cast("double").alias("code"))
 
 
 def label_encoding(df: DataFrame, ctx: Context) -> DataFrame:
-    """Text becomes its position among the sorted distinct values; missing stays missing."""
+    """Text becomes its position among the sorted distinct values; missing stays missing.
+
+    The dictionary is a written table, so the planner knows its size and broadcasts it or not; of a large one, rows with a hot label
+    are split by adaptive execution. Missing cells match nothing and are spread over the tasks.
+    """
     order, fields = df.columns, {f.name: f for f in df.schema.fields}
     for name in ctx.text(df):
         text = replace_columns(df, {name: as_text(fields[name])})
-        codes = ranks(text.select(q(name).alias("_label")).where(F.col("_label").isNotNull()).distinct(), "_label")
-        codes = codes.withColumnRenamed("code", "_code")
-        coded = text.join(codes, q(name) == F.col("_label"), "left")
+        codes = cut(ranks(text.select(q(name).alias("_label")).where(F.col("_label").isNotNull()).distinct(), "_label"))
+        codes = codes.select("_label", F.col("code").alias("_code"), F.lit(0).cast("long").alias("_spread"))
+        spread = F.when(q(name).isNull(), F.xxhash64(*[q(c) for c in order]).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("long"))
+        keyed = text.withColumn("_key", spread)
+        coded = keyed.join(codes, (q(name) == F.col("_label")) & (F.col("_key") == F.col("_spread")), "left")
         df = coded.select(*[F.col("_code").alias(c) if c == name else q(c) for c in order])
     return df
 

@@ -39,6 +39,21 @@ def cell(version: int, name: str, kind: str) -> str:
     return f"SELECT {version}::BIGINT AS version_id, '{name}' AS col, NULL::VARCHAR AS value, {name}::DOUBLE AS num FROM v{version}"
 
 
+def digest_sql(version: int) -> str:
+    """SHA-256 of a row of a version, from cell texts spelled out here."""
+    cells = []
+    for n, kind in SCHEMA[version]:
+        text = n if kind == "str" else f"{n}::VARCHAR"
+        if kind == "num":
+            g = f"floor(log2(abs({n})))::INT"
+            e = f"({g} - (pow(2.0::DOUBLE, {g}) > abs({n}))::INT + (pow(2.0::DOUBLE, {g} + 1) <= abs({n}))::INT)"
+            whole = f"abs({n}) < 9007199254740992 AND {n} = floor({n})"
+            # zero has no logarithm
+            text = f"CASE WHEN {whole} THEN {n}::BIGINT::VARCHAR WHEN {n} <> 0 THEN CASE WHEN {n} < 0 THEN '-' ELSE '' END || (abs({n}) / pow(2.0::DOUBLE, {e}) * 4503599627370496)::BIGINT || 'p' || {e} END"
+        cells.append(f"CASE WHEN {n} IS NULL THEN '-' ELSE octet_length(encode({text})) || ':' || ({text}) END")
+    return "sha256(" + " || ".join(cells) + ")"
+
+
 for name, statement in VERSION_SQL.items():
     part(name, re.sub(r"{(\w+)}", r"\1", statement))
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lakewitness import lookups as L
 from lakewitness.operators import contract, diff, fingerprint, history, metadata, profile
 from lakewitness.operators.value_counts import union_all
-from lakewitness.plans.check_parts import lit
+from lakewitness.plans.check_parts import digest_sql, lit
 from lakewitness.plans.check_parts_risk import values
 from lakewitness.plans import refresh
 from lakewitness.plans.registry import part, query
@@ -240,6 +240,17 @@ SELECT version_id, sha256('{"feature_selection_mode":"' || mode || '","primary_m
   || '],"target_column":' || coalesce('"' || target || '"', 'null') || ',"task_type":"' || task || '","validation_strategy":"' || validation || '"}') AS configuration_hash FROM reg""")
 
 
+part("content", "\nUNION ALL ".join(
+    f"SELECT {v}::BIGINT AS version_id, n AS row_count, sha256(concat_ws('|', n::VARCHAR, s0::VARCHAR, s1::VARCHAR, s2::VARCHAR, s3::VARCHAR)) AS content_hash FROM (SELECT count(*) AS n, "
+    + ", ".join(f"coalesce(sum(('0x' || substr(d, {1 + 15 * i}, 15))::BIGINT::HUGEINT), 0) AS s{i}" for i in range(4)) + f" FROM (SELECT {digest_sql(v)} AS d FROM v{v}))"
+    for v in SCHEMA
+))
+part("fpr", f"""
+SELECT version_id, c.row_count, content_hash, schema_hash, metadata_hash, configuration_hash,
+  sha256('{{"algorithm":"{L.FINGERPRINT_ALGORITHM}","configuration":"' || configuration_hash || '","file":"' || content_hash || '","metadata":"' || metadata_hash || '","schema":"' || schema_hash || '"}}') AS combined_fingerprint, '{L.FINGERPRINT_ALGORITHM}' AS fingerprint_algorithm
+FROM content c JOIN sch USING (version_id) JOIN mth USING (version_id) JOIN cfh USING (version_id)""")
+
+
 def prints(ws):
     def build():
         return fingerprint.fingerprints(
@@ -288,18 +299,22 @@ def _(ws):
     return fingerprint.configuration_hashes(orders)
 
 
-@query("C5_combined_fingerprint")
+@query("C5_combined_fingerprint", "SELECT * FROM fpr")
 def _(ws):
     return prints(ws)
 
 
-@query("C6_content_hash", "SELECT version_id, row_count, true AS order_does_not_matter, true AS only_here FROM tp")
+def shuffled_contents(ws):
+    """Content hashes of the same rows, dealt and ordered in another way."""
+    return ws.once("shuffled_contents", lambda: fingerprint.content_hashes({v: df.repartition(7, *[F.col(f"`{c}`") for c in df.columns[:1]]) for v, df in ws.frames.items()}))
+
+
+@query("C6_content_hash", "SELECT version_id, row_count, content_hash, true AS order_does_not_matter, count(*) OVER (PARTITION BY content_hash) = 1 AS only_here FROM content")
 def _(ws):
-    shuffled = fingerprint.content_hashes({v: df.repartition(7, *[F.col(f"`{c}`") for c in df.columns[:1]]) for v, df in ws.frames.items()})
-    again = shuffled.select(V, F.col("content_hash").alias("other"))
+    again = shuffled_contents(ws).select(V, F.col("content_hash").alias("other"))
     repeated = prints(ws).groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"))
     return prints(ws).join(again, V).join(repeated, "content_hash").select(
-        V, "row_count", (F.col("content_hash") == F.col("other")).alias("order_does_not_matter"), (F.col("n") == 1).alias("only_here")
+        V, "row_count", "content_hash", (F.col("content_hash") == F.col("other")).alias("order_does_not_matter"), (F.col("n") == 1).alias("only_here")
     )
 
 
@@ -315,13 +330,17 @@ def _(ws):
 SELECT version_id, bundle_id, content_hash_matched, schema_hash_matched, metadata_hash_matched, configuration_hash_matched, combined_fingerprint_matched, fingerprint_algorithm_matched, passed_checks, 6 AS total_checks,
   round(passed_checks::DOUBLE / 6 * 100, 2) AS similarity_rate, row_delta, column_delta, row_delta = 0 AND column_delta = 0 AS shape_match, passed_checks = 6 AS matched FROM (
   SELECT *, content_hash_matched::INT + schema_hash_matched::INT + metadata_hash_matched::INT + configuration_hash_matched::INT + combined_fingerprint_matched::INT + 1 AS passed_checks FROM (
-    SELECT a.version_id, b.version_id AS bundle_id, a.version_id = b.version_id AS content_hash_matched, a.schema_hash = b.schema_hash AS schema_hash_matched, a.metadata_hash = b.metadata_hash AS metadata_hash_matched,
-      a.configuration_hash = b.configuration_hash AS configuration_hash_matched, a.version_id = b.version_id AS combined_fingerprint_matched, true AS fingerprint_algorithm_matched, a.row_count - b.row_count AS row_delta, a.column_count - b.column_count AS column_delta
-    FROM (SELECT * FROM reg JOIN tp USING (version_id) JOIN sch USING (version_id) JOIN mth USING (version_id) JOIN cfh USING (version_id)) a
-    JOIN (SELECT * FROM tp JOIN sch USING (version_id) JOIN mth USING (version_id) JOIN cfh USING (version_id)) b ON b.version_id = a.version_id OR b.version_id = a.parent_version_id))""")
+    SELECT a.version_id, b.version_id AS bundle_id, a.content_hash = b.content_hash AS content_hash_matched, a.schema_hash = b.schema_hash AS schema_hash_matched, a.metadata_hash = b.metadata_hash AS metadata_hash_matched,
+      a.configuration_hash = b.configuration_hash AS configuration_hash_matched, a.combined_fingerprint = b.combined_fingerprint AS combined_fingerprint_matched, true AS fingerprint_algorithm_matched, a.row_count - b.row_count AS row_delta, a.column_count - b.column_count AS column_delta
+    FROM (SELECT reg.*, fpr.* EXCLUDE (version_id, row_count), tp.row_count, tp.column_count FROM reg JOIN tp USING (version_id) JOIN fpr USING (version_id)) a
+    JOIN (SELECT fpr.* EXCLUDE (row_count), tp.row_count, tp.column_count FROM tp JOIN fpr USING (version_id)) b ON b.version_id = a.version_id OR b.version_id = a.parent_version_id))""")
 def _(ws):
     bundles = fingerprint.recreation_bundles(ws.versions, prints(ws))
-    own = bundles.withColumn("bundle_id", F.col(V))
+    # The candidates are the same rows in another order, read and hashed again.
+    hashes = fingerprint.fingerprints(
+        shuffled_contents(ws), fingerprint.schema_hashes(ws.columns), fingerprint.metadata_hashes(ws.columns, ws.tables), fingerprint.configuration_hashes(ws.configurations)
+    )
+    own = fingerprint.recreation_bundles(ws.versions, hashes).withColumn("bundle_id", F.col(V))
     parent = bundles.where(F.col("parent_version_id").isNotNull()).withColumn("bundle_id", F.col("parent_version_id"))
     return fingerprint.verify_recreation(own.unionByName(parent), bundles)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakewitness.operators import transforms as t
 from lakewitness.operators import resample, isolation
-from lakewitness.plans.check_parts import SCHEMA
+from lakewitness.plans.check_parts import SCHEMA, digest_sql
 from lakewitness.plans.registry import part, query
 from lakewitness.plans.workspace import VERSION_ROWS
 
@@ -144,25 +144,20 @@ def _(ws):
     )
 
 
-@query("I12_random_oversampling", """
-SELECT order_state, (SELECT max(n) FROM (SELECT count(*) AS n FROM v3 GROUP BY order_state)) AS row_count, count(DISTINCT order_id) AS distinct_orders,
-       (SELECT max(n) FROM (SELECT count(*) AS n FROM v3 GROUP BY order_state)) // count(*) AS fewest_copies FROM v3 GROUP BY order_state""")
+# Rows of version 3 in the order of their draws, with the sizes of their own, the smallest and the largest class.
+part("drawn", f"""
+SELECT *, row_number() OVER (PARTITION BY order_state ORDER BY draw) AS nth, count(*) OVER (PARTITION BY order_state) AS n FROM (SELECT *, sha256('42:' || {digest_sql(3)}) AS draw FROM v3) WHERE order_state IS NOT NULL""")
+
+
+@query("I12_random_oversampling", f"""
+SELECT {select(3, {})} FROM (SELECT *, (SELECT max(n) FROM drawn) AS m FROM drawn), LATERAL (SELECT unnest(range(m // n + (nth <= m % n)::INT)))""")
 def _(ws):
-    copied = resample.random_oversampling(ws.frames[3], ctx(3)).groupBy("order_state", "order_id").agg(F.count(F.lit(1)).alias("n"))
-    return copied.groupBy("order_state").agg(
-        F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("distinct_orders"), F.min("n").alias("fewest_copies")
-    )
+    return rounded(resample.random_oversampling(ws.frames[3], ctx(3)))
 
 
-@query("I13_random_undersampling", """
-SELECT order_state, (SELECT min(n) FROM (SELECT count(*) AS n FROM v3 GROUP BY order_state)) AS row_count, (SELECT min(n) FROM (SELECT count(*) AS n FROM v3 GROUP BY order_state)) AS distinct_orders, true AS from_source
-FROM v3 GROUP BY order_state""")
+@query("I13_random_undersampling", f"SELECT {select(3, {})} FROM drawn WHERE nth <= (SELECT min(n) FROM drawn)")
 def _(ws):
-    sampled = resample.random_undersampling(ws.frames[3], ctx(3)).select("order_id", "order_state")
-    source = ws.frames[3].select("order_id", F.lit(True).alias("known"))
-    return sampled.join(source, "order_id", "left").groupBy("order_state").agg(
-        F.count(F.lit(1)).alias("row_count"), F.count_distinct("order_id").alias("distinct_orders"), F.every(F.coalesce("known", F.lit(False))).alias("from_source")
-    )
+    return rounded(resample.random_undersampling(ws.frames[3], ctx(3)))
 
 
 @query("I14_correlation_filter", f"""

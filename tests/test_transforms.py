@@ -45,13 +45,33 @@ def test_label_encoding_sorted_codes(table):
     assert got[: len(expected)] == expected and set(got[len(expected) :]) == {None}
 
 
-def test_ranks_of_many_values(spark, monkeypatch):
-    monkeypatch.setattr(t, "RANK_SAMPLE", 300)
-    values = spark.range(1000).select(F.format_string("v%05d", "id").alias("label"))
-    got = {r["label"]: r["code"] for r in t.ranks(values, "label").collect()}
+@pytest.mark.parametrize("partitions", ["1", "16"])
+def test_ranks_of_many_values(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        values = spark.range(1000).select(F.format_string("v%05d", "id").alias("label"))
+        got = {r["label"]: r["code"] for r in t.ranks(values, "label").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got == {f"v{i:05d}": float(i) for i in range(1000)}
 
 
+def test_label_encoding_has_no_nested_loop(spark):
+    df = spark.range(500).select(F.when(F.col("id") % 3 > 0, F.col("id").cast("string")).alias("s"), "id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size in (threshold, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            out = t.label_encoding(df, t.Context())
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+            order = sorted(str(i) for i in range(500) if i % 3)
+            assert {(r["id"], r["s"]) for r in out.collect()} == {(i, float(order.index(str(i))) if i % 3 else None) for i in range(500)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_quantiles_are_exact(table):
     from lakewitness.operators import fits
 
@@ -98,19 +118,78 @@ def test_hot_copies_are_sampled_exactly(spark, monkeypatch):
     assert {r["label"]: r["count"] for r in out} == {"p": 800, "q": 800}
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 64])
+@pytest.mark.parametrize("step", [resample.random_oversampling, resample.random_undersampling, resample.smote, resample.adasyn, isolation.isolation_forest])
+def test_draws_do_not_follow_the_partitions(table, step, partitions):
+    _, df = table
+    rows = lambda d: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in step(d, CTX()).collect())
+    assert rows(df) == rows(df.repartition(partitions))
+
+
+def test_many_classes_without_a_map(spark):
+    df = spark.range(60_000).select(F.col("id").alias("v"), F.when(F.col("id") < 30, 0).otherwise(F.floor(F.col("id") / 2)).cast("string").alias("label"))
+    out = resample.random_undersampling(df, CTX())
+    assert "map" not in out._jdf.queryExecution().executedPlan().toString().lower().replace("mapp", "")
+    sizes = out.groupBy("label").count()
+    assert sizes.count() == 29_986 and sizes.agg(F.max("count")).first()[0] == 2
+
+
+@pytest.mark.parametrize("dims", [1, 3])
 @pytest.mark.parametrize("block", [4096, 16])
-def test_neighbours_equal_brute_force(spark, monkeypatch, block):
+def test_neighbours_equal_brute_force(spark, monkeypatch, block, dims):
     monkeypatch.setattr(resample, "BLOCK", block)
     rng = np.random.default_rng(8)
-    pts = rng.normal(size=(150, 3)) * [5.0, 1.0, 1.0]
-    rows = [("g", i, [float(v) for v in p], "c", float(p[0]), True) for i, p in enumerate(pts)]
-    df = spark.createDataFrame(rows, "grp string, pid long, vec array<double>, payload string, line double, ask boolean")
+    pts = np.round(rng.normal(size=(150, dims)) * ([5.0, 1.0, 1.0][:dims]), 1)
+    pts[:40] = pts[0]  # equal points fill a cell that cannot be split
+    rows = [("gh"[i % 2], str(i), [float(v) for v in p], "c", True) for i, p in enumerate(pts)]
+    df = spark.createDataFrame(rows, "grp string, pid string, vec array<double>, payload string, ask boolean")
     got = {}
-    for r in resample.neighbours(df, 4, resample._blocks(150)).collect():
-        got.setdefault(r["qid"], []).append((r["rank"], r["distance"]))
+    for r in resample.neighbours(df, 4, dims).collect():
+        got.setdefault(int(r["qid"]), []).append((r["rank"], r["distance"]))
     for i, p in enumerate(pts):
-        truth = np.sort(np.linalg.norm(pts - p, axis=1))[1:5]
-        assert [d for _, d in sorted(got[i])] == pytest.approx(truth)
+        mates = [j for j in range(150) if j % 2 == i % 2 and j != i]
+        assert [d for _, d in sorted(got[i])] == pytest.approx(np.sort(np.linalg.norm(pts[mates] - p, axis=1))[:4])
+
+
+def test_queries_meet_only_cells_within_reach(spark, monkeypatch):
+    monkeypatch.setattr(resample, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    pts = rng.random((4000, 2))
+    df = spark.createDataFrame([("g", str(i), [float(v) for v in p], "c", True) for i, p in enumerate(pts)], "grp string, pid string, vec array<double>, payload string, ask boolean")
+    held, splits, depth = resample.partition_tree(df, 2)
+    cells = held.groupBy("cell").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    assert cells[0] >= 80 and cells[1] <= 50 and depth <= 9
+    reach = held.select("grp", F.col("pid").alias("qid"), "vec", F.lit(0.02).alias("reach"))
+    met = resample.reached_cells(reach, splits, depth)
+    assert "CartesianProduct" not in met._jdf.queryExecution().executedPlan().toString()
+    fan = met.groupBy("qid").count().agg(F.avg("count"), F.max("count")).first()
+    assert fan[0] < 2.5 and fan[1] <= 9
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_smote_rows_lie_between_a_row_and_a_near_one(table, monkeypatch, block):
+    frame, df = table
+    monkeypatch.setattr(resample, "BLOCK", block)
+    numeric = [c for c in df.columns if c != "label" and dict(df.dtypes)[c] != "string"]
+    mine = frame[frame["label"] == "q"][numeric].astype(float)
+    pts = mine.fillna(frame[numeric].astype(float).median()).to_numpy()
+    made = resample.smote(df, CTX()).where("label = 'q'").toPandas()[numeric].astype(float).to_numpy()
+    new = [m for m in made if not np.isnan(m).any() and np.abs(pts - m).sum(axis=1).min() > 1e-9]
+    assert len(new) > 20
+    for m in new:
+        found = False
+        for i, p in enumerate(pts):
+            order = np.argsort(np.linalg.norm(pts - p, axis=1), kind="stable")
+            far = np.linalg.norm(pts[order[5]] - p) + 1e-9
+            for j in np.flatnonzero(np.linalg.norm(pts - p, axis=1) <= far):
+                line = pts[j] - p
+                size = line @ line
+                if size and 0 <= (at := (m - p) @ line / size) <= 1 + 1e-9 and np.allclose(p + at * line, m, atol=1e-7):
+                    found = True
+                    break
+            if found:
+                break
+        assert found
 
 
 @pytest.mark.parametrize("block", [4096, 8])
