@@ -62,6 +62,28 @@ def any_pairs(versions: DataFrame, configurations: DataFrame) -> DataFrame:
     )
 
 
+def requested_pairs(requests: DataFrame, versions: DataFrame, configurations: DataFrame) -> DataFrame:
+    """The pairs of a table (previous_version_id, current_version_id) that can be compared: two versions of one dataset, in any
+    order. Repeated requests are one pair; the current version's target counts."""
+    v = versions.select("version_id", "dataset_id")
+    side = lambda name: v.select(F.col("version_id").alias(SIDES[name]), F.col("dataset_id").alias(f"{name}_dataset"))
+    targets = configurations.select(F.col("version_id").alias(SIDES["current"]), "target_column")
+    asked = requests.select(*SIDES.values()).distinct().join(side("previous"), SIDES["previous"]).join(side("current"), SIDES["current"]).join(targets, SIDES["current"])
+    return asked.where("previous_dataset = current_dataset").select(
+        pair_number(F.col(SIDES["previous"]), F.col(SIDES["current"])).alias("pair_id"), *SIDES.values(), "target_column"
+    )
+
+
+def refused_pairs(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """Requests that name an unknown version, or versions of different datasets, and why."""
+    v = versions.select("version_id", "dataset_id")
+    side = lambda name: v.select(F.col("version_id").alias(SIDES[name]), F.col("dataset_id").alias(f"{name}_dataset"))
+    asked = requests.select(*SIDES.values()).distinct().join(side("previous"), SIDES["previous"], "left").join(side("current"), SIDES["current"], "left")
+    old, new = F.col("previous_dataset"), F.col("current_dataset")
+    reason = F.when(old.isNull() | new.isNull(), "unknown_version").when(old != new, "different_datasets")
+    return asked.select(*SIDES.values(), reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def paired_columns(pairs: DataFrame, columns: DataFrame) -> DataFrame:
     """Full outer join of both column catalogs on the name."""
     def side(name: str) -> DataFrame:
@@ -198,77 +220,110 @@ ROW_DIFF = [
 ]
 
 
-def _finish_row_diff(counts: DataFrame, method: str, keys: str, denominator: Column) -> DataFrame:
-    turned = F.col("rows_added") + F.col("rows_removed")
-    return counts.select(
-        "pair_id",
-        F.lit(method).alias("method"),
-        F.lit(keys).alias("key_columns"),
-        *[F.col(c).cast("long").alias(c) for c in ("rows_added", "rows_removed", "rows_modified", "rows_unchanged")],
-        F.round((turned + F.col("rows_modified")) / F.greatest(denominator, F.lit(1)), 6).alias("change_ratio"),
-        F.round(turned / F.greatest(F.col("sides"), F.lit(1)), 6).alias("turnover_ratio"),
-    )
+def row_diffs(versions: dict[int, DataFrame], pairs: DataFrame, keys: DataFrame) -> DataFrame | None:
+    """E8 or E9 of every pair: rows matched on the pair's stable key, or else compared as multisets.
 
+    What rows are reduced to follows from the columns both sides have and from the key, so pairs of one shape share it: a version
+    is read and digested once for each shape it takes part in, whatever the number of pairs. The digests are handed out to
+    the pairs in one join with the pairs and meet in one grouped shuffle. To the driver come the shapes and the versions in
+    each, never the pairs.
+    """
+    spark = pairs.sparkSession
+    names = {v: tuple(sorted(df.columns)) for v, df in versions.items()}
+    kinds = sorted(set(names.values()))
+    kind = spark.createDataFrame([(v, kinds.index(n)) for v, n in names.items()], "version_id long, kind int")
+    side = lambda name: kind.select(F.col("version_id").alias(SIDES[name]), F.col("kind").alias(f"{name}_kind"))
+    listed = keys.groupBy("pair_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "column"))), lambda x: x["column"]), ",").alias("key_columns"))
+    shaped = pairs.select("pair_id", *SIDES.values()).join(side("previous"), SIDES["previous"]).join(side("current"), SIDES["current"]).join(listed, "pair_id", "left")
+    low, high = F.least("previous_kind", "current_kind"), F.greatest("previous_kind", "current_kind")
+    shaped = cut(shaped.select("pair_id", *SIDES.values(), low.alias("low"), high.alias("high"), F.coalesce("key_columns", F.lit("")).alias("key_columns")))
+    shape = ["low", "high", "key_columns"]
+    used = shaped.select(*shape, F.explode(F.array(*SIDES.values())).alias("version_id")).distinct().orderBy(*shape, "version_id").collect()
+    keyed, plain = [], []
+    for r in used:
+        common = sorted(set(kinds[r["low"]]) & set(kinds[r["high"]]))
+        if not common:
+            continue
+        df, by = versions[r["version_id"]], [c for c in r["key_columns"].split(",") if c]
+        here = [F.lit(r[c]).alias(c) for c in (*shape, "version_id")]
+        if by:
+            keyed.append(df.select(*here, row_digest(df, by).alias("key"), row_digest(df, common, exact=by).alias("row")))
+        else:
+            plain.append(df.select(*here, row_digest(df, common, exact=[]).alias("row")))
 
-def keyed_row_diff(pair_id: int, previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows matched on a stable key. Both sides meet in one grouped shuffle of two digests per row."""
-    common = sorted(set(previous.columns) & set(current.columns))
+    def handed(rows: DataFrame, name: str) -> DataFrame:
+        return rows.join(shaped.select("pair_id", *shape, F.col(SIDES[name]).alias("version_id")), [*shape, "version_id"])
 
-    def side(df: DataFrame, old: bool) -> DataFrame:
-        row, none = row_digest(df, common, exact=keys), F.lit(None).cast("binary")
-        return df.select(
-            row_digest(df, keys).alias("key"), (row if old else none).alias("old"), (none if old else row).alias("new")
+    parts = []
+    if keyed:
+        rows, none = union_all(keyed), F.lit(None).cast("binary")
+        both = handed(rows, "previous").select("pair_id", "key", F.col("row").alias("old"), none.alias("new")).unionByName(
+            handed(rows, "current").select("pair_id", "key", none.alias("old"), F.col("row").alias("new"))
         )
-
-    matched = side(previous, True).unionByName(side(current, False)).groupBy("key").agg(
-        F.max("old").alias("old"), F.max("new").alias("new")
+        matched = both.groupBy("pair_id", "key").agg(F.max("old").alias("old"), F.max("new").alias("new"))
+        old, new = F.col("old"), F.col("new")
+        parts.append(
+            matched.groupBy("pair_id").agg(
+                F.count_if(old.isNull()).alias("rows_added"),
+                F.count_if(new.isNull()).alias("rows_removed"),
+                F.count_if(old != new).alias("rows_modified"),
+                F.count_if(old == new).alias("rows_unchanged"),
+                F.count(F.lit(1)).alias("denominator"),
+                (F.count("old") + F.count("new")).alias("sides"),
+            )
+        )
+    if plain:
+        # Equal rows collapse to one counter before they are handed out.
+        counts = union_all(plain).groupBy(*shape, "version_id", "row").agg(F.count(F.lit(1)).alias("n"))
+        zero = F.lit(0).cast("long")
+        both = handed(counts, "previous").select("pair_id", "row", F.col("n").alias("old"), zero.alias("new")).unionByName(
+            handed(counts, "current").select("pair_id", "row", zero.alias("old"), F.col("n").alias("new"))
+        )
+        met = both.groupBy("pair_id", "row").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+        old, new = F.col("old"), F.col("new")
+        parts.append(
+            met.groupBy("pair_id").agg(
+                F.sum(F.greatest(new - old, zero)).alias("rows_added"),
+                F.sum(F.greatest(old - new, zero)).alias("rows_removed"),
+                zero.alias("rows_modified"),
+                F.sum(F.least(old, new)).alias("rows_unchanged"),
+                F.sum(old + new).alias("denominator"),
+                F.sum(old + new).alias("sides"),
+            )
+        )
+    if not parts:
+        return None
+    figures = union_all(parts)
+    alike = F.lit(False)
+    for r in {(r["low"], r["high"]) for r in used if set(kinds[r["low"]]) & set(kinds[r["high"]])}:
+        alike = alike | ((F.col("low") == r[0]) & (F.col("high") == r[1]))
+    full = shaped.where(alike).join(figures, "pair_id", "left").fillna(0, [c for c in figures.columns if c != "pair_id"])
+    turned = F.col("rows_added") + F.col("rows_removed")
+    return full.select(
+        "pair_id",
+        F.when(F.col("key_columns") != "", "stable_identifier_hash").otherwise("row_hash_multiset").alias("method"),
+        "key_columns",
+        *[F.col(c).cast("long").alias(c) for c in ("rows_added", "rows_removed", "rows_modified", "rows_unchanged")],
+        F.round((turned + F.col("rows_modified")) / F.greatest("denominator", F.lit(1)), 6).alias("change_ratio"),
+        F.round(turned / F.greatest("sides", F.lit(1)), 6).alias("turnover_ratio"),
     )
-    old, new = F.col("old"), F.col("new")
-    counts = matched.agg(
-        F.count_if(old.isNull()).alias("rows_added"),
-        F.count_if(new.isNull()).alias("rows_removed"),
-        F.count_if(old != new).alias("rows_modified"),
-        F.count_if(old == new).alias("rows_unchanged"),
-        F.count(F.lit(1)).alias("keys"),
-        (F.count("old") + F.count("new")).alias("sides"),
-    ).withColumn("pair_id", F.lit(pair_id).cast("long"))
-    return _finish_row_diff(counts, "stable_identifier_hash", ",".join(keys), F.col("keys"))
 
 
-def multiset_row_diff(pair_id: int, previous: DataFrame, current: DataFrame) -> DataFrame:
-    """Rows compared as multisets. Equal rows collapse to one counter before the shuffle."""
-    common = sorted(set(previous.columns) & set(current.columns))
+def _one_pair(pair_id: int, previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    spark = previous.sparkSession
+    pair = spark.createDataFrame([(pair_id, 0, 1)], "pair_id long, previous_version_id long, current_version_id long")
+    named = spark.createDataFrame([(pair_id, i, k) for i, k in enumerate(keys)], "pair_id long, rank int, column string")
+    return row_diffs({0: previous, 1: current}, pair, named)
 
-    def side(df: DataFrame, old: int) -> DataFrame:
-        return df.select(row_digest(df, common, exact=[]).alias("row"), F.lit(old).alias("old"), F.lit(1 - old).alias("new"))
 
-    counted = side(previous, 1).unionByName(side(current, 0)).groupBy("row").agg(
-        F.sum("old").alias("old"), F.sum("new").alias("new")
-    )
-    old, new, zero = F.col("old"), F.col("new"), F.lit(0)
-    counts = counted.agg(
-        F.coalesce(F.sum(F.greatest(new - old, zero)), zero).alias("rows_added"),
-        F.coalesce(F.sum(F.greatest(old - new, zero)), zero).alias("rows_removed"),
-        zero.alias("rows_modified"),
-        F.coalesce(F.sum(F.least(old, new)), zero).alias("rows_unchanged"),
-        F.coalesce(F.sum(old + new), zero).alias("sides"),
-    ).withColumn("pair_id", F.lit(pair_id).cast("long"))
-    return _finish_row_diff(counts, "row_hash_multiset", "", F.col("sides"))
+def keyed_row_diff(pair_id: int, previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """E8 of two tables."""
+    return _one_pair(pair_id, previous, current, keys)
 
 
-def row_diffs(versions: dict[int, DataFrame], pairs: DataFrame, keys: DataFrame) -> DataFrame | None:
-    """E8 or E9 per pair. Only pair ids and key names (at most two each) come to the driver."""
-    chosen: dict[int, list[str]] = {}
-    for row in keys.orderBy("pair_id", "rank").collect():
-        chosen.setdefault(row["pair_id"], []).append(row["column"])
-    parts = []
-    for p in pairs.select("pair_id", *SIDES.values()).collect():
-        old, new = versions[p["previous_version_id"]], versions[p["current_version_id"]]
-        if not set(old.columns) & set(new.columns):
-            continue
-        names = chosen.get(p["pair_id"])
-        parts.append(keyed_row_diff(p["pair_id"], old, new, names) if names else multiset_row_diff(p["pair_id"], old, new))
-    return union_all(parts) if parts else None
+def multiset_row_diff(pair_id: int, previous: DataFrame, current: DataFrame) -> DataFrame:
+    """E9 of two tables."""
+    return _one_pair(pair_id, previous, current, [])
 
 
 def paired_counts(pairs: DataFrame, vc: DataFrame) -> DataFrame:

@@ -119,6 +119,10 @@ class Evidence:
     def all_pairs(self) -> "PairEvidence":
         return PairEvidence(self, cut(diff.any_pairs(self.registry, self.configurations)))
 
+    def compare(self, requests: DataFrame) -> "PairEvidence":
+        """Comparison evidence of the requested pairs (previous_version_id, current_version_id)."""
+        return PairEvidence(self, cut(diff.requested_pairs(requests, self.registry, self.configurations)))
+
     @cached_property
     def facts(self) -> DataFrame:
         return cut(

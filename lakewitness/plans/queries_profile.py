@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lakewitness.operators import diff, profile
-from lakewitness.plans import check_parts  # noqa: F401  (defines the named parts)
-from lakewitness.plans.registry import query
+from lakewitness.plans.check_parts import pair_parts, row_parts
+from lakewitness.plans.registry import part, query
 
 r6 = lambda name: F.round(name, 6).alias(name)
 # Means and deviations are compared at four decimals: at six, sums taken in another order can fall
@@ -292,6 +292,28 @@ def _(ws):
     return ws.all_pairs.scores
 
 
+# Requested: forwards, backwards, twice, a version with itself, across datasets, an unknown one.
+REQUESTED = [(1, 3), (3, 1), (1, 3), (4, 4), (7, 6), (2, 5), (6, 99), (98, 99)]
+part("rp", "SELECT DISTINCT a.version_id * 4294967296 + b.version_id AS pair_id, a.version_id AS prev, b.version_id AS cur, b.target FROM (VALUES "
+     + ", ".join(f"({a}, {b})" for a, b in REQUESTED) + ") AS asked(p, c) JOIN reg a ON a.version_id = p JOIN reg b ON b.version_id = c WHERE a.dataset_id = b.dataset_id")
+pair_parts("rp", "r")
+row_parts("r", [((a << 32) + b, a, b) for a, b in ((1, 3), (3, 1), (4, 4), (7, 6))], {(1 << 32) + 3: "order_id", (3 << 32) + 1: "order_id"})
+
+
+def requested(ws):
+    return ws.spark.createDataFrame(REQUESTED, "previous_version_id long, current_version_id long")
+
+
+@query("E23_compare_requested", SCORES_SQL.format("rsc"))
+def _(ws):
+    return ws.compare(requested(ws)).scores
+
+
+@query("E23_refused_requests", "SELECT 2::BIGINT AS previous_version_id, 5::BIGINT AS current_version_id, 'different_datasets' AS reason UNION ALL SELECT 6, 99, 'unknown_version' UNION ALL SELECT 98, 99, 'unknown_version'")
+def _(ws):
+    return diff.refused_pairs(requested(ws), ws.registry)
+
+
 DELTAS_SQL = ", ".join(f"round(coalesce(round(b_{m}, 6), 0) - coalesce(round(a_{m}, 6), 0), 6) AS delta_{m}" for m in ("mean", "median", "std", "min", "max"))
 
 
@@ -303,7 +325,7 @@ def _(ws):
     return compact.select("pair_id", "column", "shift_score", *[r4(c) for c in compact.columns[3:]])
 
 
-check_parts.part("facts0", """
+part("facts0", """
 SELECT pp.pair_id, cur AS version_id, (SELECT count(*) FROM ppc c WHERE c.pair_id = pp.pair_id AND status = 'added') AS added, (SELECT count(*) FROM ppc c WHERE c.pair_id = pp.pair_id AND status = 'removed') AS removed,
        (SELECT count(*) FROM ppc c WHERE c.pair_id = pp.pair_id AND dtype_changed) AS dtypes, (SELECT count(*) FROM pmc c WHERE c.pair_id = pp.pair_id) AS missings,
        (SELECT count(*) FROM psh s WHERE s.pair_id = pp.pair_id AND kind = 'numeric') AS nums, (SELECT count(*) FROM psh s WHERE s.pair_id = pp.pair_id AND kind = 'categorical' AND score > 0) AS cats,
