@@ -381,6 +381,23 @@ def _cells_digest(df: DataFrame, names: list[str]) -> Column:
     return row_digest(df, names)
 
 
+def measured_evidence(versions: dict[int, DataFrame], configurations: DataFrame, splits: dict[int, tuple[str, list[str]]]) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """F32, F33 and F34 of all versions that have what it takes: a target, a split column, a class target."""
+    from lakewitness.operators.value_counts import union_all
+
+    conflicts, overlaps, associations = [], [], []
+    for r in configurations.select(V, "task_type", "target_column").orderBy(V).collect():
+        v, target = r[V], r["target_column"]
+        if v not in versions:
+            continue
+        if target in versions[v].columns and r["task_type"] == "classification":
+            conflicts.append(conflicting_duplicates(versions[v], v, target))
+            associations.append(target_associations(versions[v], v, target))
+        if v in splits:
+            overlaps.append(split_overlap(versions[v], v, *splits[v]))
+    return tuple(union_all(parts) if parts else None for parts in (conflicts, overlaps, associations))
+
+
 def conflicting_duplicates(df: DataFrame, version_id: int, target: str) -> DataFrame:
     """F32: share of rows whose features also occur with another target value.
 

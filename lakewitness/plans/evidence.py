@@ -29,6 +29,10 @@ class Evidence:
     def __init__(self, spark: SparkSession, frames: dict[int, DataFrame] | None = None, registry: DataFrame | None = None):
         self.spark = spark
         self._kept: dict[str, DataFrame] = {}
+        # Measured evidence the scores take into account where it is given: F32, F33 and F34 per version.
+        self.conflicts: DataFrame | None = None
+        self.overlap: DataFrame | None = None
+        self.associations: DataFrame | None = None
         if frames is not None:
             self.frames = frames
         if registry is not None:
@@ -119,6 +123,14 @@ class Evidence:
     def all_pairs(self) -> "PairEvidence":
         return PairEvidence(self, cut(diff.any_pairs(self.registry, self.configurations)))
 
+    def measure(self, splits: dict[int, tuple[str, list[str]]] | None = None, versions: list[int] | None = None) -> "Evidence":
+        """Let conflicting duplicates, exact associations and, for versions with a split column and the keys of an entity, split
+        overlap count in the scores. To be called before these are read."""
+        some = {v: df for v, df in self.frames.items() if versions is None or v in versions}
+        found = diagnosis.measured_evidence(some, self.configurations, splits or {})
+        self.conflicts, self.overlap, self.associations = (None if df is None else cut(df) for df in found)
+        return self
+
     def compare(self, requests: DataFrame) -> "PairEvidence":
         """Comparison evidence of the requested pairs (previous_version_id, current_version_id)."""
         return PairEvidence(self, cut(diff.requested_pairs(requests, self.registry, self.configurations)))
@@ -138,11 +150,11 @@ class Evidence:
 
     @cached_property
     def leakage(self) -> DataFrame:
-        return cut(diagnosis.leakage_features(self.columns, self.correlations, self.configurations))
+        return cut(diagnosis.leakage_features(self.columns, self.correlations, self.configurations, self.associations))
 
     @cached_property
     def components(self) -> DataFrame:
-        return cut(diagnosis.risk_components(self.facts, self.leakage))
+        return cut(diagnosis.risk_components(self.facts, self.leakage, self.conflicts, self.overlap))
 
     @cached_property
     def risks(self) -> DataFrame:

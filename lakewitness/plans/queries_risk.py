@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from lakewitness.lookups import RISK_FAMILIES
 from lakewitness.operators import contract, diagnosis, diff
-from lakewitness.plans import check_parts_risk  # noqa: F401
-from lakewitness.plans.registry import query
+from lakewitness.plans.check_parts import SCHEMA
+from lakewitness.plans.check_parts_risk import COMPONENT_SQL
+from lakewitness.plans.registry import part, query
+from lakewitness.session import cut
 
 V = "version_id"
 
@@ -191,6 +193,36 @@ def _(ws):
     )
 
 
+# ---- the same scores with what F32 to F34 measure, for three versions
+MEASURED = {3: "order_state", 8: "outcome_class", 10: "quality"}
+part("mconf", " UNION ALL ".join(CONFLICT_SQL.format(v=v, target=t, features=", ".join(n for n, _ in SCHEMA[v] if n != t)) for v, t in MEASURED.items()))
+part("mover", """
+SELECT 10::BIGINT AS version_id, round(coalesce(sum(n) FILTER (s > 1), 0)::DOUBLE / sum(n), 6) AS overlap_ratio FROM (SELECT body, count(DISTINCT source) AS s, count(*) AS n FROM v10 GROUP BY body)""")
+part("massoc", " UNION ALL ".join(ASSOC_SQL.format(v=v, cells=assoc_cells(v, t)) for v, t in MEASURED.items()))
+part("mlk", "SELECT version_id, col, kind FROM lk UNION SELECT version_id, feature, 'direct' FROM massoc WHERE association >= 0.999")
+MEASURED_SQL = COMPONENT_SQL | {
+    ("mlrs", "duplicates"): "least(10, duplicate_ratio * 100) + least(8, coalesce(conflict_ratio, 0) * 120)",
+    ("lrs", "split_contamination"): "CASE WHEN coalesce(overlap_ratio, 0) > 0 THEN least(12, overlap_ratio * 100) ELSE least(4, duplicate_ratio * 25) END",
+}
+part("mrc", "\nUNION ALL ".join(
+    f"SELECT fx.version_id, '{f}' AS family, '{k}' AS component, {i} AS ordinal, ({sql.replace('lk WHERE lk.', 'mlk WHERE mlk.')})::DOUBLE AS score FROM fx JOIN imb ON imb.version_id = fx.version_id "
+    "LEFT JOIN mconf ON mconf.version_id = fx.version_id LEFT JOIN mover ON mover.version_id = fx.version_id"
+    for i, ((f, k), sql) in enumerate(MEASURED_SQL.items())
+))
+
+
+@query("F27_measured_scores", """
+SELECT version_id, round(max(CASE WHEN component = 'duplicates' THEN score END), 4) AS duplicates, round(max(CASE WHEN component = 'direct_target_leakage' THEN score END), 4) AS direct, round(max(CASE WHEN component = 'split_contamination' THEN score END), 4) AS split,
+  round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'mlrs')), 2)::DOUBLE AS mlrs_score, round_even(least(100, sum(score ORDER BY ordinal) FILTER (family = 'lrs')), 2)::DOUBLE AS lrs_score FROM mrc GROUP BY 1""")
+def _(ws):
+    conflicts, overlap, associations = diagnosis.measured_evidence({v: ws.frames[v] for v in MEASURED}, ws.configurations, {10: ("source", ["body"])})
+    leakage = diagnosis.leakage_features(ws.columns, ws.correlations, ws.configurations, associations)
+    components = cut(diagnosis.risk_components(ws.facts, leakage, conflicts, overlap))
+    of = lambda name: F.round(F.max(F.when(F.col("component") == name, F.col("score"))), 4)
+    parts = components.groupBy("version_id").agg(of("duplicates").alias("duplicates"), of("direct_target_leakage").alias("direct"), of("split_contamination").alias("split"))
+    return parts.join(diagnosis.risk_scores(components), "version_id")
+
+
 @query("F35_severity_counts", """
 SELECT version_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low,
        arg_max(severity, sr) AS highest FROM fnd JOIN sevrank USING (severity) GROUP BY 1""")
@@ -208,7 +240,7 @@ def _(ws):
     )
 
 
-check_parts_risk.part("cons", """
+part("cons", """
 SELECT version_id, col, CAST(sum(cnt) AS BIGINT) AS cells_n, CAST(coalesce(sum(cnt) FILTER (sp > 1), 0) AS BIGINT) AS affected FROM (
   SELECT vc.version_id, vc.col, cnt, count(*) OVER (PARTITION BY vc.version_id, vc.col, trim(regexp_replace(lower(replace(replace(value, '_', ' '), '-', ' ')), '\\s+', ' ', 'g'))) AS sp
   FROM vc JOIN cp ON vc.version_id = cp.version_id AND vc.col = cp.col WHERE value IS NOT NULL AND NOT isnum AND role <> 'target') GROUP BY 1, 2""")
@@ -246,7 +278,7 @@ def _(ws):
     return diagnosis.score_deltas(ws.registry, ws.risks)
 
 
-check_parts_risk.part("figures", """
+part("figures", """
 SELECT version_id, unnest(['Rows', 'Columns/features', 'Missing cells', 'Duplicates', 'MLRS', 'LRS']) AS metric, unnest(['n', 'n', 'l', 'l', 'l', 'l']) AS mode,
   unnest([row_count::DOUBLE, column_count::DOUBLE, missing_cells::DOUBLE, duplicate_rows::DOUBLE, mlrs_score, lrs_score]) AS figure FROM tp JOIN rs USING (version_id)""")
 
