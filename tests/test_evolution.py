@@ -221,3 +221,64 @@ def test_an_edit_of_any_protocol_field_counts(spark):
     assert out.count() == 14  # the last edit changes nothing
     found = {r.version_number: (r.fields_added, r.completeness_delta) for r in history.protocol_diffs(out.withColumn("version_number", F.col("version_number").cast("int")), "s", L.PROTOCOL_FIELDS).collect()}
     assert found == {k + 2: (f, 10 if f in L.COMPLETENESS_FIELDS else 0) for k, f in enumerate(L.PROTOCOL_FIELDS)}
+
+
+# ---- exact cells, measured evidence, requested pairs
+def test_portable_numbers(spark):
+    import math
+    import struct
+
+    from lakewitness.functions.columns import portable_number
+
+    r = random.Random(3)
+    values = [0.0, -0.0, 1.0, -2.5, 0.1, 2.0**53, 2.0**53 - 1, 1e300, 5e-324, 2.2250738585072014e-308, float("inf"), float("-inf"), 2.0**-3, 1 - 2.0**-53, 1 + 2.0**-52, 8.000000000000002]
+    values += [v for v in (struct.unpack("<d", r.randbytes(8))[0] for _ in range(400)) if v == v] + [2.0**k for k in range(-1074, 1024, 37)] + [math.nextafter(2.0**k, 0) for k in range(-1000, 1024, 41)]
+
+    def text(v):
+        if math.isinf(v):
+            return "-inf" if v < 0 else "inf"
+        if abs(v) < 2**53 and v == math.floor(v):
+            return str(int(v))
+        m, e = math.frexp(abs(v))
+        digits, power = int(m * 2**53), e - 1
+        if power < -1022:  # the double behind 2 ** power is exact down to the least one
+            digits = int(abs(v) / 2.0**power * 2**52)
+        return f"{'-' if v < 0 else ''}{digits}p{power}"
+
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(-1, None)], "i long, v double")
+    got = {x.i: x.t for x in rows.select("i", portable_number(F.col("v")).alias("t")).collect()}
+    assert got.pop(-1) is None and got == {i: text(v) for i, v in enumerate(values)}
+
+
+def test_measured_evidence_counts_in_the_scores(spark):
+    rows = [(k % 6, "ab"[k % 2], "train" if k < 20 else "test", "yes" if k % 2 else "no") for k in range(30)] + [(1, "b", "train", "no")] * 6
+    df = spark.createDataFrame(rows, "x long, copy string, part string, y string")
+    versions = registry(spark, [(1, None, "classification", "y")])
+    plain, measured = Evidence(spark, {1: df}, versions), Evidence(spark, {1: df}, versions).measure({1: ("part", ["x", "copy"])})
+    score = lambda ev: {r.component: r.score for r in ev.components.collect()}
+    a, b = score(plain), score(measured)
+    assert b["duplicates"] > a["duplicates"] and b["split_contamination"] == 12.0 > a["split_contamination"]
+    exact = spark.createDataFrame([(k, "yn"[k % 2], "yes" if k % 2 == 0 else "no") for k in range(30)], "x long, mirror string, y string")
+    direct = Evidence(spark, {1: exact}, versions).measure()
+    assert {r.column for r in direct.leakage.where("kind = 'direct'").collect()} == {"mirror"}
+
+
+def test_pairs_of_one_shape_share_their_digests(spark):
+    from lakewitness.operators import diff
+
+    frames = {v: spark.createDataFrame([(k, (k * v) % 7) for k in range(20)] + [(3, 3)] * v, "a long, b long") for v in range(1, 6)}
+    frames[6] = spark.createDataFrame([(1, "x")], "c long, d string")
+    versions = registry(spark, [(v, None, "clustering", None) for v in range(1, 7)])
+    asked = spark.createDataFrame([(a, b) for a in range(1, 7) for b in range(1, 7)] + [(1, 2), (1, 77)], "previous_version_id long, current_version_id long")
+    ev = Evidence(spark, frames, versions)
+    pairs = diff.requested_pairs(asked, ev.registry, ev.configurations)
+    assert pairs.count() == 36 and [tuple(r) for r in diff.refused_pairs(asked, ev.registry).collect()] == [(1, 77, "unknown_version")]
+    none = spark.createDataFrame([], "pair_id long, rank int, column string")
+    found = diff.row_diffs(frames, pairs, none)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 2 * 6 + 6  # not one side for each pair
+    from collections import Counter
+
+    rows = {v: Counter(map(tuple, f.collect())) for v, f in frames.items()}
+    got = {r.pair_id: (r.rows_added, r.rows_removed, r.rows_unchanged) for r in found.collect()}
+    alike = [(a, b) for a in range(1, 6) for b in range(1, 6)] + [(6, 6)]
+    assert got == {(a << 32) + b: ((rows[b] - rows[a]).total(), (rows[a] - rows[b]).total(), (rows[a] & rows[b]).total()) for a, b in alike}
