@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lakewitness import lookups as L
@@ -14,14 +12,14 @@ from lakewitness.plans.check_parts_risk import values
 from lakewitness.plans import refresh
 from lakewitness.plans.registry import part, query
 from lakewitness.plans.queries_transform import SCHEMA, rounded
-from lakewitness.session import cut, shared_folder
+from lakewitness.session import cut, new_path
 from lakewitness.sources import ingest, store
 
 V = "version_id"
 
 
 def fresh(ws, name: str) -> str:
-    return f"{shared_folder(ws.spark).rstrip('/')}/lakewitness/{name}-{uuid.uuid4().hex}"
+    return new_path(ws.spark, f"{name}-")
 
 
 # ------------------------------------------------------------------ A: sources and sinks

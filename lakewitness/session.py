@@ -51,6 +51,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[sc.applicationId]
 
 
+def new_path(spark: SparkSession, name: str = "") -> str:
+    """A path nothing uses yet, in the folder of this application, which may be deleted when the application has ended."""
+    return f"{shared_folder(spark).rstrip('/')}/lakewitness/{spark.sparkContext.applicationId}/{name}{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a relation that several later queries read to the shared folder, cutting its lineage.
 
@@ -58,7 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     broadcast small evidence and shuffle large evidence.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/lakewitness/{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

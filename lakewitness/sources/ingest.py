@@ -17,10 +17,18 @@ class InputError(ValueError):
     """The input is not a usable table."""
 
 
+def headers(spark: SparkSession, path: str) -> list[str]:
+    """The different first lines of the files under a path: one pass over their text, which counts a file's lines from its first split."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+    first = lines.where("file_block_start = 0").groupBy("file_path").agg(F.min_by("value", "at").alias("line"))
+    return sorted(r["line"] for r in first.select("line").distinct().limit(2).collect())
+
+
 def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """A1: header, missing tokens, and types decided by one aggregation over all rows.
 
-    Rows with fewer fields than the header end in missing cells; rows with more are refused. Whole numbers that
+    Rows with fewer fields than the header end in missing cells; rows with more are refused, and so are files whose headers
+    differ, in names or only in their order. Whole numbers that
     64 bits can't hold make a column fractional. Dates stay text. ``multiline`` is needed for quoted line breaks; it makes files unsplittable, so
     it is off unless asked for.
     """
@@ -33,6 +41,8 @@ def scan_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         raise InputError("every column needs a name")
     if len(set(names)) != len(names):
         raise InputError("column names are repeated")
+    if len(spark.read.text(path).inputFiles()) > 1 and len(headers(spark, path)) > 1:
+        raise InputError("the files have different headers")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     beyond = "_" * (1 + max(map(len, names))) + "beyond"
     wide = T.StructType([*schema.fields, T.StructField(beyond, T.StringType())])

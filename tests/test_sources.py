@@ -29,6 +29,17 @@ def test_ragged_rows_are_refused(spark, tmp_path):
         ingest.scan_csv(spark, write(tmp_path / "bad.csv", "a,b\n1,2,3\n")).collect()
 
 
+def test_files_with_other_headers_are_refused(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    write(tmp_path / "d" / "1.csv", "a,b\n1,x\n")
+    write(tmp_path / "d" / "2.csv", "a,b\n2,y\n")
+    write(tmp_path / "d" / "3.csv", "")
+    assert sorted(map(tuple, ingest.scan_csv(spark, str(tmp_path / "d")).collect())) == [(1, "x"), (2, "y")]
+    write(tmp_path / "d" / "4.csv", "b,a\nz,3\n")
+    with pytest.raises(ingest.InputError, match="headers"):
+        ingest.scan_csv(spark, str(tmp_path / "d"))
+
+
 def test_versions_are_written_once(spark, tmp_path):
     df = spark.range(3)
     store.freeze_version(df, str(tmp_path), 1, 1)
