@@ -26,9 +26,10 @@ def _(ws):
 
 @query("D3_numeric_statistics", """
 SELECT version_id, col AS "column", round(mn, 4) AS min, round(q25, 4) AS q25, round(med, 4) AS median, round(q75, 4) AS q75, round(mx, 4) AS max,
-       round(mean, 4) AS mean, round(sd, 4) AS std, round(skew, 4) AS skewness FROM cp WHERE isnum""")
+       round(mean, 4) AS mean, round(sd, 4) AS std, round(skew, 4) + 0.0 AS skewness FROM cp WHERE isnum""")
 def _(ws):
-    return ws.columns.where("is_numeric").select("version_id", "column", *[r4(s) for s in profile.STATISTICS])
+    # a skewness of zero has no sign
+    return ws.columns.where("is_numeric").select("version_id", "column", *[r4(s) for s in profile.STATISTICS]).withColumn("skewness", F.col("skewness") + F.lit(0.0))
 
 
 @query("D4_outliers", "SELECT version_id, col AS \"column\", outliers AS outlier_count, outlier_ratio FROM cp WHERE isnum")
