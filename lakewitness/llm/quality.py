@@ -166,9 +166,10 @@ def judged(m: DataFrame, fence: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents the rules keep, with their own columns.
 
-    Texts are measured twice, once for the sketches and once beside the filter, rather than stored or shuffled in between.
+    Texts are measured twice, once for the sketches, which are written, and once beside the filter, rather than stored or shuffled
+    in between.
     """
-    fence = cut(fences(sketches(measured(docs))))
+    fence = cut(fences(cut(sketches(measured(docs)))))
     return judged(measured(packed(docs), "_row"), fence).where("kept").select("_row.*")
 
 
