@@ -1,8 +1,9 @@
 """Secret scan with corpus-wide ownership.
 
 Fixed patterns give the base spans. A further pattern finds long mixed tokens. All candidates are hashed, and their
-distinct repositories and owners are counted over the corpus: a candidate held by many owners is a copied example,
-one held by few looks like a live credential. Live mixed tokens outside the base spans are added to the spans.
+distinct repositories and owners are counted over the corpus: a candidate held by many owners, or in many repositories of a
+few, is a copied example; one held by few in few places looks like a live credential. Live mixed tokens outside the base
+spans are added to the spans.
 
 Here an owner is a source, and a repository is what a source holds in one language. Defined results: a null text is
 empty; null owners count as one owner; repeated rows get equal results; an empty table gives an empty result; other columns are not read.
@@ -21,8 +22,8 @@ from lakewitness.session import cut
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 PATTERNS = {"assign": ASSIGN, "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+", "mixed": "[A-Za-z0-9+/_=-]{24,}"}
 KINDS = list(PATTERNS)
-# Held by more owners than this, a candidate is an example.
-LIVE_OWNERS = 2
+# Held by more owners than this, or in more repositories, a candidate is an example.
+LIVE_OWNERS, LIVE_REPOSITORIES = 2, 3
 
 
 def _value(match: Column) -> Column:
@@ -72,7 +73,7 @@ def ownership(found: DataFrame) -> DataFrame:
     pairs = found.groupBy("secret", "owner", "repository").agg(F.lit(1).alias("one"))
     owners = pairs.groupBy("secret", "owner").agg(F.count("*").alias("repositories"))
     counts = owners.groupBy("secret").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
-    return counts.withColumn("live", F.col("owners") <= LIVE_OWNERS)
+    return counts.withColumn("live", (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES))
 
 
 def spans_by_document(found: DataFrame) -> DataFrame:
@@ -118,7 +119,7 @@ m AS ({parts}),
 p AS (SELECT *, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, k ORDER BY i) AS stop FROM m),
 v AS (SELECT *, stop - length(m) AS start, CASE k WHEN 0 THEN regexp_extract(m, '{ASSIGN.replace("'", "''")}', 2) ELSE m END AS val FROM p),
 c AS (SELECT * FROM v WHERE length(val) >= [8, 16, 32, 24][k + 1] AND (k < 3 OR (regexp_matches(val, '[a-z]') AND regexp_matches(val, '[A-Z]') AND regexp_matches(val, '[0-9]')))),
-live AS (SELECT val, count(DISTINCT owner) <= {LIVE_OWNERS} AS live FROM c GROUP BY val),
+live AS (SELECT val, count(DISTINCT owner) <= {LIVE_OWNERS} AND count(DISTINCT repo) <= {LIVE_REPOSITORIES} AS live FROM c GROUP BY val),
 s AS (SELECT c.*, live FROM c JOIN live USING (val)),
 kept AS (SELECT * FROM s WHERE k < 3 OR (live AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.k < 3 AND b.start < s.stop AND s.start < b.stop))),
 a AS (

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewitness.llm.common import table, whole_text
+from lakewitness.llm.common import table, text_digest, whole_text
 from lakewitness.llm.hashing import ngrams, word_hashes
 from lakewitness.session import cut, ship_package
 
@@ -99,7 +99,9 @@ def fitted(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> di
 
     # at most max_train rows of three short columns
     rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(sample), "doc_id")
-    found = rows.select("draw", "doc_id", "toxic", distinct("text").alias("found")).dropDuplicates(["doc_id"])
+    # of several texts under one doc_id the one with the least digest
+    named = rows.select("draw", "doc_id", "toxic", text_digest(F.col("text")).alias("digest"), distinct("text").alias("found"))
+    found = named.groupBy("doc_id").agg(F.min_by(F.struct("draw", "toxic", "found"), "digest").alias("x")).select("doc_id", "x.*")
     model = found.repartition(1).mapInPandas(_fit_one, "idx bigint, weight double")
     return {r["idx"]: r["weight"] for r in model.collect()}
 
