@@ -9,11 +9,14 @@ weighted Jaccard similarity.
 
 Bands of ROWS coordinates give candidates: 1 - (1 - 0.8**6)**40 = 0.999995 of the pairs at similarity 0.8, more above.
 An exact check of the weighted Jaccard similarity of the shingles (64-bit hashes) follows. Only classes are wanted, so a
-bucket whose members are already connected is closed. A few rounds compare all members of the open buckets with one
-pivot each, another one every round; that connects groups of copies of any size with work in proportion to the
-buckets. In the buckets left open, every member outside the largest class there meets the members of other classes,
-and pairs that share at least two bands are compared (0.99992 of those at similarity 0.8 do). Links give classes by
-connected components.
+bucket whose members are already connected is closed. Some rounds compare the members of the open buckets with one pivot
+each, another one every round, where they meet it in several buckets; that connects groups of copies of any size with work
+in proportion to the buckets, and only saves work: what it leaves apart is decided below. The members of the buckets left open are often unlike texts around one common passage, so all pairs of a bucket
+would be too many. They meet by an exact filter instead: with the shingles in any one order, two texts of similarity t
+share a shingle among the first |A| - ceil(t |A|) + 1 of the larger one and the first |B| - ceil(2 t |B| / (1 + t)) + 1 of
+the smaller one, early enough in both to leave room for the rest. The order puts shingles that few of these texts hold
+first, those of a common passage last, where they count no more. Texts that meet so and share a bucket are compared; no
+pair of a bucket at the similarity asked for is left out. Links give classes by connected components.
 
 Defined results: a null text is empty; texts without words are a class for each equal text; equal texts are one
 class; class_id is the smallest doc_id of the class, null if it has none; of equal rows one stays; an empty table
@@ -22,20 +25,25 @@ gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakewitness.llm.common import packed, settled, table, text_digest, whole_text, with_numbers
 from lakewitness.llm.hashing import C, mix, ngrams, signed, word_hashes
-from lakewitness.session import cut
+from lakewitness.session import cut, ship_package
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 # Strips double from the first width up to the last, which they then keep.
 FIRST_STRIP, LAST_STRIP = 0.25, 256.0
-PIVOT_ROUNDS, SHARED_BANDS = 3, 2
+PIVOT_ROUNDS, PIVOT_BANDS = 5, 2
+# How many texts hold a shingle, in steps, and the bits of the table that tells of each step: 10 MB, whatever the size of the corpus.
+STEPS = {2: 26, 16: 24, 256: 22}
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
 _IS_WORD = np.ones(256, np.int8)
 _IS_WORD[[9, 10, 11, 12, 13, 32]] = 0
@@ -152,24 +160,81 @@ def rooted_nodes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         found = cut(similarities(pairs, units).where(F.col("similarity") >= similarity).select("a", "b"))
         return roots if found.isEmpty() else components(found.union(roots.select("node", "root")))
 
-    ends = [F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")]
     for k in range(PIVOT_ROUNDS):
         open_ = still_open(members, roots)
         if open_.isEmpty():
             return roots
-        # one order for all buckets, so that the same pairs come up in many of them
-        pivot = F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), F.col("node").alias("a"), F.col("root").alias("own"))).alias("p")
-        pivots = open_.groupBy("band").agg(pivot).select("band", "p.a", "p.own")
-        roots = joined(open_.join(pivots, "band").where(F.col("root") != F.col("own")).select(*ends).distinct())
+        # a bucket once closed stays so
+        members = open_.select("band", "node")
+        # one order for all buckets, so that a large group of copies has the same pivot almost everywhere
+        draw = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), F.col("node").alias("a"), F.col("root").alias("own"))
+        pivots = open_.groupBy("band").agg(F.min(draw).alias("p")).select("band", "p.a", "p.own")
+        met = open_.join(pivots, "band").where(F.col("root") != F.col("own")).groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        roots = joined(met.agg(F.count("*").alias("n")).where(F.col("n") >= PIVOT_BANDS).select("a", "b"))
     open_ = still_open(members, roots)
-    sizes = open_.groupBy("band", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max(F.struct("n", "root")).alias("m")).select("band", F.col("m.root").alias("most"))
-    placed = cut(open_.join(largest, "band").select("band", "node", "root", (F.col("root") != F.col("most")).alias("outside")))
-    outside = placed.where("outside").select("band", F.col("node").alias("a"), F.col("root").alias("own"))
-    # two members that are both outside meet once
-    meet = (F.col("root") != F.col("own")) & (~F.col("outside") | (F.col("a") < F.col("node")))
-    pairs = placed.join(outside, "band").where(meet).select(*ends)
-    return joined(pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= SHARED_BANDS).select("a", "b"))
+    if open_.isEmpty():
+        return roots
+    buckets = open_.groupBy("node", "root").agg(F.collect_set("band").alias("bands"))
+    return joined(meetings(settled(units.join(buckets, "node")), similarity))
+
+
+def step_tables(held: DataFrame) -> list[np.ndarray]:
+    """Bits for each of STEPS: the places of shingles that so many texts hold."""
+    counts = held.select(F.explode("units").alias("u")).groupBy(F.shiftright("u", 32).cast("int").alias("k")).agg(F.count("*").alias("n"))
+    place = lambda bits: F.shiftrightunsigned("k", 32 - bits).cast("long") + 1
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), (F.col("n") >= n).alias("there"), place(bits).alias("p")) for i, (n, bits) in enumerate(STEPS.items())])
+    places = counts.where(F.col("n") >= min(STEPS)).select(F.explode(F.filter(steps, lambda x: x["there"])).alias("x")).select("x.step", "x.p")
+    parts = places.groupBy("step", F.bitmap_bucket_number("p").alias("number")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("part"))
+    out = [np.zeros(1 << bits >> 3, np.uint8) for bits in STEPS.values()]
+    for r in parts.collect():
+        out[r.step][(r.number - 1) * len(r.part) : r.number * len(r.part)] = np.frombuffer(bytes(r.part), np.uint8)
+    return out
+
+
+def first_units(units: np.ndarray, tables: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the shingles that must hold one in common with any smaller text this similar, those that another text may hold; their places."""
+    steps = np.zeros(len(units), np.uint8)
+    for t, bits in zip(tables, STEPS.values()):
+        place = units.view(np.uint64) >> np.uint64(64 - bits)
+        steps += (t[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
+    n = len(units) - int(np.ceil(similarity * len(units) - 1e-9)) + 1
+    order = np.lexsort((units, steps))[:n]
+    at = np.flatnonzero(steps[order] > 0)
+    return units[order[at]], at
+
+
+def meetings(held: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts (node, root, bands, units) in different classes that may be this similar."""
+    tables = step_tables(held)
+    ship_package(held.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others, lists = batch.drop_columns(["units"]), batch.column("units")
+            for k in range(batch.num_rows):
+                units, at = first_units(lists[k].values.to_numpy(), tables, similarity)
+                again = pa.array(np.zeros(len(at), np.int64))
+                columns = [c.take(again) for c in others.slice(k, 1).columns]
+                size = pa.array(np.full(len(at), len(lists[k]), np.int32))
+                yield pa.RecordBatch.from_arrays([*columns, size, pa.array(units), pa.array(at, pa.int32())], [*others.schema.names, "size", "unit", "at"])
+
+    firsts = held.select("node", "root", "units").mapInArrow(run, "node binary, root binary, size int, unit bigint, at int")
+    each = settled(firsts)
+    mixed = each.groupBy("unit").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("unit")
+    shared = cut(each.join(mixed, "unit"))
+    sizes = shared.groupBy("unit", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("unit").agg(F.max(F.struct("n", "root")).alias("m")).select("unit", F.col("m.root").alias("most"))
+    placed = cut(shared.join(largest, "unit").select("unit", "node", "root", "size", "at", (F.col("root") != F.col("most")).alias("outside")))
+    needed = lambda total: F.ceil(similarity / (1 + similarity) * total - 1e-9)
+    # the smaller text of a pair comes from ``small``; of two in the class most of them are in, neither is asked for
+    small = placed.where(F.col("at") <= F.col("size") - needed(2 * F.col("size"))).select("unit", *[F.col(c).alias(f"small_{c}") for c in ("node", "root", "size", "at", "outside")])
+    room = F.least(F.col("size") - F.col("at"), F.col("small_size") - F.col("small_at")) >= needed(F.col("size") + F.col("small_size"))
+    meet = (F.col("small_size") <= F.col("size")) & (F.col("small_size") >= similarity * F.col("size") - 1e-9) & (F.col("root") != F.col("small_root")) & room
+    one, two = placed.join(small.where("small_outside"), "unit").where(meet), placed.where("outside").join(small.where("NOT small_outside"), "unit").where(meet)
+    pairs = one.unionByName(two).select(F.least("node", "small_node").alias("a"), F.greatest("node", "small_node").alias("b")).distinct()
+    side = lambda name: held.select(F.col("node").alias(name), F.col("bands").alias(f"bands_{name}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.where(F.arrays_overlap("bands_a", "bands_b")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:

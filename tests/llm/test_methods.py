@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakewitness.llm import chat, decontaminate, link_graph, mixing, near_copies, quality, queries, repeats, secret_scan, sharding, toxicity
-from llm_tables import docs, folder  # noqa: F401
+from llm_tables import against_sql, docs, folder  # noqa: F401
 from test_edges import prose
 
 
@@ -364,3 +364,75 @@ def test_neighbouring_runs_keep_their_own_block_counts(spark, folder, docs):
 
 def test_every_query_is_listed():
     assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_filter_of_first_shingles_loses_no_pair(spark, seed):
+    """Texts around common passages: all pairs at 0.8 between different classes meet, few others do."""
+    r = np.random.default_rng(seed)
+    common = r.integers(-(2**62), 2**62, 200)
+    texts = []
+    for k in range(120):
+        if k % 3 == 0 and k > 2:
+            base = texts[r.integers(len(texts))]
+            keep = base[r.random(len(base)) > r.choice([0.02, 0.08, 0.11, 0.15])]
+            texts.append(np.unique(np.concatenate([keep, r.integers(-(2**62), 2**62, r.integers(0, 12))])))
+        else:
+            texts.append(np.unique(np.concatenate([common[: r.integers(0, 200)], r.integers(-(2**62), 2**62, r.integers(20, 120))])))
+    rows = [(k.to_bytes(2, "big"), k.to_bytes(2, "big"), [1], [int(x) for x in t]) for k, t in enumerate(texts)]
+    held = spark.createDataFrame(rows, "node binary, root binary, bands array<bigint>, units array<bigint>")
+    got = {(int.from_bytes(x.a, "big"), int.from_bytes(x.b, "big")) for x in near_copies.meetings(held, 0.8).collect()}
+    jaccard = lambda a, b: (n := len(np.intersect1d(a, b))) / (len(a) + len(b) - n)
+    links = {(i, j) for i in range(120) for j in range(i + 1, 120) if jaccard(texts[i], texts[j]) >= 0.8}
+    assert len(links) > 10 and links <= got and len(got) < 3 * len(links) + 20
+
+
+# ---- 2, repositories
+def test_a_token_in_many_repositories_of_one_owner_is_an_example(spark, folder, against_sql):
+    few, many = "Abcdefghij0123456789KLMNOP", "Zyxwvutsrq9876543210KLMNOP"
+    rows = [(i, f"{many} {few if i < 3 else ''} {i}", lang, "one owner", 1) for i, lang in enumerate(("en", "de", "fr", "es"))]
+    path = folder(documents=rows)
+    out = {r.doc_id: r.spans for r in secret_scan.op2_secret_ownership(spark, path).collect()}
+    assert out == {i: f"mixed:{len(many) + 1}:{len(many) + 1 + len(few)}" if i < 3 else "" for i in range(4)}
+    against_sql(spark, "op2_secret_ownership", path)
+
+
+# ---- 9, a plain version
+def plain_ftrl(rows, labels):
+    """FTRL-proximal by its formulas, one coordinate after the other, with dictionaries."""
+    from math import copysign, exp, sqrt
+
+    t = toxicity
+    z, n, bias = Counter(), Counter(), None
+
+    def weight(i, l1, l2):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - copysign(l1, z[i])) / ((t.BETA + sqrt(n[i])) / t.ALPHA + l2)
+
+    for _ in range(t.EPOCHS):
+        for x, y in zip(rows, labels):
+            w = {i: weight(i, t.L1, t.L2) for i in x}
+            b = weight("bias", 0.0, 0.0)
+            g = 1 / (1 + exp(-(sum(w.values()) + b))) - y
+            for i, wi in [*w.items(), ("bias", b)]:
+                sigma = (sqrt(n[i] + g * g) - sqrt(n[i])) / t.ALPHA
+                z[i] += g - sigma * wi
+                n[i] += g * g
+    return {i: weight(i, t.L1, t.L2) for i in z if i != "bias"}, weight("bias", 0.0, 0.0)
+
+
+def test_weights_are_those_of_the_formulas():
+    r = random.Random(7)
+    rows = [sorted(r.sample(range(40), r.randint(0, 8))) for _ in range(200)]
+    labels = [float(1 in x or 2 in x or r.random() < 0.1) for x in rows]
+    weights, bias = toxicity.fit([np.array(x, np.int64) for x in rows], np.array(labels))
+    plain, plain_bias = plain_ftrl(rows, labels)
+    assert bias == pytest.approx(plain_bias, abs=1e-9)
+    assert all(weights[i] == pytest.approx(plain.get(i, 0.0), abs=1e-9) for i in range(40)) and weights[1] > 0 < weights[2]
+
+
+def test_one_of_several_texts_is_learned_whatever_the_partitions(spark, folder):
+    rows = [(i % 60, prose(20, i) + (" vile" if i % 60 < 30 else ""), "en", "s", 1) for i in range(180)]
+    path = folder(documents=rows, labels=[(i, 1, int(i < 30)) for i in range(60)])
+    docs_, labels = spark.read.parquet(path + "/documents.parquet"), spark.read.parquet(path + "/labels.parquet")
+    first = toxicity.fitted(docs_, labels)
+    assert all(toxicity.fitted(docs_.repartition(n, "text"), labels) == first for n in (1, 7))
