@@ -9,9 +9,9 @@ weighted Jaccard similarity.
 
 Bands of ROWS coordinates give candidates: 1 - (1 - 0.8**6)**40 = 0.999995 of the pairs at similarity 0.8, more above.
 An exact check of the weighted Jaccard similarity of the shingles (64-bit hashes) follows. Only classes are wanted, so a
-bucket whose members are already connected is closed. Some rounds compare the members of the open buckets with one pivot
-each, another one every round, where they meet it in several buckets; that connects groups of copies of any size with work
-in proportion to the buckets, and only saves work: what it leaves apart is decided below. The members of the buckets left open are often unlike texts around one common passage, so all pairs of a bucket
+bucket whose members are already connected is closed. A few rounds compare all members of the open buckets with one
+pivot each, another one every round; that connects groups of copies of any size with work in proportion to the
+buckets, and only saves work: what it leaves apart is decided below. The members of the buckets left open are often unlike texts around one common passage, so all pairs of a bucket
 would be too many. They meet by an exact filter instead: with the shingles in any one order, two texts of similarity t
 share a shingle among the first |A| - ceil(t |A|) + 1 of the larger one and the first |B| - ceil(2 t |B| / (1 + t)) + 1 of
 the smaller one, early enough in both to leave room for the rest. The order puts shingles that few of these texts hold
@@ -41,7 +41,7 @@ BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
 # Strips double from the first width up to the last, which they then keep.
 FIRST_STRIP, LAST_STRIP = 0.25, 256.0
-PIVOT_ROUNDS, PIVOT_BANDS = 5, 2
+PIVOT_ROUNDS = 3
 # How many texts hold a shingle, in steps, and the bits of the table that tells of each step: 10 MB, whatever the size of the corpus.
 STEPS = {2: 26, 16: 24, 256: 22}
 _LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -169,8 +169,8 @@ def rooted_nodes(rows: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         # one order for all buckets, so that a large group of copies has the same pivot almost everywhere
         draw = F.struct(F.xxhash64(F.lit(k), "node").alias("draw"), F.col("node").alias("a"), F.col("root").alias("own"))
         pivots = open_.groupBy("band").agg(F.min(draw).alias("p")).select("band", "p.a", "p.own")
-        met = open_.join(pivots, "band").where(F.col("root") != F.col("own")).groupBy(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        roots = joined(met.agg(F.count("*").alias("n")).where(F.col("n") >= PIVOT_BANDS).select("a", "b"))
+        met = open_.join(pivots, "band").where(F.col("root") != F.col("own"))
+        roots = joined(met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
     open_ = still_open(members, roots)
     if open_.isEmpty():
         return roots
