@@ -1,6 +1,8 @@
 """Built variants, refreshed evidence, lineage and components against plain versions."""
 
+import hashlib
 import random
+import re
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -282,3 +284,40 @@ def test_pairs_of_one_shape_share_their_digests(spark):
     got = {r.pair_id: (r.rows_added, r.rows_removed, r.rows_unchanged) for r in found.collect()}
     alike = [(a, b) for a in range(1, 6) for b in range(1, 6)] + [(6, 6)]
     assert got == {(a << 32) + b: ((rows[b] - rows[a]).total(), (rows[a] - rows[b]).total(), (rows[a] & rows[b]).total()) for a, b in alike}
+
+
+def test_digests_in_short_projections_are_the_same(spark):
+    """Also for numbers next to powers of two, tiny and huge ones, and columns of other types between them."""
+    import math
+    import struct
+
+    from lakewitness.functions.columns import portable_digest, portable_digests
+    from lakewitness.operators.fingerprint import content_hash
+
+    r = random.Random(5)
+    values = [None, float("nan"), 0.0, -0.0, 2.0**53, 2.0**53 + 2, 2.0**-10, math.nextafter(2.0**-10, 0), 1e300, -5e-324, float("inf"), 0.05, -123.45]
+    values += [x for k in range(-14, 56) for x in (math.nextafter(2.0**k, 0), 2.0**k, math.nextafter(2.0**k, 1e308))] + [struct.unpack("<d", r.randbytes(8))[0] for _ in range(200)]
+    rows = [(k, v, None if k % 3 else f"x{k}", values[-k], k % 2 == 0) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k long, `a.b` double, t string, c double, b boolean")
+    names = df.columns
+    want = sorted(x.d for x in df.select(portable_digest(df, names).alias("d")).collect())
+    assert want == sorted(x.d for x in portable_digests(df, names, "d").collect())
+    sums = [sum(int(d[i * 15:i * 15 + 15], 16) for d in want) for i in range(4)]
+    text = "|".join(str(x) for x in (len(want), *sums))
+    assert content_hash(df).first().content_hash == hashlib.sha256(text.encode()).hexdigest()
+    assert content_hash(df.where("k < 0")).first().content_hash == hashlib.sha256(b"0|0|0|0|0").hexdigest()
+
+
+def test_digest_methods_stay_short_enough_to_be_compiled(spark):
+    """The JVM compiles no method over 8000 bytes; the digest of a wide table used to be one."""
+    from lakewitness.operators.fingerprint import content_hash
+
+    df = spark.range(3).select(*[(F.col("id") / (k + 3)).alias(f"c{k}") for k in range(6)], *[F.col("id").alias(f"i{k}") for k in range(4)])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spark._sc._jvm.PythonSQLUtils.explainString(content_hash(df)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000
