@@ -321,3 +321,21 @@ def test_digest_methods_stay_short_enough_to_be_compiled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
     assert sizes and max(sizes) < 8000
+
+
+def test_values_are_not_brought_together_by_column_for_a_join(spark):
+    """All values of a column in one task are as many as the table has rows."""
+    from lakewitness.operators import diagnosis, evaluate, profile
+    from lakewitness.operators.value_counts import column_catalog, value_counts
+
+    frames = {1: spark.createDataFrame([(f"T {k}", "yn"[k % 2]) for k in range(40)] + [("t_3", "y")], "name string, y string")}
+    catalog = column_catalog(spark, frames)
+    configurations = spark.createDataFrame([(1, "classification", "y")], "version_id long, task_type string, target_column string")
+    columns = catalog.withColumns({"role": F.when(F.col("column") == "y", "target").otherwise("feature"), "is_numeric": F.lit(False), "logical_dtype": F.lit("object")})
+    vc = value_counts(frames)
+    tops, classes = profile.top_values(vc, catalog), profile.class_distribution(vc, columns, configurations)
+    for found in (tops, classes, diagnosis.categorical_consistency(vc, columns), evaluate.class_balances(vc, configurations)):
+        plan = spark._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+        assert "BroadcastHashJoin" in plan and not re.search(r"SortMergeJoin.*column", plan)
+    assert sorted((r["rank"], r.value, r.cnt) for r in tops.where("column = 'y'").collect()) == [(1, "y", 21), (2, "n", 20)]
+    assert {r["class"]: r.cnt for r in classes.collect()} == {"y": 21, "n": 20}
