@@ -363,7 +363,7 @@ def test_neighbouring_runs_keep_their_own_block_counts(spark, folder, docs):
 
 
 def test_every_query_is_listed():
-    assert len(queries.QUERIES) == 10 and set(queries.ORACLES) <= set(queries.QUERIES)
+    assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
 @pytest.mark.parametrize("seed", range(2))
