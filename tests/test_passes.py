@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lakewitness.functions import wide
 from lakewitness.functions.columns import row_digest, row_key
 from lakewitness.operators import diff, profile
 
@@ -52,3 +54,17 @@ def test_compared_rows_are_shuffled_as_16_bytes(spark):
     plan = profile.duplicate_rows({1: df})._jdf.queryExecution().analyzed().toString()
     assert "substring(unhex(" in plan
     assert profile.duplicate_rows({1: df}).first()["duplicate_rows"] == 1
+
+
+def test_rows_between_no_bounds_make_no_array(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(float(a) if a > 0.1 else None, float(b)) for a, b in rng.random((4000, 2))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    parts, union = [], wide._union
+    monkeypatch.setattr(wide, "_union", lambda found: parts.extend(found) or union(found))
+    figures = wide.profile_figures({1: (df, {c: F.col(c) for c in "ab"})})
+    exploded = [p._jdf.queryExecution().analyzed().toString() for p in parts if "explode" in p._jdf.queryExecution().analyzed().toString()]
+    assert exploded and all("Filter" in p for p in exploded)
+    for i, c in enumerate("ab"):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert np.allclose(figures[1, c].quantiles, np.quantile(values, [0.25, 0.5, 0.75]), rtol=1e-12)
