@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakewitness.functions import wide
 from lakewitness.functions.columns import row_digest, row_key
-from lakewitness.operators import diff, profile
+from lakewitness.operators import diff, profile, transforms, variants
 
 PAIRS = "pair_id long, previous_version_id long, current_version_id long"
 
@@ -68,3 +68,15 @@ def test_rows_between_no_bounds_make_no_array(spark, monkeypatch):
     for i, c in enumerate("ab"):
         values = [r[i] for r in rows if r[i] is not None]
         assert np.allclose(figures[1, c].quantiles, np.quantile(values, [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
+def test_steps_that_leave_out_or_scale_columns_write_no_table(spark, monkeypatch):
+    df = spark.createDataFrame([(float(k % 5), 1.0, "ab"[k % 2], None if k == 3 else k) for k in range(20)], "x double, flat double, t string, n long")
+    written, cut = [], variants.cut
+    monkeypatch.setattr(variants, "cut", lambda d: written.append(1) or cut(d))
+    steps = ["label_encoding", "variance_threshold", "correlation_filter", "standard_scaler"]
+    plan = variants.Plan(10, 7, "fairness", 1, "V7", "h", 1, "low", tuple((s, "{}") for s in steps), None)
+    built = variants.build({1: df}, [plan], {1: transforms.Context(task="clustering")})[10]
+    assert len(written) == 1 and built.applied == tuple(steps) and not built.failed
+    whole = transforms.apply_steps(df, [(s, {}) for s in steps], transforms.Context(task="clustering"))
+    assert built.df.columns == whole.columns and sorted(built.df.collect()) == sorted(whole.collect())
