@@ -1,6 +1,10 @@
 """What a pass reads, shuffles and writes: no more than its result needs."""
 
+import contextlib
+import io
+import re
 from collections import Counter
+from threading import Barrier
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,3 +84,43 @@ def test_steps_that_leave_out_or_scale_columns_write_no_table(spark, monkeypatch
     assert len(written) == 1 and built.applied == tuple(steps) and not built.failed
     whole = transforms.apply_steps(df, [(s, {}) for s in steps], transforms.Context(task="clustering"))
     assert built.df.columns == whole.columns and sorted(built.df.collect()) == sorted(whole.collect())
+
+
+def method_sizes(df):
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        df.explain("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", text.getvalue())]
+
+
+def test_quantiles_of_many_columns_stay_in_methods_the_jvm_compiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    names, table = [f"c{i}" for i in range(14)], rng.random((3000, 14))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in table], ", ".join(f"{c} double" for c in names))
+    scaled = transforms.minmax_scaler(df, transforms.Context(task="clustering"))
+    parts, union = [], wide._union
+    monkeypatch.setattr(wide, "_union", lambda found: parts.extend(found) or union(found))
+    found = {r["column"]: r for r in profile.numeric_statistics({1: scaled}).collect()}
+    spread = [p for p in parts if "explode" in p._jdf.queryExecution().analyzed().toString()]
+    sizes = [n for p in spread for n in method_sizes(p)]
+    assert spread and sizes and max(sizes) < 8000
+    for i, c in enumerate(names):
+        x = (table[:, i] - table[:, i].min()) / np.ptp(table[:, i])
+        assert np.allclose([found[c][q] for q in ("q25", "median", "q75")], np.quantile(x, [0.25, 0.5, 0.75]), rtol=1e-12)
+
+
+def test_steps_of_a_level_are_built_together(spark, monkeypatch):
+    df = spark.createDataFrame([(float(k % 5), k) for k in range(20)], "x double, n long")
+    met = Barrier(2)  # both first steps must be under way at once
+
+    def step(df, ctx, by):
+        met.wait(timeout=60)
+        return df.withColumn("x", F.col("x") + by)
+
+    monkeypatch.setattr(variants, "known_steps", lambda: {"step": step})
+    plan = lambda v, source, *by: variants.Plan(v, 7, "fairness", 1, "V7", "h", source, "low", tuple(("step", f'{{"by": {b}}}') for b in by))
+    ctx = transforms.Context(task="clustering")
+    built = variants.build({1: df, 2: df}, [plan(10, 1, 1, 1), plan(11, 1, 1, 2), plan(12, 2, 5), plan(13, 2)], {1: ctx, 2: ctx})
+    sums = {v: b.df.agg(F.sum("x")).first()[0] for v, b in built.items()}
+    assert sums == {10: 80.0, 11: 100.0, 12: 140.0, 13: 40.0}
+    assert [len(b.applied) for b in built.values()] == [2, 2, 1, 0] and not any(b.failed for b in built.values())
