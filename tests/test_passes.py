@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakewitness.functions import wide
 from lakewitness.functions.columns import row_digest, row_key
-from lakewitness.operators import diff, profile, transforms, variants
+from lakewitness.operators import diagnosis, diff, profile, transforms, variants
 
 PAIRS = "pair_id long, previous_version_id long, current_version_id long"
 
@@ -124,3 +124,18 @@ def test_steps_of_a_level_are_built_together(spark, monkeypatch):
     sums = {v: b.df.agg(F.sum("x")).first()[0] for v, b in built.items()}
     assert sums == {10: 80.0, 11: 100.0, 12: 140.0, 13: 40.0}
     assert [len(b.applied) for b in built.values()] == [2, 2, 1, 0] and not any(b.failed for b in built.values())
+
+
+def test_spellings_of_a_form_are_counted_without_shuffling_texts(spark):
+    labels = ["New York", "new_york", " NEW-york ", "Rome", "rome ", "Oslo", "", "-", "x" * 5000, None]
+    rows = [(v, c, t, i + 1) for v in (1, 2) for c in ("a", "b") for i, t in enumerate(labels) if (v, t) != (2, "rome ")]
+    vc = spark.createDataFrame(rows + [(1, "y", "Q", 3), (1, "y", "q", 4)], "version_id long, column string, value string, cnt long")
+    columns = spark.createDataFrame(
+        [(v, c, "feature", False) for v in (1, 2) for c in ("a", "b")] + [(1, "y", "target", False)], "version_id long, column string, role string, is_numeric boolean"
+    )
+    found = diagnosis.categorical_consistency(vc, columns)
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert "Window" not in plan and "substring(sha2(" in plan
+    got = {(r["version_id"], r["column"]): (r["cells"], r["affected_cells"]) for r in found.collect()}
+    # New York x 3 (1 + 2 + 3), Rome x 2 (4 + 5), the two blanks (7 + 8)
+    assert got == {(v, c): ((45, 30) if v == 1 else (40, 21)) for v in (1, 2) for c in ("a", "b")}
