@@ -109,21 +109,24 @@ def test_quantiles_of_many_columns_stay_in_methods_the_jvm_compiles(spark, monke
         assert np.allclose([found[c][q] for q in ("q25", "median", "q75")], np.quantile(x, [0.25, 0.5, 0.75]), rtol=1e-12)
 
 
-def test_steps_of_a_level_are_built_together(spark, monkeypatch):
+def test_variants_of_different_sources_are_built_together(spark, monkeypatch):
     df = spark.createDataFrame([(float(k % 5), k) for k in range(20)], "x double, n long")
-    met = Barrier(2)  # both first steps must be under way at once
+    met = Barrier(2)  # the first steps of both sources must be under way at once
 
-    def step(df, ctx, by):
-        met.wait(timeout=60)
+    def step(df, ctx, by, wait=False):
+        if wait:
+            met.wait(timeout=60)
         return df.withColumn("x", F.col("x") + by)
 
     monkeypatch.setattr(variants, "known_steps", lambda: {"step": step})
-    plan = lambda v, source, *by: variants.Plan(v, 7, "fairness", 1, "V7", "h", source, "low", tuple(("step", f'{{"by": {b}}}') for b in by))
+    first = lambda by: ("step", f'{{"by": {by}, "wait": true}}')
+    then = lambda by: ("step", f'{{"by": {by}}}')
+    plan = lambda v, source, *steps: variants.Plan(v, 7, "fairness", 1, "V7", "h", source, "low", steps)
     ctx = transforms.Context(task="clustering")
-    built = variants.build({1: df, 2: df}, [plan(10, 1, 1, 1), plan(11, 1, 1, 2), plan(12, 2, 5), plan(13, 2)], {1: ctx, 2: ctx})
+    built = variants.build({1: df, 2: df}, [plan(10, 1, first(1), then(1)), plan(12, 2, first(5)), plan(11, 1, first(1), then(2)), plan(13, 2)], {1: ctx, 2: ctx})
     sums = {v: b.df.agg(F.sum("x")).first()[0] for v, b in built.items()}
-    assert sums == {10: 80.0, 11: 100.0, 12: 140.0, 13: 40.0}
-    assert [len(b.applied) for b in built.values()] == [2, 2, 1, 0] and not any(b.failed for b in built.values())
+    assert sums == {10: 80.0, 12: 140.0, 11: 100.0, 13: 40.0} and list(built) == [10, 12, 11, 13]
+    assert [len(b.applied) for b in built.values()] == [2, 1, 2, 0] and not any(b.failed for b in built.values())
 
 
 def test_spellings_of_a_form_are_counted_without_shuffling_texts(spark):
