@@ -213,36 +213,48 @@ def _known(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _start_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rank, weight, node, place (-1: only counts) of the starts still open and of those they are compared with."""
+    """rank, weight, node, place (-1: only counts) of the starts still open and of those they are compared with.
+
+    A text's surely repeated starts are one row more: their ranges as first start and end, in turn; its rank is null.
+    """
     for batch in batches:
         for k in range(batch.num_rows):
             r = Runs(batch.column("data")[k].as_py())
-            _, counted, asked, at = r.judged(_flags(batch, k), *_known(batch, k))
+            sure, counted, asked, at = r.judged(_flags(batch, k), *_known(batch, k))
+            node = batch.column("node").slice(k, 1)
             if len(counted) + len(asked):
                 weight = np.repeat([2, 1], [len(counted), len(asked)])
-                yield _batch(batch.column("node").slice(k, 1), np.concatenate([counted, asked]), weight, np.concatenate([np.full(len(counted), -1), at]))
-
-
-def removed(data: bytes, flags: np.ndarray, codes: np.ndarray, counts: np.ndarray, places: np.ndarray) -> tuple[int, int, str]:
-    """Removed bytes, removed spans and the digest of the rest."""
-    r = Runs(data)
-    starts = r.judged(flags, codes, counts)[0]
-    starts[places] = True
-    at = np.flatnonzero(starts)
-    edge = np.zeros(r.n + 1, np.int32)
-    np.add.at(edge, at, 1)
-    np.add.at(edge, at + LENGTH, -1)
+                ranks = _batch(node, np.concatenate([counted, asked]), weight, np.concatenate([np.full(len(counted), -1), at]))
+                yield ranks.append_column("sure", pa.nulls(len(ranks), pa.list_(pa.int32())))
+            if sure.any():
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], sure, [False]]).astype(np.int8)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), node, pa.nulls(1, pa.int32()), pa.array([edges], pa.list_(pa.int32()))],
+                    ["rank", "weight", "node", "place", "sure"],
+                )
+
+
+def removed(data: bytes, sure: np.ndarray, places: np.ndarray) -> tuple[int, int, str]:
+    """Removed bytes, removed spans and the digest of the rest; ``sure``: ranges of repeated starts, ``places``: single ones."""
+    edge = np.zeros(len(data) + 1, np.int32)
+    edge[sure[::2]] += 1
+    np.add.at(edge, sure[1::2] + (LENGTH - 1), -1)
+    np.add.at(edge, places, 1)
+    np.add.at(edge, places + LENGTH, -1)
     gone = np.cumsum(edge[:-1]) > 0
     rest = np.frombuffer(data, np.uint8)[~gone]
     return int(gone.sum()), int((gone & ~np.append(False, gone[:-1])).sum()), hashlib.sha256(rest.tobytes()).hexdigest()
 
 
+def _numbers(batch: pa.RecordBatch, name: str, k: int) -> np.ndarray:
+    """A list of whole numbers of a row; null counts as empty."""
+    found = batch.column(name)[k]
+    return found.values.to_numpy().astype(np.int64) if found.is_valid else np.zeros(0, np.int64)
+
+
 def _removed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [
-            removed(batch.column("data")[k].as_py(), _flags(batch, k), *_known(batch, k), np.array(batch.column("places")[k].as_py() or [], np.int64))
-            for k in range(batch.num_rows)
-        ]
+        out = [removed(batch.column("data")[k].as_py(), _numbers(batch, "sure", k), _numbers(batch, "places", k)) for k in range(batch.num_rows)]
         if out:
             n, spans, digest = zip(*out)
             yield pa.RecordBatch.from_arrays(
@@ -264,9 +276,11 @@ def flagged_runs(rows: DataFrame) -> DataFrame:
     return runs.join(judged, ["gram", "stretch"]).select("node", flag.alias("flag")).groupBy("node").agg(F.collect_set("flag").alias("flags"))
 
 
-def _ranked(texts: DataFrame, make) -> DataFrame:
+RANKS = "rank bigint, weight int, node binary, place int"
+
+
+def _ranked(ranks: DataFrame) -> DataFrame:
     """node, place, all: how often each place's rank occurs, where it does more than once."""
-    ranks = settled(texts.mapInArrow(make, "rank bigint, weight int, node binary, place int"))
     again = ranks.groupBy("rank").agg(F.sum("weight").alias("all")).where(F.col("all") > 1)
     return ranks.where("place >= 0").select("rank", "node", "place").join(again, "rank").select("node", "place", "all")
 
@@ -281,11 +295,13 @@ def repeated_parts(rows: DataFrame) -> DataFrame:
     # of equal rows one
     one = held.groupBy("node").agg(F.first(F.struct(F.col("text").cast("binary").alias("data"), "flags")).alias("x"))
     texts = settled(one.select("node", "x.*"))
-    blocks = _ranked(texts, _block_rows).groupBy("node").agg(F.collect_set(F.struct("place", "all")).alias("blocks"))
+    blocks = _ranked(settled(texts.mapInArrow(_block_rows, RANKS))).groupBy("node").agg(F.collect_set(F.struct("place", "all")).alias("blocks"))
     blocks = settled(blocks)
     judged = texts.join(blocks, "node", "left").select("node", "data", "flags", "blocks")
-    places = settled(_ranked(judged, _start_rows).groupBy("node").agg(F.collect_set("place").alias("places")))
-    whole = judged.join(places, "node", "left").select("node", "data", "flags", "blocks", "places")
+    starts = settled(judged.mapInArrow(_start_rows, f"{RANKS}, sure array<int>"))
+    sure = starts.where("rank IS NULL").select("node", "sure")
+    places = settled(_ranked(starts.where("rank IS NOT NULL")).groupBy("node").agg(F.collect_set("place").alias("places")))
+    whole = texts.join(sure, "node", "left").join(places, "node", "left").select("node", "data", "sure", "places")
     return whole.mapInArrow(_removed_rows, "node binary, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 

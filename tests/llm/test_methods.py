@@ -362,6 +362,23 @@ def test_neighbouring_runs_keep_their_own_block_counts(spark, folder, docs):
     assert wrong == []
 
 
+def test_last_pass_takes_ranges_and_places_as_they_are(monkeypatch):
+    """Surely repeated starts come as ranges, single ones as places: no text is searched or hashed a second time."""
+    monkeypatch.setattr(repeats, "Runs", None)
+    r, n = random.Random(5), repeats.LENGTH
+    for size in (n, n + 1, 900, 4000):
+        data = prose(2000, size).encode()[:size]
+        starts = sorted(r.sample(range(size - n + 1), min(size - n + 1, 6)))
+        ranges = [(a, min(a + 2, size - n + 1)) for a in starts[::3]]
+        gone = {i for a, b in [*ranges, *((p, p + 1) for p in starts)] for p in range(a, b) for i in range(p, p + n)}
+        kept = bytes(x for i, x in enumerate(data) if i not in gone)
+        spans = sum(1 for i in gone if i - 1 not in gone)
+        edges = np.array([x for ab in ranges for x in ab], np.int64)
+        assert repeats.removed(data, edges, np.array(starts, np.int64)) == (len(gone), spans, hashlib.sha256(kept).hexdigest())
+    none = np.zeros(0, np.int64)
+    assert repeats.removed(b"", none, none) == (0, 0, hashlib.sha256(b"").hexdigest())
+
+
 def test_every_query_is_listed():
     assert len(queries.QUERIES) == 13 and set(queries.ORACLES) <= set(queries.QUERIES)
 
