@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lakewitness.functions import wide
 from lakewitness.functions.columns import row_digest, row_key
-from lakewitness.operators import diagnosis, diff, profile, transforms, variants
+from lakewitness.operators import diagnosis, diff, profile, transforms, value_counts, variants
 
 PAIRS = "pair_id long, previous_version_id long, current_version_id long"
 
@@ -142,3 +142,11 @@ def test_spellings_of_a_form_are_counted_without_shuffling_texts(spark):
     got = {(r["version_id"], r["column"]): (r["cells"], r["affected_cells"]) for r in found.collect()}
     # New York x 3 (1 + 2 + 3), Rome x 2 (4 + 5), the two blanks (7 + 8)
     assert got == {(v, c): ((45, 30) if v == 1 else (40, 21)) for v in (1, 2) for c in ("a", "b")}
+
+
+def test_whole_numbers_are_counted_without_a_decimal_form(spark):
+    df = spark.createDataFrame([(1,), (2**53,), (2**53 + 1,), (2**53 + 1,), (None,)], "n long")
+    cells = value_counts.long_form(df, 1)
+    assert not re.search(r"\+ 0\.0\S*\) as string", cells._jdf.queryExecution().analyzed().toString())
+    got = {(r["value"], r["num"]): r["cnt"] for r in value_counts.value_counts({1: df}).collect()}
+    assert got == {(None, 1.0): 1, (None, 2.0**53): 1, ("9007199254740993", 2.0**53): 2, (None, None): 1}
