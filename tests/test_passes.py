@@ -150,3 +150,22 @@ def test_whole_numbers_are_counted_without_a_decimal_form(spark):
     assert not re.search(r"\+ 0\.0\S*\) as string", cells._jdf.queryExecution().analyzed().toString())
     got = {(r["value"], r["num"]): r["cnt"] for r in value_counts.value_counts({1: df}).collect()}
     assert got == {(None, 1.0): 1, (None, 2.0**53): 1, ("9007199254740993", 2.0**53): 2, (None, None): 1}
+
+
+def test_quartiles_of_few_values_are_read_off_their_counts(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(a), None if a == 3 else float(b), float(c)) for a, b, c in zip(rng.integers(0, 7, 5000), rng.integers(0, 2, 5000), rng.random(5000))]
+    df = spark.createDataFrame(rows, "few long, two double, many double")
+    sketches, union = [], wide._union
+    monkeypatch.setattr(wide, "_union", lambda parts: sketches.extend(p._jdf.queryExecution().analyzed().toString().count("percentile_approx(") for p in parts) or union(parts))
+    plain = {r["column"]: r.asDict() for r in profile.numeric_statistics({1: df}).collect()}
+    of_all = sum(sketches)
+    sketches.clear()
+    few = profile.few_values(value_counts.value_counts({1: df}))
+    assert set(few) == {(1, "few"), (1, "two")} and few[1, "two"] == sorted(Counter(b for _, b, _ in rows if b is not None).items())
+    found = {r["column"]: r.asDict() for r in profile.numeric_statistics({1: df}, few=few).collect()}
+    assert 0 < sum(sketches) < of_all and found.keys() == plain.keys()
+    for i, c in enumerate(("few", "two", "many")):
+        values = [r[i] for r in rows if r[i] is not None]
+        assert np.allclose([found[c][x] for x in ("q25", "median", "q75")], np.quantile(values, [0.25, 0.5, 0.75]), rtol=1e-12)
+        assert all(np.isclose(found[c][x], plain[c][x], rtol=1e-12) for x in ("mean", "std", "skewness")) and found[c]["outlier_count"] == plain[c]["outlier_count"]
