@@ -9,9 +9,11 @@ from threading import Barrier
 import numpy as np
 from pyspark.sql import functions as F
 
+from lakewitness import session
 from lakewitness.functions import wide
 from lakewitness.functions.columns import row_digest, row_key
 from lakewitness.operators import diagnosis, diff, profile, transforms, value_counts, variants
+from lakewitness.plans.evidence import VERSION_SCHEMA, Evidence
 
 PAIRS = "pair_id long, previous_version_id long, current_version_id long"
 
@@ -169,3 +171,61 @@ def test_quartiles_of_few_values_are_read_off_their_counts(spark, monkeypatch):
         values = [r[i] for r in rows if r[i] is not None]
         assert np.allclose([found[c][x] for x in ("q25", "median", "q75")], np.quantile(values, [0.25, 0.5, 0.75]), rtol=1e-12)
         assert all(np.isclose(found[c][x], plain[c][x], rtol=1e-12) for x in ("mean", "std", "skewness")) and found[c]["outlier_count"] == plain[c]["outlier_count"]
+
+
+def small_evidence(spark, rows, schema, parents):
+    """Evidence of versions 1 to n, and the digested versions of its duplicates."""
+    row = lambda v, p: (v, 1, 1, "d", v, p, "manual", "note", "2024-01-01", "clustering", None, "m", "v", "all", [], "none")
+    frames = {v: spark.createDataFrame(r, schema) for v, r in rows.items()}
+    return Evidence(spark, frames, spark.createDataFrame([row(v, parents.get(v)) for v in frames], VERSION_SCHEMA))
+
+
+def test_rows_with_a_column_of_different_values_are_not_compared(spark, monkeypatch):
+    rows = {
+        1: [(k, "a") for k in range(6)], 2: [(k // 2, "a") for k in range(6)], 3: [(k or None, "a") for k in range(6)] + [(None, "a")],
+        4: [(2**53 + k, "a") for k in range(4)], 5: [], 6: [(1, str(k)) for k in range(3)],
+    }
+    found, digest = [], profile.row_key
+    monkeypatch.setattr(profile, "row_key", lambda df, names: found.append(df.count()) or digest(df, names))
+    evidence = small_evidence(spark, rows, "n long, t string", {})
+    got = {r["version_id"]: (r["row_count"], r["duplicate_rows"]) for r in evidence.tables.collect()}
+    assert got == {v: (len(r), len(r) - len(set(r))) for v, r in rows.items()}
+    assert sorted(found) == [0, 6, 7]  # the empty version and those with copies
+    # without the columns all rows are compared
+    assert {r["version_id"]: r["duplicate_rows"] for r in profile.duplicate_rows(evidence.frames).collect()} == {1: 0, 2: 3, 3: 1, 4: 0, 6: 0}
+
+
+def test_evidence_is_made_together_and_once(spark, monkeypatch):
+    made, met = Counter(), Barrier(2)  # two relations that need nothing of each other must be under way at once
+
+    def counted(module, name, meet=False):
+        fn = getattr(module, name)
+
+        def run(*args, **kwargs):
+            made[name] += 1
+            if meet:
+                met.wait(timeout=60)
+            return fn(*args, **kwargs)
+
+        monkeypatch.setattr(module, name, run)
+
+    for name in ("high_correlations", "regression_profile"):
+        counted(profile, name, meet=True)
+    for module, names in ((profile, ("column_profile", "duplicate_rows")), (diff, ("paired_columns", "paired_counts", "row_diffs", "numeric_shifts", "category_changes"))):
+        for name in names:
+            counted(module, name)
+    rows = {v: [(k, float(k % (v + 1)), float(k)) for k in range(9)] for v in (1, 2)}
+    evidence = small_evidence(spark, rows, "n long, x double, y double", {2: 1})
+    before = spark.conf.get("spark.sql.broadcastTimeout")
+    assert evidence.facts.count() == 2 and evidence.risks.count() == 2
+    assert len(made) == 9 and set(made.values()) == {1}
+    assert spark.conf.get("spark.sql.broadcastTimeout") == before
+
+
+def test_broadcasts_wait_while_tasks_run_together(spark):
+    before = spark.conf.get("spark.sql.broadcastTimeout")
+    asked = lambda: spark.conf.get("spark.sql.broadcastTimeout")
+    assert session.together(spark, [asked, lambda: session.together(spark, [asked])[0], asked]) == [str(session.PATIENCE)] * 3
+    with contextlib.suppress(ZeroDivisionError):
+        session.together(spark, [lambda: 1 / 0])
+    assert spark.conf.get("spark.sql.broadcastTimeout") == before
