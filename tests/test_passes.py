@@ -3,7 +3,10 @@
 import contextlib
 import io
 import re
+import tempfile
+import time
 from collections import Counter
+from pathlib import Path
 from threading import Barrier
 
 import numpy as np
@@ -229,3 +232,20 @@ def test_broadcasts_wait_while_tasks_run_together(spark):
     with contextlib.suppress(ZeroDivisionError):
         session.together(spark, [lambda: 1 / 0])
     assert spark.conf.get("spark.sql.broadcastTimeout") == before
+
+
+def test_shuffle_files_of_a_written_table_go(spark):
+    root = Path(spark.conf.get("spark.local.dir", None) or tempfile.gettempdir())
+    app = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getName()
+    files = lambda: set(root.glob(f"{app}/**/shuffle_*.data"))
+    df = spark.range(200000).selectExpr("id % 1000 AS k").groupBy("k").count()
+    before = files()
+    assert df.where("count > 0").count() == 1000 and files() - before  # others stay until the driver collects its garbage
+    before = files()
+    kept = session.cut(df)
+    deadline = time.monotonic() + 20
+    while files() - before and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert kept.count() == 1000 and spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
+    assert not {p for p in files() - before if p.stat().st_size > 5000}  # the count above has small ones
+    assert df.count() == 1000
