@@ -3,7 +3,6 @@
 import contextlib
 import io
 import re
-import tempfile
 import time
 from collections import Counter
 from pathlib import Path
@@ -235,9 +234,8 @@ def test_broadcasts_wait_while_tasks_run_together(spark):
 
 
 def test_shuffle_files_of_a_written_table_go(spark):
-    root = Path(spark.conf.get("spark.local.dir", None) or tempfile.gettempdir())
-    app = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getName()
-    files = lambda: set(root.glob(f"{app}/**/shuffle_*.data"))
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    files = lambda: {p for f in folders for p in Path(f.getAbsolutePath()).glob("**/shuffle_*.data")}
     df = spark.range(200000).selectExpr("id % 1000 AS k").groupBy("k").count()
     before = files()
     assert df.where("count > 0").count() == 1000 and files() - before  # others stay until the driver collects its garbage
